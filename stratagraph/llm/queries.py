@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratagraph.catalog import Catalog
-from stratagraph.llm import encoding, mixing, neighbours, quantiles
+from stratagraph.llm import credentials, encoding, mixing, neighbours, provenance, quantiles, truncation
 from stratagraph.session import durable
 
 
@@ -23,7 +23,13 @@ def _mix(t: Catalog):
     return mixing.realise(counted, demand), demand
 
 
+FIELDS = ["patch", "content"]
+
 QUERIES = {
+    "p1_found": _q(lambda t: credentials.find_secrets(t("in_flight_diff_file"), "diff_id", FIELDS).select("diff_id", "field", "line_no").distinct()),
+    "p1_redacted": _q(lambda t: credentials.redact_secrets(t("in_flight_diff_file"), "diff_id", FIELDS)),
+    "p3_found": _q(lambda t: provenance.not_hand_written(t("in_flight_diff_file")).select("diff_id").distinct()),
+    "p3_reasons": _q(lambda t: provenance.not_hand_written(t("in_flight_diff_file"))),
     "p5_found": _q(lambda t: neighbours.nearest_pairs(t("node_embeddings"))),
     "p6_found": _q(lambda t: quantiles.path_percentiles(t("observation")).where("p95 > 1000").select("method", "path")),
     "p6_percentiles": _q(lambda t: quantiles.path_percentiles(t("observation"))),
@@ -31,6 +37,8 @@ QUERIES = {
     "p8_ids": _q(lambda t: encoding.encode_texts(t("documents"), "doc_id", "text")),
     "p9_found": _q(lambda t: _supply(t).where("short").select("source")),
     "p9_mix": _q(lambda t: _mix(t)[0]),
+    "p10_found": _q(lambda t: truncation.cut_texts(t("documents")).where("cut").select("doc_id").distinct()),
+    "p10_shares": _q(lambda t: truncation.cut_shares(truncation.cut_texts(t("documents")))),
     "p9_shares": _q(lambda t: mixing.reached_shares(*_mix(t))),
 }
 
