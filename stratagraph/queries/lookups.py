@@ -124,12 +124,12 @@ add("vector_top_k", _vector_top, "SELECT vec_id, round(list_cosine_similarity(em
 
 def _quantised(t):
     scale = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    e = t("embeddings").withColumn("scale", scale).where("scale > 0")
-    codes = F.transform("embedding", lambda x: F.least(F.greatest(fx.half_up(x.cast("double") / F.col("scale") * 127), F.lit(-127)), F.lit(127)).cast("int"))
-    return e.select("vec_id", F.round("scale", 6).alias("scale"), codes.alias("codes"))
+    e = t("embeddings").withColumn("largest", scale).where("largest > 0")
+    codes = F.transform("embedding", lambda x: F.least(F.greatest(fx.half_up(x.cast("double") / F.col("largest") * 127), F.lit(-127)), F.lit(127)).cast("int"))
+    return e.select("vec_id", F.round("largest", 6).alias("scale"), codes.alias("codes"))
 
 
-add("quantise", _quantised, "SELECT vec_id, round(scale, 6) AS scale, list_transform(embedding::DOUBLE[], lambda x: CAST(least(greatest(floor(x / scale * 127 + 0.5), -127), 127) AS INTEGER)) AS codes FROM (SELECT vec_id, embedding, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS scale FROM embeddings) WHERE scale > 0")
+add("quantise", _quantised, "SELECT vec_id, round(s, 6) AS scale, list_transform(embedding::DOUBLE[], lambda x: CAST(least(greatest(floor(x / s * 127 + 0.5), -127), 127) AS INTEGER)) AS codes FROM (SELECT vec_id, embedding, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS s FROM embeddings) WHERE s > 0")
 
 
 def _fused(t):
