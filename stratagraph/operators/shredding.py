@@ -153,20 +153,19 @@ def flow_steps(flows: DataFrame, extra: dict[str, str] | None = None) -> DataFra
 
     The parent of a top step is the handler of the entry, written as ``handler_node_id`` or as a
     ``handler`` object; '' stands for a parent without an id. Steps without a node_id are kept with a
-    null node_id. The join finds each step's parent by (record, doc, owner).
+    null node_id. A parent is looked up among the objects of its own document, which one task shredded anyway.
     """
     names = {"node_id": "node_id", "handler_node_id": "handler_node_id", **(extra or {})}
-    objects = flow_objects(flows, names)
-    step = F.col("list_label") == "steps"
-    handler = F.when((F.col("label") == "entry"), F.col("handler_node_id")).when(F.col("label") == "handler", F.col("node_id"))
-    root = (F.col("owner").isNull()) & F.col("label").isNull()
-    # The root's "node_id", seen by its top steps, is that of the entry's handler.
-    handlers = objects.where(F.col("label").isin("entry", "handler") & F.col("list_label").isNull() & handler.isNotNull()).groupBy("record", "doc").agg(F.max(handler).alias("handler_id"))
-    steps = objects.where(step).withColumnRenamed("place", "step_path")
-    parents = objects.where(step | root).select("record", "doc", F.col("node").alias("owner"), F.col("node_id").alias("above"), root.alias("at_root"))
-    joined = steps.join(parents, ["record", "doc", "owner"], "left").join(handlers, ["record", "doc"], "left")
-    parent_id = F.coalesce(F.when(F.col("at_root"), F.col("handler_id")).otherwise(F.col("above")), F.lit(""))
-    return joined.select("record", "doc", "node", "step_path", parent_id.alias("parent_node_id"), "node_id", *(extra or {}))
+    table = shred_json(flows, "record_id", "payload", as_list=["steps"], keep=set(names.values()))
+    # One shuffle by document serves the pivot, the gathering of a document's objects and their parents.
+    objects = pivot_objects(table.repartition("record", "doc"), names)
+    handler = F.when(F.col("list_label").isNull(), F.when(F.col("label") == "entry", F.col("handler_node_id")).when(F.col("label") == "handler", F.col("node_id")))
+    documents = objects.groupBy("record", "doc").agg(F.max(handler).alias("handler_id"), F.collect_list(F.struct("node", "owner", "label", "list_label", "place", *names)).alias("objects"))
+    ids = F.map_from_entries(F.transform(F.filter("objects", lambda o: o["list_label"] == "steps"), lambda o: F.struct(o["node"], o["node_id"])))
+    roots = F.transform(F.filter("objects", lambda o: o["owner"].isNull() & o["label"].isNull()), lambda o: o["node"])
+    steps = documents.select("record", "doc", "handler_id", ids.alias("ids"), roots.alias("roots"), F.explode(F.filter("objects", lambda o: o["list_label"] == "steps")).alias("s"))
+    above = F.when(F.array_contains("roots", F.col("s.owner")), F.col("handler_id")).otherwise(F.try_element_at("ids", F.col("s.owner")))
+    return steps.select("record", "doc", "s.node", F.col("s.place").alias("step_path"), F.coalesce(above, F.lit("")).alias("parent_node_id"), *(f"s.{n}" for n in ("node_id", *(extra or {}))))
 
 
 def flow_table(flows: DataFrame) -> DataFrame:
