@@ -43,3 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint, which survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan or projection of a scan over at least as many partitions as there are cores.
+
+    Work in Python on a few small files would else run on a few cores. Where the files give enough
+    partitions, as large tables do, nothing is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
