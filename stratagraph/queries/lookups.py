@@ -151,11 +151,9 @@ add("embedding_document", lambda t: v.nodes(t).select("id", F.substring(F.sha2(F
 
 
 def _shingles(t):
-    words = F.regexp_extract_all(F.lower("name"), F.lit("[a-z]+|[0-9]+"), F.lit(0))
     masked = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z_]+|[0-9]+|[^\sa-z0-9_]"), F.lit(0)), lambda w: F.when(w.rlike("^[0-9]+$"), "$n").otherwise(w))
     grams = F.when(F.size(masked) < 3, F.array(F.concat_ws(" ", masked))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(masked) - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(masked, i, F.lit(3)))))
-    del words
-    return t("documents").where("source = 'commit_log' and text is not null").select("doc_id", F.size(F.array_distinct(grams)).alias("shingles"))
+    return t("documents").where("text is not null").select("doc_id", F.size(F.array_distinct(grams)).alias("shingles"))
 
 
 add("shingle_counts", _shingles)

@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from stratagraph.queries import graphs, lookups, nested, relations
+from stratagraph.queries import graphs, insights, lookups, nested, relations
 from tests.compare import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
-CASES = [(m, name) for m in (nested, lookups, relations, graphs) for name in m.QUERIES]
+CASES = [(m, name) for m in (nested, lookups, relations, graphs, insights) for name in m.QUERIES]
 
 
 @pytest.fixture(scope="module")
