@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import transducer
+from stratagraph.session import spread
 
 # Words that end the name of a setting that holds a secret, by how much the name alone says.
 PASSWORD_ENDS = "password passwd pwd pass passphrase passcode pw pin pinsecret kennwort passwort losung motdepasse clave contrasena contraseña senha parola wachtwoord unlockword credential credentials"
@@ -32,7 +34,7 @@ _REFERENCE = re.compile(r"\$\{|\$\(|^\$\w|\{\{|\}\}|^%\w+%?$|%\(|%s|^\{\w*\}$|pr
 _HEADER_OF_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END_OF_KEY = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@'\"`<>]*):(?P<v>[^\s@'\"`]+?)@(?=[\w\[$\{-])")
+_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,30}+://(?P<user>[^\s:/@'\"`<>]*):(?P<v>[^\s@'\"`]+?)@(?=[\w\[$\{-])")
 _QUERY = re.compile(r"[;?&](?:password|passwd|pwd|pass|secret|token|access_token|api_key|apikey|sig)=(?P<v>[^;&\s\"'`]+)", re.I)
 _BASIC = re.compile(r"\bBasic\s+(?P<v>[A-Za-z0-9+/]{6,}={0,2})")
 _BEARER = re.compile(r"\bBearer\s+(?P<v>[A-Za-z0-9_.~+/=-]{12,})")
@@ -50,17 +52,37 @@ _CALLS = [
 ]
 #: name, what joins it to a value, and the value: quoted, possibly in a call, or bare up to the end of the line.
 _ASSIGNED = re.compile(
-    r"(?P<k>[A-Za-z_][\w.-]*)[\"'`]?\]?\s*(?:\?\?=|\|\|=|:=|=>|==?|:|,|\()\s*"
+    r"(?<![\w.])(?P<k>[A-Za-z_][\w.-]{0,120}+)[\"'`]?\]?\s*(?:\?\?=|\|\|=|:=|=>|==?|:|,|\()\s*"
     r"(?:(?:\[\]byte|bytes|String|str|Secret|new \w+|SecretStr|quote)?\s*\(\s*)?[bru]?"
-    r"(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`|(?P<d>[^\s\"'`(){}\[\],;<>]+)(?=\s*(?:[,;]?\s*$|\s(?:#|//))))"
+    r"(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`|(?P<d>[^\s\"'`(){}\[\],;<>]{1,4096}+)(?=\s*(?:[,;]?\s*$|\s(?:#|//))))"
 )
 _TAG = re.compile(r"<(?P<k>[A-Za-z][\w.-]*)>(?P<a>[^<\n]+)</")
-_TYPED = re.compile(r"(?P<k>[A-Za-z_]\w*)\s*:\s*[A-Za-z][\w<>\[\], |.]*?\s=\s*(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`)")
+_TYPED = re.compile(r"(?<!\w)(?P<k>[A-Za-z_]\w{0,120}+)\s*:\s*[A-Za-z][\w<>\[\], |.]{0,80}?\s=\s*(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`)")
 _MORE = re.compile(r"^[+ -]?\s*(?P<plus>[+.]\s*)?[bru]?(?:\"(?P<a>[^\"\n]*)\"|'(?P<b>[^'\n]*)'|`(?P<c>[^`\n]*)`)")
-_SUSPECT = re.compile(
-    r"pass|pwd|pw\b|pw[\"'\]_]|pw(?:b64|enc)|pin|secret|token|key|cred|wort|mot_?de_?|clave|contrase|senha|parola|wachtw|unlock|losung|bearer|basic|auth|login|log in|logged in|connect|user|account|jwt|identified|://|" + KNOWN.replace("AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}", "A[KS]IA[0-9A-Z]{16}"),
-    re.I,
-)
+#: In lower case, at least one of these stands in every line that can hold a secret by the rules here.
+SUSPECTS = (
+    "pass|pwd|pw\"|pw'|pw]|pw=|pw:|pw |pw(|pwb|pwe|pw_|pw-|pin\"|pin'|pin]|pin=|pin:|pin |pin(|pin_|secret|token|key|cred|wort|motde|mot_de|clave|contrase|senha|parola|wachtw|unlock|losung|bearer|basic|auth|"
+    "login|log in|logs in|logged in|signin|connect|account|user |user:|jwt|identified|curl|://|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|akia|asia|aiza|sk_live_|sk_test_|rk_live_|rk_test_|xox|npm_|pypi-|sg.|eyj"
+).split("|")
+
+
+def _machine():
+    """One automaton for all suspects, if the library is there; else a pattern."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return re.compile("|".join(map(re.escape, SUSPECTS)))
+    made = ahocorasick.Automaton()
+    for i, word in enumerate(SUSPECTS):
+        made.add_word(word, i)
+    made.make_automaton()
+    return made
+
+
+def _lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
 @dataclass(frozen=True)
@@ -80,7 +102,13 @@ class Finder:
 
     def __init__(self, encode, natural: float = 3.4):
         #: encode gives the subwords of a text; below ``natural`` characters per subword a string is no language.
-        self.encode, self.natural = encode, natural
+        self.encode, self.natural, self.machine = encode, natural, _machine()
+
+    def suspects(self, text: str) -> Iterator[int]:
+        """Places in the text where something stands that lines with secrets have."""
+        if hasattr(self.machine, "iter"):
+            return (end for end, _ in self.machine.iter(_lower(text)))
+        return (m.start() for m in self.machine.finditer(_lower(text)))
 
     def unnatural(self, value: str) -> bool:
         return len(value) < self.natural * max(1, len(self.encode(value)))
@@ -177,30 +205,31 @@ class Finder:
 
     def find(self, text: str) -> list[Secret]:
         """The secrets of a whole text, in order; lines end at the line feed."""
-        if not _SUSPECT.search(text):
+        places = list(self.suspects(text))
+        if not places:
             return []
         lines = text.split("\n")
         found: list[Secret] = []
         starts = [0, *accumulate(len(x) + 1 for x in lines)]
         inside = -1
-        for n, line in enumerate(lines):
-            offset = starts[n]
-            if n > inside and _SUSPECT.search(line):
-                clean = line.rstrip("\r")
-                if m := _HEADER_OF_KEY.search(line):
-                    span = self._private_key(lines, n, m)
-                    if span is not None:
-                        inside, length = span
-                        found.append(Secret(offset + m.start(), offset + m.start() + length, n + 1, "private key"))
-                else:
-                    lines[n] = clean
-                    spans = sorted(set(self.in_line(lines, n)))
-                    lines[n] = line
-                    end = -1
-                    for start, stop, kind, *parts in spans:
-                        if start >= end:
-                            found.append(Secret(offset + start, offset + stop, n + 1, kind, tuple((starts[i] + a, starts[i] + b) for i, a, b in parts)))
-                            end = stop
+        for n in sorted({bisect_right(starts, p) - 1 for p in places}):
+            if n <= inside:
+                continue
+            line, offset = lines[n], starts[n]
+            if m := _HEADER_OF_KEY.search(line):
+                span = self._private_key(lines, n, m)
+                if span is not None:
+                    inside, length = span
+                    found.append(Secret(offset + m.start(), offset + m.start() + length, n + 1, "private key"))
+                continue
+            lines[n] = line.rstrip("\r")
+            spans = sorted(set(self.in_line(lines, n)))
+            lines[n] = line
+            end = -1
+            for start, stop, kind, *parts in spans:
+                if start >= end:
+                    found.append(Secret(offset + start, offset + stop, n + 1, kind, tuple((starts[i] + a, starts[i] + b) for i, a, b in parts)))
+                    end = stop
         return found
 
     def _private_key(self, lines: list[str], n: int, match: re.Match) -> tuple[int, int] | None:
@@ -234,7 +263,7 @@ def redacted(text: str, secrets: list[Secret]) -> str:
 
 def _fields(files: DataFrame, key: str, fields: list[str]) -> DataFrame:
     parts = [F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]
-    return files.select(F.col(key).alias("key"), F.explode(F.array(*parts)).alias("f")).select("key", "f.field", "f.text").where("text is not null and text != ''")
+    return spread(files.select(key, *fields)).select(F.col(key).alias("key"), F.explode(F.array(*parts)).alias("f")).select("key", "f.field", "f.text").where("text is not null and text != ''")
 
 
 def _finder(folder: str, name: str) -> Finder:
