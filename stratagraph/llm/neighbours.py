@@ -109,7 +109,7 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return rows.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 200, most_cells: int = 4096, probes: int = 12, sample: int = 32_768, block: int = 4096, bound: float = 3.0) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100, most_cells: int = 4096, probes: int = 6, sample: int = 32_768, block: int = 4096, bound: float = 3.0) -> DataFrame:
     """id, neighbour and similarity (cosine, 6 decimals): the k nearest of each vector within its model.
 
     ``vectors`` has id, model, key and embedding (see ``usable``). Equal vectors are searched once: a key
