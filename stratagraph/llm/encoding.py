@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import transducer
+from stratagraph.session import spread
 
 
 def encode_texts(df: DataFrame, key: str, text: str, folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
@@ -32,7 +33,7 @@ def encode_texts(df: DataFrame, key: str, text: str, folder: str = transducer.FO
             lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "ids"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode_ids(df: DataFrame, key: str, ids: str, folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
@@ -59,4 +60,4 @@ def count_tokens(df: DataFrame, text: str, carry: list[str], folder: str = trans
             counts = [len(encode(v.as_py())) if v.is_valid else 0 for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*carry, "tokens"])
 
-    return kept.mapInArrow(run, schema)
+    return spread(kept).mapInArrow(run, schema)

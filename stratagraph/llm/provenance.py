@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import transducer
-from stratagraph.session import durable
+from stratagraph.session import durable, spread
 
 # Places and names that tools and package managers use.
 VENDORED_PATH = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|_vendor|third[_-]party|thirdparty|Godeps|Pods|Carthage|\.venv|virtualenv)/|(?:^|/)vendor/[^/]+/.+")
@@ -116,7 +116,7 @@ def evidence(files: DataFrame, key: str = "diff_id", folder: str = transducer.FO
             p, h, b = zip(*kinds) if kinds else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (p, h, b))], names=["key", "path_kind", "head_kind", "body_kind"])
 
-    return files.select(F.col(key).alias("key"), "path", "content").mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(files.select(F.col(key).alias("key"), "path", "content")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def rare_lines(files: DataFrame, shortest: int = 16) -> DataFrame:
