@@ -20,47 +20,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratagraph.session import durable
+from stratagraph.session import durable, spread
 
 GRAMS = 5
-_TOKEN = re.compile(r"\n\s*|```|(?:[A-Za-z]+://)?(?:[\w.:-]*/)+[\w.:-]*|\w*[a-z0-9][A-Z]\w*|\w+_\w*|(?=[0-9a-f]*\d)(?=\d*[a-f])[0-9a-f]+\b|\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")
+_TOKEN = re.compile(r"\n\s*+|```|(?:[A-Za-z]{1,20}+://)?(?:[\w.:-]{0,300}+/)++[\w.:-]*+|(?=\w{0,200}?[a-z0-9][A-Z])\w++|(?=[^\W_]{1,200}+_)\w++|(?=[0-9a-f]{0,120}?\d)(?=\d{0,120}+[a-f])[0-9a-f]{1,120}+(?!\w)|\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")
 _NAME = re.compile(r"[a-z0-9][A-Z]|_")
 _HEX = re.compile(r"(?=\d*[a-f])[0-9a-f]*\d[0-9a-f]*")
 _EXTENSION = re.compile(r"\w\.[A-Za-z]{1,5}$")
 _SUBWORD = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
+_SUBWORD_THEN_MORE = re.compile(r"(?:[A-Z]?[^\W\d_A-Z]++|[A-Z]++(?![^\W\d_A-Z]))(?=(?s:.))")
 _LAST_SUBWORD = re.compile(rf"(?:{_SUBWORD.pattern})$")
-_MARK = re.compile(r"\s*(?:\.\.+|…)$")
 _STOP = re.compile(r"[.!?。؟][\"'’”»)\]*_`]*$")
 _HALF_PATH = re.compile(r"(?:^|[\s`(\"'])(?!/)[\w-]+(?:/[\w-]+)+\.$")
 _ENDS = frozenset({".", "!", "?", "\n", "。"})
 _ROUTE = re.compile(r"/(?P<last>[\w:-]*)$")
+_WHOLE_ROUTE = re.compile(r"(?<![\w.-])/(?:[\w:-]{0,100}+/){0,30}+([\w:-]{1,100}+)(?=[\s.,;:)`\"']|$)")
 _P, _MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
-def tokens(text: str) -> list[str]:
-    """Words in lower case, signs and line ends; names, numbers, paths and hexadecimal strings are masked."""
-    out = []
-    for w in _TOKEN.findall(text):
+class _Masks(dict):
+    """Raw token to masked token, made when first met and kept up to a bound."""
+
+    def __missing__(self, w: str) -> str:
         if w[0] == "\n":
-            out.append("\n")
+            masked = "\n"
         elif "/" in w and len(w) > 1:
-            out.append("<file>" if _EXTENSION.search(w) else "<route>" if w[0] == "/" else "<path>")
+            masked = "<file>" if _EXTENSION.search(w) else "<route>" if w[0] == "/" else "<path>"
         elif w[0].isdigit() and w.isdigit():
-            out.append("0")
+            masked = "0"
         elif _NAME.search(w) and len(w) > 1:
-            out.append("<name>")
+            masked = "<name>"
         elif _HEX.fullmatch(w):
-            out.append(f"<hex{len(w)}>")
+            masked = f"<hex{len(w)}>"
         else:
-            out.append(w.lower())
-    return out
+            masked = w.lower()
+        if len(self) < 500_000:
+            self[w] = masked
+        return masked
+
+
+_mask = _Masks().__getitem__
+
+
+def tokens(text: str) -> list[str]:
+    """Words in lower case, signs and line ends; names, numbers, paths and hexadecimal strings are masked."""
+    return list(map(_mask, _TOKEN.findall(text)))
 
 
 def base_of(text: str) -> tuple[str, bool]:
     """The text without white space and dots of omission at its end, and whether there were such dots."""
     text = text.rstrip()
-    mark = _MARK.search(text)
-    return (text[: mark.start()].rstrip(), True) if mark and mark.start() else (text, False)
+    bare = text[:-1] if text.endswith("…") else text.rstrip(".") if text.endswith("..") else text
+    return (bare.rstrip(), True) if bare and bare != text else (text, False)
 
 
 def by_structure(base: str, marked: bool) -> bool | None:
@@ -79,18 +90,17 @@ def by_structure(base: str, marked: bool) -> bool | None:
     return None
 
 
-class Hasher:
+class Hasher(dict):
     """64-bit hashes of words, the same in every process; interchangeable words share one."""
 
     def __init__(self, open_words: frozenset[str] = frozenset()):
-        self.open_words, self.known = open_words, {}
-
-    def __call__(self, word: str) -> int:
-        h = self.known.get(word)
-        if h is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            h = self.known[word] = xxhash.xxh64_intdigest("<open>" if word in self.open_words else word)
+        super().__init__()
+        self.open_words = open_words
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest("<open>" if word in self.open_words else word)
+        if len(self) < 500_000:
+            self[word] = h
         return h
 
     def tail(self, words: list[str]) -> list[int]:
@@ -99,29 +109,39 @@ class Hasher:
         for n in range(1, min(GRAMS, len(words)) + 1):
             h = 0
             for w in words[-n:]:
-                h = (h * int(_P) + self(w)) & _MASK
+                h = (h * int(_P) + self[w]) & _MASK
             out.append(h - (1 << 64) if h >> 63 else h)
         return out
 
 
-def _word_rows(texts: list[str]) -> Counter:
-    """(kind, context, word) -> count: words between their neighbours, complete subwords, complete ends of routes."""
-    found: Counter = Counter()
-    hasher = Hasher()
+def _word_rows(texts: list[str]) -> tuple[list, list, list, list]:
+    """kinds, contexts, words and counts: words between their neighbours, complete subwords, complete ends of routes."""
+    hasher, words, subwords, routes = Hasher(), [], Counter(), Counter()
     for text in texts:
         base, _ = base_of(text)
-        words = tokens(base)
-        for a, b, c in zip(words, words[1:], words[2:]):
-            if len(b) > 2 and b[0].isalpha() and a != "\n" and c != "\n":
-                h = (hasher(a) * int(_P) + hasher(c)) & _MASK
-                found[0, h - (1 << 64) if h >> 63 else h, b] += 1
-        for m in _SUBWORD.finditer(base):
-            if m.end() < len(base) and not base[m.end()].islower():
-                found[1, 0, m[0].lower()] += 1
-        for m in re.finditer(r"(?<![\w.-])/[\w:/-]*?([\w:-]+)(?=[\s.,;:)`\"']|$)", base):
-            if m.end() < len(base):
-                found[2, 0, m[1]] += 1
-    return found
+        words += tokens(base)
+        words.append("\n")
+        subwords.update(_SUBWORD_THEN_MORE.findall(base))
+        routes.update(m[1] for m in _WHOLE_ROUTE.finditer(base) if m.end() < len(base))
+    complete: Counter = Counter()
+    for w, n in subwords.items():
+        complete[w.lower()] += n
+    # Words and their contexts as numbers; a text's border counts as a line end.
+    number: dict[str, int] = {}
+    codes = np.array([number.setdefault(w, len(number)) for w in words])
+    names = list(number)
+    hashes = np.array([hasher[w] for w in names], np.uint64)
+    telling = np.array([len(w) > 2 and w[0].isalpha() for w in names]) if names else np.zeros(0, bool)
+    ends = number.get("\n", -1)
+    middle = np.flatnonzero(telling[codes[1:-1]] & (codes[:-2] != ends) & (codes[2:] != ends)) + 1 if len(codes) > 2 else np.zeros(0, int)
+    contexts = hashes[codes[middle - 1]] * _P + hashes[codes[middle + 1]]
+    inner = codes[middle]
+    order = np.lexsort((inner, contexts))
+    contexts, inner = contexts[order], inner[order]
+    starts = np.flatnonzero(np.concatenate(([True], (contexts[1:] != contexts[:-1]) | (inner[1:] != inner[:-1])))) if len(inner) else np.zeros(0, int)
+    counts = np.diff(np.append(starts, len(inner)))
+    kinds = [0] * len(starts) + [1] * len(complete) + [2] * len(routes)
+    return kinds, [*contexts[starts].view(np.int64).tolist(), *[0] * (len(complete) + len(routes))], [*(names[i] for i in inner[starts]), *complete, *routes], [*counts.tolist(), *complete.values(), *routes.values()]
 
 
 def corpus_words(texts: DataFrame) -> DataFrame:
@@ -129,10 +149,8 @@ def corpus_words(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _word_rows(batch.column(0).to_pylist())
-            if found:
-                kinds, contexts, words = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(contexts, pa.int64()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "context", "word", "n"])
+            columns = _word_rows(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.int64()))], names=["kind", "context", "word", "n"])
 
     rows = texts.select("text").mapInArrow(run, "kind int, context bigint, word string, n bigint")
     return durable(rows.groupBy("kind", "context", "word").agg(F.sum("n").alias("n")))
@@ -165,7 +183,7 @@ def gram_counts(texts: DataFrame, open_words) -> DataFrame:
             stops: list[int] = []
             for text in batch.column(0).to_pylist():
                 words = tokens(base_of(text)[0])
-                ids += map(hasher, words)
+                ids += map(hasher.__getitem__, words)
                 place += range(len(words))
                 # What follows each word: 1 an end, 0 another word, 2 nothing.
                 stops += [1 if w in _ENDS else 0 for w in words[1:]]
@@ -208,7 +226,7 @@ def tails(documents: DataFrame, key: str, open_words) -> DataFrame:
                     continue
                 decided = by_structure(base, marked)
                 if decided is None:
-                    half, route = _LAST_SUBWORD.search(base), _ROUTE.search(base[base.rfind(" ") + 1 :])
+                    half, route = _LAST_SUBWORD.search(base[-200:]), _ROUTE.search(base[base.rfind(" ") + 1 :][-200:])
                     rows.append((i, None, hasher.tail(tokens(base[-400:])), half and half[0].lower(), route and base[base.rfind(" ") + 1 :].startswith("/") and route["last"] or None))
                 else:
                     rows.append((i, decided, None, None, None))
@@ -217,7 +235,7 @@ def tails(documents: DataFrame, key: str, open_words) -> DataFrame:
             types = (pa.bool_(), pa.list_(pa.int64()), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:5]), *(pa.array(r, t) for r, t in zip(rest, types))], names=["key", "source", "text_hash", "chars", "bytes", "decided", "grams", "subword", "route"])
 
-    return kept.mapInArrow(run, schema)
+    return spread(kept).mapInArrow(run, schema)
 
 
 def strict_prefixes(texts: DataFrame) -> DataFrame:

@@ -84,3 +84,8 @@ def test_frame(spark):
     texts = {(r.diff_id or 0, r.field): r.text for r in c.redact_secrets(df, "diff_id", ["patch", "content"]).collect()}
     assert set(texts) == {(0, "patch"), (1, "patch"), (3, "patch")} and len(texts[3, "patch"]) == len(long)
     assert c.find_secrets(df.limit(0), "diff_id", ["patch"]).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    for text in ("token" * 40_000, "key=" * 40_000, "a:" * 60_000 + "pass", "x=a." * 40_000 + "token", '"' * 50_000 + "secret", "pw-" * 50_000, "://" * 40_000, "password = " + "Aa1" * 60_000):
+        FIND.find(text)

@@ -75,3 +75,18 @@ def test_piled_lengths(spark):
     rows = [("a", rng.randrange(20, 400)) for _ in range(600)] + [("a", 255)] * 40 + [("b", rng.randrange(20, 400)) for _ in range(600)]
     df = spark.createDataFrame([(s, n, n, None) for s, n in rows], "source string, chars int, bytes int, decided boolean")
     assert {(r.source, r.length) for r in t.piled_lengths(df).collect()} == {("a", 255)}
+
+
+def test_a_cut_word_does_not_count_as_complete():
+    kinds, _, words, counts = t._word_rows(["the whole thing th", "reading GET /orders/:id/lines now and /orders/:id/lin"])
+    complete = {w: n for k, w, n in zip(kinds, words, counts) if k == 1}
+    assert complete["the"] == 1 and "th" not in complete and "t" not in complete and "lin" not in complete
+    assert {w for k, w in zip(kinds, words) if k == 2} == {"lines"}
+
+
+def test_long_runs_take_linear_time():
+    for text in ("x1y2" * 30_000, "a." * 50_000, "." * 100_000, "aB1" * 40_000, "a/b" * 40_000, "- " * 60_000, "0a" * 60_000, " " * 200_000 + "x"):
+        base, marked = t.base_of(text)
+        t.by_structure(base, marked)
+        assert len(t.tokens(base)) <= len(base)
+        t._word_rows([text])
