@@ -96,7 +96,7 @@ def _layering(t):
 
 
 add("layer_transitions", _layering, sql("SELECT a.category AS from_layer, b.category AS to_layer, count(*) AS n, max(CASE WHEN MAP {'structure': 0, 'behaviour': 1, 'data': 2}[a.category] > MAP {'structure': 0, 'behaviour': 1, 'data': 2}[b.category] THEN 1 WHEN MAP {'structure': 0, 'behaviour': 1, 'data': 2}[a.category] IS NOT NULL AND MAP {'structure': 0, 'behaviour': 1, 'data': 2}[b.category] IS NOT NULL THEN 0 END) AS against FROM calls c JOIN nodes a ON a.id = c.source AND NOT coalesce(a.is_test, false) AND a.category IS NOT NULL JOIN nodes b ON b.id = c.target AND NOT coalesce(b.is_test, false) AND b.category IS NOT NULL GROUP BY 1, 2", "calls", "nodes"))
-add("method_call_lists", lambda t: v.calls(t).select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("made"), F.lit(0).alias("received")), F.struct(F.col("target").alias("id"), F.lit(0).alias("made"), F.lit(1).alias("received")))).alias("x")).groupBy("x.id").agg(F.sum("x.made").alias("made_by"), F.sum("x.received").alias("received_by")), sql("SELECT id, sum(m) AS made_by, sum(r) AS received_by FROM (SELECT source AS id, 1 AS m, 0 AS r FROM calls UNION ALL SELECT target, 0, 1 FROM calls) GROUP BY id", "calls"))
+add("method_call_lists", lambda t: v.calls(t).select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("made"), F.lit(0).alias("received")), F.struct(F.col("target").alias("id"), F.lit(0).alias("made"), F.lit(1).alias("received")))).alias("x")).groupBy("x.id").agg(F.sum("x.made").alias("made_by"), F.sum("x.received").alias("received_by")), sql("SELECT id, CAST(sum(m) AS BIGINT) AS made_by, CAST(sum(r) AS BIGINT) AS received_by FROM (SELECT source AS id, 1 AS m, 0 AS r FROM calls UNION ALL SELECT target, 0, 1 FROM calls) GROUP BY id", "calls"))
 
 
 def _flow_links(t):

@@ -89,7 +89,7 @@ add("field_drift", lambda t: t("cas_node").select("project_id", "snapshot_no", "
 add("near_copies", lambda t: similar.similar_classes(t("documents"), "doc_id", "text"))
 add("er_diagram", lambda t: v.edges(t).where("type = 'depends_on' and target is not null").select("source", "target").distinct().groupBy("source").agg(F.concat_ws(", ", F.array_sort(F.collect_list("target"))).alias("relations")), sql("SELECT source, string_agg(target, ', ' ORDER BY target) AS relations FROM (SELECT DISTINCT source, target FROM edges WHERE type = 'depends_on' AND target IS NOT NULL) GROUP BY 1", "edges"))
 add("project_markdown", lambda t: v.nodes(t).groupBy("project_id", "type").agg(F.count("*").alias("n")).groupBy("project_id").agg(F.concat(F.lit("# "), F.col("project_id"), F.lit("\n"), F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("type"), F.lit(": "), F.col("n").cast("string")))))).alias("markdown")), sql("SELECT project_id, '# ' || project_id || chr(10) || string_agg('- ' || type || ': ' || n, chr(10) ORDER BY '- ' || type || ': ' || n) AS markdown FROM (SELECT project_id, type, count(*) AS n FROM nodes GROUP BY 1, 2) GROUP BY 1", "nodes"))
-add("system_overview", lambda t: t("analysis_entry").distinct().groupBy("system_type").agg(F.count_distinct("project_id").alias("projects"), F.max("node_count").alias("largest"), F.sum("edge_count").alias("edges")), "SELECT system_type, count(DISTINCT project_id) AS projects, max(node_count) AS largest, sum(edge_count) AS edges FROM (SELECT DISTINCT * FROM analysis_entry) GROUP BY 1")
+add("system_overview", lambda t: t("analysis_entry").distinct().groupBy("system_type").agg(F.count_distinct("project_id").alias("projects"), F.max("node_count").alias("largest"), F.sum("edge_count").alias("edges")), "SELECT system_type, count(DISTINCT project_id) AS projects, max(node_count) AS largest, CAST(sum(edge_count) AS BIGINT) AS edges FROM (SELECT DISTINCT * FROM analysis_entry) GROUP BY 1")
 add("framework_counts", lambda t: t("analysis_entry").select("project_id", F.explode("frameworks").alias("framework")).distinct().groupBy("framework").agg(F.count("*").alias("projects")), "SELECT framework, count(*) AS projects FROM (SELECT DISTINCT project_id, unnest(frameworks) AS framework FROM analysis_entry) GROUP BY 1")
 add("in_flight_bursts", lambda t: telemetry.bursts(t("in_flight_diff_file").where("agent_id is not null"), "agent_id", "captured_at", "1 hour").groupBy("agent_id").agg(F.count("*").alias("bursts"), F.max("changes").alias("largest")), """WITH x AS (SELECT agent_id, captured_at, CASE WHEN captured_at - lag(captured_at) OVER (PARTITION BY agent_id ORDER BY captured_at) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM in_flight_diff_file WHERE agent_id IS NOT NULL),
     y AS (SELECT agent_id, sum(fresh) OVER (PARTITION BY agent_id ORDER BY captured_at RANGE UNBOUNDED PRECEDING) AS b FROM x), z AS (SELECT agent_id, b, count(*) AS n FROM y GROUP BY 1, 2) SELECT agent_id, count(*) AS bursts, max(n) AS largest FROM z GROUP BY 1""")

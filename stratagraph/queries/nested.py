@@ -69,5 +69,5 @@ SQL = {
     "p4_changes": _CHANGES + "SELECT project_id, snapshot_no, before, id, change FROM joined WHERE change IS NOT NULL",
     "p7_found": _CALLERS + "SELECT target FROM callers WHERE callers_of_target > 0 AND callers_of_target * 100 >= (SELECT sum(callers_of_target) FROM callers)",
     "p7_callers": _CALLERS + "SELECT target, edges, callers_of_target FROM callers",
-    "p7_library_edges": "SELECT s.library, count(*) AS joined_rows, sum(e.occurrences) AS occurrences FROM cas_edge e JOIN shared_node s ON e.target = s.id GROUP BY s.library",
+    "p7_library_edges": "SELECT s.library, count(*) AS joined_rows, CAST(sum(e.occurrences) AS BIGINT) AS occurrences FROM cas_edge e JOIN shared_node s ON e.target = s.id GROUP BY s.library",
 }

@@ -197,7 +197,7 @@ add("entity_accessors", _accessors, sql("SELECT target, count(*) FILTER (WHERE w
 
 # -- aggregations --------------------------------------------------------------
 add("summary_counts", lambda t: v.nodes(t).groupBy("project_id").agg(F.count("*").alias("nodes"), F.count_distinct("type").alias("types"), F.count_distinct("file").alias("files"), F.count_if("is_test").alias("tests"), F.count_if("is_exported").alias("exported")), sql("SELECT project_id, count(*) AS nodes, count(DISTINCT type) AS types, count(DISTINCT file) AS files, count(*) FILTER (WHERE is_test) AS tests, count(*) FILTER (WHERE is_exported) AS exported FROM nodes GROUP BY 1", "nodes"))
-add("fan_in_out", lambda t: v.edges(t).where("type in ('calls', 'instantiates')").select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).where("x.id is not null").groupBy("x.id").agg(F.sum("x.i").alias("fan_in"), F.sum("x.o").alias("fan_out")), sql("SELECT id, sum(i) AS fan_in, sum(o) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges WHERE type IN ('calls', 'instantiates') AND target IS NOT NULL UNION ALL SELECT source, 0, 1 FROM edges WHERE type IN ('calls', 'instantiates')) GROUP BY id", "edges"))
+add("fan_in_out", lambda t: v.edges(t).where("type in ('calls', 'instantiates')").select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).where("x.id is not null").groupBy("x.id").agg(F.sum("x.i").alias("fan_in"), F.sum("x.o").alias("fan_out")), sql("SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges WHERE type IN ('calls', 'instantiates') AND target IS NOT NULL UNION ALL SELECT source, 0, 1 FROM edges WHERE type IN ('calls', 'instantiates')) GROUP BY id", "edges"))
 add("reference_counts", lambda t: v.edges(t).where("type <> 'contains' and target is not null and source <> target").groupBy("target").agg(F.count_distinct("source").alias("callers")), sql("SELECT target, count(DISTINCT source) AS callers FROM edges WHERE type <> 'contains' AND target IS NOT NULL AND source <> target GROUP BY 1", "edges"))
 _RISK = "CASE risk WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END"
 
@@ -208,17 +208,17 @@ def _change_summary(key, key_sql):
         c = v.commits(t).withColumn("key", key()).join(files, "commit_id", "left")
         return c.groupBy("key").agg(F.count("*").alias("changes"), F.sum("files").alias("files"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.round(F.avg(F.expr(_RISK)), 6).alias("avg_risk"), F.max(F.expr(_RISK)).alias("max_risk"), F.count_if(F.col("risk") == "high").alias("high_risk"))
 
-    return build, sql(f"""WITH f AS (SELECT commit_id, sum(added) AS added, sum(removed) AS removed, count(*) AS files FROM commit_files GROUP BY 1)
-        SELECT {key_sql} AS key, count(*) AS changes, sum(files) AS files, sum(added) AS added, sum(removed) AS removed, round(avg({_RISK}), 6) AS avg_risk, max({_RISK}) AS max_risk, count(*) FILTER (WHERE risk = 'high') AS high_risk FROM commits LEFT JOIN f USING (commit_id) GROUP BY 1""", "commits", "commit_files")
+    return build, sql(f"""WITH f AS (SELECT commit_id, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, count(*) AS files FROM commit_files GROUP BY 1)
+        SELECT {key_sql} AS key, count(*) AS changes, CAST(sum(files) AS BIGINT) AS files, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, round(avg({_RISK}), 6) AS avg_risk, max({_RISK}) AS max_risk, count(*) FILTER (WHERE risk = 'high') AS high_risk FROM commits LEFT JOIN f USING (commit_id) GROUP BY 1""", "commits", "commit_files")
 
 
 add("change_summary_author", *_change_summary(lambda: F.col("author"), "author"))
 add("change_summary_intent", *_change_summary(lambda: F.col("intent"), "intent"))
 add("change_summary_day", *_change_summary(lambda: F.to_date("ts"), "CAST(ts AS DATE)"))
 add("change_summary_week", *_change_summary(lambda: F.date_sub(F.to_date("ts"), F.dayofweek("ts") - 1), "CAST(CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER) AS DATE)"))
-add("change_summary_file", lambda t: v.commit_files(t).join(v.commits(t), "commit_id").groupBy("path").agg(F.count("*").alias("changes"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max(F.expr(_RISK)).alias("max_risk")), sql(f"SELECT path, count(*) AS changes, sum(added) AS added, sum(removed) AS removed, max({_RISK}) AS max_risk FROM commit_files JOIN commits USING (commit_id) GROUP BY path", "commits", "commit_files"))
+add("change_summary_file", lambda t: v.commit_files(t).join(v.commits(t), "commit_id").groupBy("path").agg(F.count("*").alias("changes"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max(F.expr(_RISK)).alias("max_risk")), sql(f"SELECT path, count(*) AS changes, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed, max({_RISK}) AS max_risk FROM commit_files JOIN commits USING (commit_id) GROUP BY path", "commits", "commit_files"))
 add("change_summary_module", lambda t: v.commit_files(t).groupBy("commit_id").agg(F.min("path").alias("p")).groupBy(F.substring_index("p", "/", 2).alias("module")).agg(F.count("*").alias("changes")), sql("SELECT string_split(p, '/')[1] || '/' || string_split(p, '/')[2] AS module, count(*) AS changes FROM (SELECT commit_id, min(path) AS p FROM commit_files GROUP BY 1) GROUP BY 1", "commit_files"))
-add("file_churn", lambda t: history.file_churn(v.commits(t), v.commit_files(t)), sql("SELECT path, count(*) AS commits, count(DISTINCT author) AS authors, count(*) FILTER (WHERE intent = '1-URGENT') AS fixes, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM commits) - INTERVAL 30 DAY) AS last_30d, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM commits) - INTERVAL 90 DAY) AS last_90d, sum(added) AS added, sum(removed) AS removed FROM commit_files JOIN commits USING (commit_id) GROUP BY path", "commits", "commit_files"))
+add("file_churn", lambda t: history.file_churn(v.commits(t), v.commit_files(t)), sql("SELECT path, count(*) AS commits, count(DISTINCT author) AS authors, count(*) FILTER (WHERE intent = '1-URGENT') AS fixes, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM commits) - INTERVAL 30 DAY) AS last_30d, count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM commits) - INTERVAL 90 DAY) AS last_90d, CAST(sum(added) AS BIGINT) AS added, CAST(sum(removed) AS BIGINT) AS removed FROM commit_files JOIN commits USING (commit_id) GROUP BY path", "commits", "commit_files"))
 add("fix_percentile", lambda t: select.percentile_below(history.file_churn(v.commits(t), v.commit_files(t)).where("fixes > 0 or commits > 1").select("path", "fixes"), "fixes", "fix_percentile"), sql("WITH c AS (SELECT path, count(*) FILTER (WHERE intent = '1-URGENT') AS fixes, count(*) AS n FROM commit_files JOIN commits USING (commit_id) GROUP BY path) SELECT path, fixes, CAST(floor(100 * (rank() OVER (ORDER BY fixes) - 1) / count(*) OVER ()) AS INTEGER) AS fix_percentile FROM c WHERE fixes > 0 OR n > 1", "commits", "commit_files"))
 _PAIRS = "WITH ok AS (SELECT commit_id FROM commit_files GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), pairs AS (SELECT a.path AS a, b.path AS b, count(*) AS together FROM commit_files a JOIN commit_files b ON a.commit_id = b.commit_id AND a.path < b.path WHERE a.commit_id IN (SELECT commit_id FROM ok) GROUP BY 1, 2 HAVING count(*) >= 2)"
 add("co_change_pairs", lambda t: history.co_change(v.commit_files(t)), sql(_PAIRS + " SELECT a, b, together FROM pairs", "commit_files"))
@@ -233,7 +233,7 @@ def _hot_spots(t):
     return select.page(scaled.select("path", "raw", "value"), [F.col("raw").desc(), "path"], 20)
 
 
-add("hot_spots", _hot_spots, sql("WITH r AS (SELECT path, sum(added + removed) AS raw FROM commit_files GROUP BY 1) SELECT path, raw, round((raw - (SELECT min(raw) FROM r)) / ((SELECT max(raw) FROM r) - (SELECT min(raw) FROM r))::DOUBLE, 6) AS value FROM r ORDER BY raw DESC, path LIMIT 20", "commit_files"))
+add("hot_spots", _hot_spots, sql("WITH r AS (SELECT path, CAST(sum(added + removed) AS BIGINT) AS raw FROM commit_files GROUP BY 1) SELECT path, raw, round((raw - (SELECT min(raw) FROM r)) / ((SELECT max(raw) FROM r) - (SELECT min(raw) FROM r))::DOUBLE, 6) AS value FROM r ORDER BY raw DESC, path LIMIT 20", "commit_files"))
 add("project_health", lambda t: v.nodes(t).join(_tests_per_target(t).withColumnRenamed("target", "id"), "id", "left").groupBy("project_id").agg(F.count("*").alias("units"), F.count_if(F.col("test_files") > 0).alias("tested"), F.round(1 - F.count_if(F.col("test_files") > 0) / F.count("*"), 6).alias("untested_share")), sql("WITH x AS (SELECT target, count(DISTINCT n.file) AS test_files FROM edges e JOIN nodes n ON n.id = e.source AND n.is_test WHERE e.type IN ('calls', 'instantiates') AND target IS NOT NULL GROUP BY target) SELECT project_id, count(*) AS units, count(*) FILTER (WHERE test_files > 0) AS tested, round(1 - count(*) FILTER (WHERE test_files > 0) / count(*)::DOUBLE, 6) AS untested_share FROM nodes LEFT JOIN x ON x.target = nodes.id GROUP BY 1", "nodes", "edges"))
 add("conformance_shapes", lambda t: select.first_per_key(v.nodes(t).where("file is not null").select(F.coalesce(fx.language_of(F.col("file")), F.lit("?")).alias("language"), fx.naming_style(F.regexp_replace(fx.base_name(F.col("file")), r"\..*$", "")).alias("shape")).groupBy("language", "shape").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("language")), 6)), ["language"], [F.col("n").desc(), F.col("shape")]))
 add("seam_inventory", lambda t: v.edges(t).where("target is not null").withColumns({"a": F.substring_index("source", ":", 1), "b": F.substring_index("target", ":", 1)}).groupBy("a", "b").agg(F.count("*").alias("total"), F.concat_ws(",", F.array_sort(F.collect_set("type"))).alias("types")), sql("SELECT string_split(source, ':')[1] AS a, string_split(target, ':')[1] AS b, count(*) AS total, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM edges WHERE target IS NOT NULL GROUP BY 1, 2", "edges"))
