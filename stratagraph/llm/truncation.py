@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stratagraph.session import durable, spread
 
 GRAMS = 5
-_TOKEN = re.compile(r"\n\s*+|```|(?:[A-Za-z]{1,20}+://)?(?:[\w.:-]{0,300}+/)++[\w.:-]*+|(?=\w{0,200}?[a-z0-9][A-Z])\w++|(?=[^\W_]{1,200}+_)\w++|(?=[0-9a-f]{0,120}?\d)(?=\d{0,120}+[a-f])[0-9a-f]{1,120}+(?!\w)|\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*+(?![\w/]|[.:-][\w/])|\n\s*+|```|(?:[A-Za-z]{1,20}+://)?(?:[\w.:-]{0,300}+/)++[\w.:-]*+|(?=\w{0,200}?[a-z0-9][A-Z])\w++|(?=[^\W_]{1,200}+_)\w++|(?=[0-9a-f]{0,120}?\d)(?=\d{0,120}+[a-f])[0-9a-f]{1,120}+(?!\w)|\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")
 _NAME = re.compile(r"[a-z0-9][A-Z]|_")
 _HEX = re.compile(r"(?=\d*[a-f])[0-9a-f]*\d[0-9a-f]*")
 _EXTENSION = re.compile(r"\w\.[A-Za-z]{1,5}$")
