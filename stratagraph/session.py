@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,10 +40,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, which survives the loss of executors."""
+def durable(df: DataFrame, costly: bool = False) -> DataFrame:
+    """Cut lineage by a reliable checkpoint, which survives the loss of executors.
+
+    Spark makes the rows once to count them and once to write them. With ``costly`` they are kept on the
+    executors' disks in between, which pays for work in Python; what is lost there is made again.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not costly:
+        return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
 
 
 def spread(rows: DataFrame) -> DataFrame:
