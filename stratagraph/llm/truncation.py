@@ -273,7 +273,7 @@ def strict_prefixes(texts: DataFrame) -> DataFrame:
             yield rows(found)
         yield rows([(place, "last", h, text) for h, text in waiting])
 
-    found = durable(ordered.mapInArrow(run, "part int, edge string, text_hash bigint, bare string"))
+    found = durable(ordered.mapInArrow(run, "part int, edge string, text_hash bigint, bare string"), costly=True)
     # One first row per partition; the last ones of a partition meet the first of the next that has rows.
     firsts = found.where("edge = 'first'").select(F.col("part").alias("next"), F.col("bare").alias("after"))
     parts = W.orderBy("part")
@@ -316,7 +316,7 @@ def cut_texts(documents: DataFrame, key: str = "doc_id", went_on_share: float =
     texts = kept.where("text is not null and trim(text) != ''").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("text")
     words = corpus_words(texts)
     open_words = spark.sparkContext.broadcast(interchangeable(words))
-    tail = durable(tails(kept, key, open_words))
+    tail = durable(tails(kept, key, open_words), costly=True)
     limits = piled_lengths(tail)
     vocabulary = words.where("kind = 1 and n >= 2").select("word")
     halves = vocabulary.where("length(word) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("subword")).distinct()
