@@ -153,7 +153,7 @@ def not_hand_written(files: DataFrame, key: str = "diff_id", folder: str = trans
 
     Rows with a null content count by their path alone. Repeated keys give repeated rows.
     """
-    said = durable(evidence(files, key, folder, name))
+    said = durable(evidence(files, key, folder, name), costly=True)
     known = said.where("path_kind = 'vendored' or head_kind = 'vendored'").select(key).distinct()
     copies = contained_copies(files, known, key).select(key, F.lit("copied").alias("copy_kind")).distinct()
     reason = F.coalesce("path_kind", "head_kind", "copy_kind", "body_kind")
