@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100
             )
 
     # The index is written once; rows, queries and their counts per cell are read from it.
-    index = durable(distinct.mapInArrow(assign, "model string, key string, ids array<bigint>, embedding array<float>, home int, near array<int>, bits binary, length double, fit double"))
+    index = durable(distinct.mapInArrow(assign, "model string, key string, ids array<bigint>, embedding array<float>, home int, near array<int>, bits binary, length double, fit double"), costly=True)
     asked = index.select("model", "key", "embedding", F.explode("near").alias("cell"))
     # Rows and queries per cell decide into how many blocks they are cut.
     rows_in = index.groupBy("model", F.col("home").alias("cell")).agg(F.count("*").alias("rows"))

@@ -18,7 +18,7 @@ def _supply(t: Catalog):
 
 
 def _mix(t: Catalog):
-    counted = durable(mixing.document_tokens(t("documents")))
+    counted = durable(mixing.document_tokens(t("documents")), costly=True)
     demand = durable(mixing.with_demand(mixing.source_tokens(counted, t("mix_target"))))
     return mixing.realise(counted, demand), demand
 
