@@ -34,7 +34,7 @@ _REFERENCE = re.compile(r"\$\{|\$\(|^\$\w|\{\{|\}\}|^%\w+%?$|%\(|%s|^\{\w*\}$|pr
 _HEADER_OF_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END_OF_KEY = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-_URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]{0,30}+://(?P<user>[^\s:/@'\"`<>]*):(?P<v>[^\s@'\"`]+?)@(?=[\w\[$\{-])")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])(?:(?!\b[A-Za-z])[A-Za-z0-9+.-])*+[A-Za-z][A-Za-z0-9+.-]*+://(?P<user>[^\s:/@'\"`<>]*):(?P<v>[^\s@'\"`]+?)@(?=[\w\[$\{-])")
 _QUERY = re.compile(r"[;?&](?:password|passwd|pwd|pass|secret|token|access_token|api_key|apikey|sig)=(?P<v>[^;&\s\"'`]+)", re.I)
 _BASIC = re.compile(r"\bBasic\s+(?P<v>[A-Za-z0-9+/]{6,}={0,2})")
 _BEARER = re.compile(r"\bBearer\s+(?P<v>[A-Za-z0-9_.~+/=-]{12,})")
@@ -50,20 +50,27 @@ _CALLS = [
     re.compile(r"\blog(?:s|ged)?[\s-]?in\s+(?:was|is|as|with|data:?)\s+[\w.@-]+(?::|\s*/\s*)(?P<v7d>[^\s/]+)", re.I),
     re.compile(r"\b(?:credentials?|account|user)\s*(?:was|is|are|:)\s+[\w.@-]+\s*/\s*(?P<v8d>[^\s/]+)", re.I),
 ]
-#: name, what joins it to a value, and the value: quoted, possibly in a call, or bare up to the end of the line.
+#: name, what joins it to a value, and the value: quoted, possibly in a call, or the first character of a bare one. A name
+#: begins at the first letter of its run of name characters, so that each run is read once.
 _ASSIGNED = re.compile(
-    r"(?<![\w.])(?P<k>[A-Za-z_][\w.-]{0,120}+)[\"'`]?\]?\s*(?:\?\?=|\|\|=|:=|=>|==?|:|,|\()\s*"
+    r"(?<![\w.-])(?:(?![A-Za-z_])[\w.-])*+(?P<k>[A-Za-z_][\w.-]*+)[\"'`]?\]?\s*(?:\?\?=|\|\|=|:=|=>|==?|:|,|\()\s*"
     r"(?:(?:\[\]byte|bytes|String|str|Secret|new \w+|SecretStr|quote)?\s*\(\s*)?[bru]?"
-    r"(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`|(?P<d>[^\s\"'`(){}\[\],;<>]{1,4096}+)(?=\s*(?:[,;]?\s*$|\s(?:#|//))))"
+    r"(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`|(?P<d>[^\s\"'`(){}\[\],;<>]))"
 )
+#: A bare value, and what stands after it: the end of the line or a comment.
+_BARE = re.compile(r"[^\s\"'`(){}\[\],;<>]++")
+_BARE_END = re.compile(r"\s*(?:[,;]?\s*$|\s(?:#|//))")
 _TAG = re.compile(r"<(?P<k>[A-Za-z][\w.-]*)>(?P<a>[^<\n]+)</")
-_TYPED = re.compile(r"(?<!\w)(?P<k>[A-Za-z_]\w{0,120}+)\s*:\s*[A-Za-z][\w<>\[\], |.]{0,80}?\s=\s*(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`)")
+_TYPED = re.compile(r"(?<!\w)(?:(?![A-Za-z_])\w)*+(?P<k>[A-Za-z_]\w*+)\s*:\s*[A-Za-z][\w<>\[\], |.]*?\s=\s*(?:\"(?P<a>[^\"\n]+)\"|'(?P<b>[^'\n]+)'|`(?P<c>[^`\n]+)`)")
 _MORE = re.compile(r"^[+ -]?\s*(?P<plus>[+.]\s*)?[bru]?(?:\"(?P<a>[^\"\n]*)\"|'(?P<b>[^'\n]*)'|`(?P<c>[^`\n]*)`)")
-#: In lower case, at least one of these stands in every line that can hold a secret by the rules here.
-SUSPECTS = (
-    "pass|pwd|pw\"|pw'|pw]|pw=|pw:|pw |pw(|pwb|pwe|pw_|pw-|pin\"|pin'|pin]|pin=|pin:|pin |pin(|pin_|secret|token|key|cred|wort|motde|mot_de|clave|contrase|senha|parola|wachtw|unlock|losung|bearer|basic|auth|"
-    "login|log in|logs in|logged in|signin|connect|account|user |user:|jwt|identified|curl|://|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|glpat-|akia|asia|aiza|sk_live_|sk_test_|rk_live_|rk_test_|xox|npm_|pypi-|sg.|eyj"
+#: At least one of these stands, as ``_flat`` gives it, in every line that can hold a secret by the rules here: all ends of
+#: names, and for each other pattern a piece that none of its matches is without.
+SUSPECTS = (PASSWORD_ENDS + " " + TOKEN_ENDS).split() + (
+    "://|sig=|basic|auth|login|log in|logsin|logs in|loggedin|logged in|signin|connect|identified|curl|account|user |user:|userwas|useris|userare|private key|"
+    "ghp|gho|ghu|ghs|ghr|githubpat|glpat|akia|asia|aiza|sklive|sktest|rklive|rktest|xox|npm|pypi|sg.|eyj|\u0131|\u017f"
 ).split("|")
+_DROPPED = str.maketrans({c: None for c in "0123456789_-"} | {c: " " for c in "\t\r\v\f\x1c\x1d\x1e\x1f"})
+_FOREIGN = re.compile(r"[^\x00-\x7f\u00f1\u0131\u017f]+")
 
 
 def _machine():
@@ -79,10 +86,13 @@ def _machine():
     return made
 
 
-def _lower(text: str) -> str:
-    """Lower case with every character in its place."""
+def _flat(text: str) -> str:
+    """Lower case without what ``Finder.named`` skips in names: digits, '_', '-' and foreign letters; line feeds stay.
+
+    The two foreign letters that patterns without case take for 'i' and 's' stay as well; they are suspects themselves.
+    """
     low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    return (low if low.isascii() else _FOREIGN.sub("", low)).translate(_DROPPED)
 
 
 @dataclass(frozen=True)
@@ -104,11 +114,14 @@ class Finder:
         #: encode gives the subwords of a text; below ``natural`` characters per subword a string is no language.
         self.encode, self.natural, self.machine = encode, natural, _machine()
 
-    def suspects(self, text: str) -> Iterator[int]:
-        """Places in the text where something stands that lines with secrets have."""
-        if hasattr(self.machine, "iter"):
-            return (end for end, _ in self.machine.iter(_lower(text)))
-        return (m.start() for m in self.machine.finditer(_lower(text)))
+    def suspects(self, text: str) -> list[int]:
+        """Numbers (from 0) of the lines in which something stands that lines with secrets have."""
+        flat = _flat(text)
+        places = [end for end, _ in self.machine.iter(flat)] if hasattr(self.machine, "iter") else [m.start() for m in self.machine.finditer(flat)]
+        if not places:
+            return []
+        starts = [0, *accumulate(len(x) + 1 for x in flat.split("\n"))]
+        return sorted({bisect_right(starts, p) - 1 for p in places})
 
     def unnatural(self, value: str) -> bool:
         return len(value) < self.natural * max(1, len(self.encode(value)))
@@ -163,7 +176,10 @@ class Finder:
         return None if rest == "" and opened and not parts else (value, parts)
 
     def in_line(self, lines: list[str], n: int) -> Iterator[tuple]:
-        """(start, end, kind) of the secrets that begin in a line, with the places of parts in later lines if it has any."""
+        """(start, end, kind) of the secrets that begin in a line, with the places of parts in later lines if it has any.
+
+        Bare values, which are marked by a None, are still to be judged.
+        """
         line = lines[n]
         for m in _URL.finditer(line):
             if not self.stands_in(m["v"]) and not self.words_only(m["v"]):
@@ -191,7 +207,7 @@ class Finder:
                 if len(value) >= 4 and not self.stands_in(value) and not self.words_only(value):
                     yield *m.span(name), "login"
         for pattern in (_ASSIGNED, _TYPED, _TAG):
-            at = 0
+            at = stop = 0
             # Values are looked into again: a name may itself stand where a value would.
             while m := pattern.search(line, at):
                 at = m.end("k")
@@ -199,20 +215,27 @@ class Finder:
                 group = m.lastgroup
                 if kind is None or group == "k":
                     continue
-                whole = (m[group], []) if group == "d" else self._whole(lines, n, m, group)
-                if whole is not None and self.secret_value(whole[0], kind == "password", group == "d"):
+                if group == "d":
+                    if m.end("d") > stop:
+                        stop = _BARE.match(line, m.start("d")).end()
+                        ends = _BARE_END.match(line, stop) is not None
+                    if ends:
+                        yield m.start("d"), stop, kind, None
+                    continue
+                whole = self._whole(lines, n, m, group)
+                if whole is not None and self.secret_value(whole[0], kind == "password"):
                     yield *m.span(group), kind, *whole[1]
 
     def find(self, text: str) -> list[Secret]:
         """The secrets of a whole text, in order; lines end at the line feed."""
-        places = list(self.suspects(text))
-        if not places:
+        suspects = self.suspects(text)
+        if not suspects:
             return []
         lines = text.split("\n")
         found: list[Secret] = []
         starts = [0, *accumulate(len(x) + 1 for x in lines)]
         inside = -1
-        for n in sorted({bisect_right(starts, p) - 1 for p in places}):
+        for n in suspects:
             if n <= inside:
                 continue
             line, offset = lines[n], starts[n]
@@ -223,11 +246,13 @@ class Finder:
                     found.append(Secret(offset + m.start(), offset + m.start() + length, n + 1, "private key"))
                 continue
             lines[n] = line.rstrip("\r")
-            spans = sorted(set(self.in_line(lines, n)))
+            spans = sorted(set(self.in_line(lines, n)), key=lambda x: (x[:3], x[3:] == (None,), x[3:]))
             lines[n] = line
             end = -1
             for start, stop, kind, *parts in spans:
-                if start >= end:
+                # What lies in another secret needn't be judged.
+                if start >= end and (parts != [None] or self.secret_value(line[start:stop], kind == "password", True)):
+                    parts = [] if parts == [None] else parts
                     found.append(Secret(offset + start, offset + stop, n + 1, kind, tuple((starts[i] + a, starts[i] + b) for i, a, b in parts)))
                     end = stop
         return found
