@@ -120,31 +120,43 @@ def evidence(files: DataFrame, key: str = "diff_id", folder: str = transducer.FO
 
 
 def rare_lines(files: DataFrame, shortest: int = 16) -> DataFrame:
-    """(text, line): hashes of the distinct contents and of their lines that are long enough to be telling."""
+    """(text, size, line): hashes of the distinct contents and of their lines that are long enough to be telling, and how many these are."""
     contents = files.where("content is not null and content != ''").select(F.xxhash64("content").alias("text"), "content").dropDuplicates(["text"])
     lines = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= shortest)
-    return contents.select("text", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("line"))
+    hashes = contents.select("text", F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines"))
+    return hashes.select("text", F.size("lines").alias("size"), F.explode("lines").alias("line"))
 
 
 def contained_copies(files: DataFrame, known: DataFrame, key: str = "diff_id", share: float = 0.8, least: int = 4, common: int = 12, salts: int = 16) -> DataFrame:
-    """``key`` and containment of files whose rare lines stand, to at least ``share``, in known third-party files.
+    """``key`` and containment of files whose rare lines stand, to at least ``share``, in known third-party files, or all lines in one such file.
 
     ``known`` holds the keys of files with third-party evidence. The inverted index maps each line hash to
     the number of distinct contents it stands in and to whether a known one is among them. A line is
     rare if it stands in at most ``common`` contents; the containment of a file is exact over all of its
-    rare lines, of which it needs ``least``. Equal contents are indexed once. The join back to the files'
-    lines is salted, as a line that stands everywhere meets it although it can't match.
+    rare lines, of which it needs ``least``. Lines of a file with many edited versions aren't rare, so a
+    file also counts if a single known one holds ``share`` of all its lines, ``least`` or more: lines that
+    stand everywhere are found together in third-party files as a whole, but not in one of them. Only files
+    whose lines stand to that share in known ones at all are compared one by one. Equal contents are indexed
+    once. The joins back to the files' lines are salted, as a line that stands everywhere meets them.
     """
     texts = files.where("content is not null and content != ''").select(key, F.xxhash64("content").alias("text"))
     sources = texts.join(known.select(key), key, "left_semi").select("text").distinct().withColumn("known", F.lit(1))
     lines = rare_lines(files)
     marked = lines.join(sources, "text", "left")
-    index = marked.groupBy("line").agg(F.count("*").alias("texts"), F.max(F.coalesce("known", F.lit(0))).alias("known")).where(F.col("texts") <= common)
+    index = marked.groupBy("line").agg(F.count("*").alias("texts"), F.max(F.coalesce("known", F.lit(0))).alias("known")).where((F.col("texts") <= common) | (F.col("known") == 1))
     index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = marked.where("known is null").withColumn("salt", F.pmod("text", F.lit(salts)).cast("int")).select("text", "line", "salt")
-    found = asked.join(index.select("line", "salt", F.col("known").alias("hit")), ["line", "salt"])
-    scores = found.groupBy("text").agg(F.count("*").alias("rare"), F.sum("hit").alias("hits")).where(F.col("hits") > 0)
-    copies = scores.where((F.col("rare") >= least) & (F.col("hits") >= share * F.col("rare"))).select("text", (F.col("hits") / F.col("rare")).alias("containment"))
+    asked = marked.where("known is null").withColumn("salt", F.pmod("text", F.lit(salts)).cast("int")).select("text", "size", "line", "salt")
+    rare = F.col("texts") <= common
+    found = asked.join(index.select("line", "salt", "texts", F.col("known").alias("hit")), ["line", "salt"])
+    scores = found.groupBy("text", "size").agg(F.count_if(rare).alias("rare"), F.sum(F.when(rare, F.col("hit")).otherwise(0)).alias("hits"), F.sum("hit").alias("held")).where(F.col("held") > 0)
+    by_rare = (F.col("hits") > 0) & (F.col("rare") >= least) & (F.col("hits") >= share * F.col("rare"))
+    by_all = (F.col("held") >= least) & (F.col("held") >= share * F.col("size"))
+    scores = durable(scores.withColumn("copy", by_rare).where(by_rare | by_all))
+    copies = scores.where("copy").select("text", (F.col("hits") / F.col("rare")).alias("containment"))
+    open_texts = scores.where("not copy").select("text")
+    sides = marked.where("known = 1").select(F.col("text").alias("source"), "line").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = asked.join(open_texts, "text", "left_semi").join(sides, ["line", "salt"]).groupBy("text", "size", "source").agg(F.count("*").alias("held")).where(by_all)
+    copies = copies.unionByName(held.groupBy("text").agg(F.max(F.col("held") / F.col("size")).alias("containment")))
     return texts.join(copies, "text").select(key, "containment")
 
 

@@ -70,3 +70,18 @@ def test_copies_equal_brute_force(spark):
     reasons = {r.diff_id: r.reason for r in p.not_hand_written(df).collect()}
     assert {k for k, v in reasons.items() if v == "copied"} == want and {k for k, v in reasons.items() if v == "vendored"} == set(range(8))
     assert p.not_hand_written(df.limit(0)).count() == 0
+
+
+def test_copies_with_many_versions(spark):
+    rng = random.Random(5)
+    line = lambda: f"value_{rng.randrange(10**9)} = compute({rng.randrange(10**6)})"
+    frames = [f"found = self.load(context, key)  # {i}" for i in range(12)]
+    body = [line() for _ in range(20)]
+    rows = [(i, f"node_modules/lib/v{i}.js", "\n".join(body + [line()])) for i in range(3)]
+    rows += [(100 + i, f"src/own{i}.js", "\n".join(body[:18] + [line() for _ in range(2)])) for i in range(30)]
+    # Lines of own files that stand everywhere, each in another third-party file, make no copy.
+    rows += [(200 + i, f"node_modules/other{i}/a.js", "\n".join([frames[i]] + [line() for _ in range(9)])) for i in range(12)]
+    rows += [(300 + i, f"src/plain{i}.js", "\n".join(frames[:8] + [line()])) for i in range(30)]
+    df = spark.createDataFrame(rows, "diff_id long, path string, content string")
+    found = {r.diff_id: r.containment for r in p.contained_copies(df, df.where("path like 'node_modules%'").select("diff_id")).collect()}
+    assert found == {100 + i: 0.9 for i in range(30)}
