@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as fx
-from stratagraph.operators import history, select, shredding
+from stratagraph.operators import history, select, shredding, snapshots
 from stratagraph.plans import views as v
 from stratagraph.plans.views import with_views as sql
 from stratagraph.queries.registry import Registry
@@ -57,6 +57,35 @@ add("snapshot_added_removed", _snapshot_sets, """WITH f AS (SELECT DISTINCT proj
     UNION ALL SELECT project_id, count(*), 'added' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.project_id = a.project_id AND b.id = a.id) GROUP BY 1""")
 
 
+def _snapshot_pairs(t):
+    """project_id, snapshot_no and before: each complete snapshot with the nearest earlier complete one."""
+    current = t("cas_node").select(F.col("project_id").alias("grp"), F.col("snapshot_no").alias("version"), F.col("id").alias("key")).dropna().distinct()
+    announced = t("analysis_entry").select(F.col("project_id").alias("grp"), F.col("snapshot_no").alias("version"), F.col("node_count").alias("size"))
+    return snapshots.consecutive(current, announced).where("before is not null").toDF(*_PAIR)
+
+
+_PAIR = ["project_id", "snapshot_no", "before"]
+_PAIRS_SQL = """sizes AS (SELECT project_id, snapshot_no, count(DISTINCT id) AS node_count FROM cas_node WHERE project_id IS NOT NULL AND snapshot_no IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2),
+    pairs AS (SELECT * FROM (SELECT project_id, snapshot_no, lag(snapshot_no) OVER (PARTITION BY project_id ORDER BY snapshot_no) AS before FROM sizes SEMI JOIN analysis_entry USING (project_id, snapshot_no, node_count)) WHERE before IS NOT NULL)"""
+
+
+def _both_sides(t, flat):
+    """Rows of the earlier and of the later snapshot of each pair; ``flat`` has project_id and snapshot_no."""
+    pairs = _snapshot_pairs(t)
+    return flat.withColumnRenamed("snapshot_no", "before").join(pairs, ["project_id", "before"]), flat.join(pairs, ["project_id", "snapshot_no"])
+
+
+def _all_snapshot_sets(t):
+    a, b = _both_sides(t, t("cas_node").select("project_id", "snapshot_no", "id").dropna().distinct())
+    only = lambda x, y, change: x.join(y.select(*_PAIR, "id"), [*_PAIR, "id"], "left_anti").groupBy(*_PAIR).agg(F.count("*").alias("n")).withColumn("change", F.lit(change))
+    return only(a, b, "deleted").unionByName(only(b, a, "added"))
+
+
+add("snapshot_added_removed_all", _all_snapshot_sets, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id FROM cas_node WHERE id IS NOT NULL)
+    SELECT p.project_id, p.snapshot_no, p.before, count(*) AS n, 'deleted' AS change FROM pairs p JOIN f a ON a.project_id = p.project_id AND a.snapshot_no = p.before WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no AND b.id = a.id) GROUP BY ALL
+    UNION ALL SELECT p.project_id, p.snapshot_no, p.before, count(*), 'added' FROM pairs p JOIN f b ON b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.project_id = p.project_id AND a.snapshot_no = p.before AND a.id = b.id) GROUP BY ALL""")
+
+
 def _renames(t):
     flat = t("cas_node").select("project_id", "snapshot_no", "id", "name", "type", F.col("source.file").alias("file"), F.size("signature.parameters").alias("parameters")).distinct()
     a, b = flat.where("snapshot_no = 1"), flat.where("snapshot_no = 2")
@@ -72,13 +101,27 @@ add("rename_match", _renames, """WITH f AS (SELECT DISTINCT project_id, snapshot
     SELECT x.project_id, old_id, new_id FROM x JOIN y ON x.project_id = y.project_id AND x.type = y.type AND x.file = y.file AND x.parameters = y.parameters""")
 
 
+def _all_renames(t):
+    a, b = _both_sides(t, t("cas_node").select("project_id", "snapshot_no", "id", "name", "type", F.col("source.file").alias("file"), F.size("signature.parameters").alias("parameters")).where("id is not null").distinct())
+    keys = [*_PAIR, "type", "file", "parameters"]
+    only = lambda x, y: x.join(y.select(*_PAIR, "id"), [*_PAIR, "id"], "left_anti")
+    unique = lambda x, name: x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias(name)).where("n = 1").drop("n")
+    return unique(only(a, b), "old_id").join(unique(only(b, a), "new_id"), keys).select(*_PAIR, "old_id", "new_id")
+
+
+add("rename_match_all", _all_renames, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id, name, type, source.file AS file, len(signature.parameters) AS parameters FROM cas_node WHERE id IS NOT NULL),
+    x AS (SELECT p.project_id, p.snapshot_no, p.before, type, file, parameters, min(id) AS old_id FROM pairs p JOIN f a ON a.project_id = p.project_id AND a.snapshot_no = p.before WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no AND b.id = a.id) GROUP BY ALL HAVING count(*) = 1),
+    y AS (SELECT p.project_id, p.snapshot_no, p.before, type, file, parameters, min(id) AS new_id FROM pairs p JOIN f b ON b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.project_id = p.project_id AND a.snapshot_no = p.before AND a.id = b.id) GROUP BY ALL HAVING count(*) = 1)
+    SELECT project_id, snapshot_no, before, old_id, new_id FROM x JOIN y USING (project_id, snapshot_no, before, type, file, parameters)""")
+
+
 def _breaking(t):
     sides = t("cas_node").where("metadata.is_exported").select("project_id", "snapshot_no", "id", F.to_json(F.transform("signature.parameters", lambda p: p["type"])).alias("sig"), F.col("signature.return_type").alias("returns"))
-    before = sides.where("snapshot_no = 1").groupBy("project_id", "id").agg(F.max("sig").alias("old_sig"), F.max("returns").alias("old_returns"))
-    after = sides.where("snapshot_no = 2").groupBy("project_id", "id").agg(F.max("sig").alias("sig"), F.max("returns").alias("returns"), F.lit(True).alias("there"))
-    announced = sides.where("snapshot_no = 2").select("project_id").distinct()
+    a, b = _both_sides(t, sides)
+    before = a.groupBy(*_PAIR, "id").agg(F.max("sig").alias("old_sig"), F.max("returns").alias("old_returns"))
+    after = b.groupBy(*_PAIR, "id").agg(F.max("sig").alias("sig"), F.max("returns").alias("returns"), F.lit(True).alias("there"))
     kind = F.when(F.col("there").isNull(), "removed").when(~F.col("sig").eqNullSafe(F.col("old_sig")), "signature").when(~F.col("returns").eqNullSafe(F.col("old_returns")), "type-change")
-    return before.join(announced, "project_id", "left_semi").join(after, ["project_id", "id"], "left").select("project_id", "id", kind.alias("kind")).where("kind is not null")
+    return before.join(after, [*_PAIR, "id"], "left").select(*_PAIR, "id", kind.alias("kind")).where("kind is not null")
 
 
 add("breaking_changes", _breaking)
