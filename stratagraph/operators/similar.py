@@ -1,8 +1,11 @@
-"""Near-equal texts by exact set similarity with prefix filtering, and their classes."""
+"""Near-equal texts by exact set similarity with prefix filtering, and their classes; vectors most like given ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.operators.graph import components
@@ -52,3 +55,39 @@ def similar_classes(texts: DataFrame, key: str, text: str, threshold: float = 0.
     own = texts.where(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("text_hash")).join(shingled.select("text_hash"), "text_hash")
     joined = own.join(named, "text_hash", "left").join(ends, "text_hash", "left")
     return joined.select(key, F.coalesce("class_id", "text_hash").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def cosine_top(rows: DataFrame, key: str, vector: str, asks: Column, k: int, block: int = 4096) -> DataFrame:
+    """query_id, ``key`` and score (cosine, 6 decimals): the k rows most like each row for which ``asks`` holds, itself among them.
+
+    Exact: blocks of queries meet blocks of all rows of the same length, and each pair of blocks keeps k rows
+    per query. Vectors that are null, all zero or not finite take no part. Ties go to the smaller key.
+    """
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
+    usable = rows.where(F.col(key).isNotNull() & good).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("width"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    sizes = usable.agg(F.count("*").alias("rows"), F.count_if("asks").alias("asks")).first()
+    row_cuts, ask_cuts = (F.lit(max(1, -(-n // block))) for n in (sizes["rows"], sizes["asks"]))
+    place = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    base = usable.select("key", "v", "width", place(row_cuts, 1).alias("row_cut")).withColumn("ask_cut", every(ask_cuts))
+    asked = usable.where("asks").select("key", "v", "width", place(ask_cuts, 2).alias("ask_cut")).withColumn("row_cut", every(row_cuts))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            sides = [x.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in (left, right)]
+            # Scaling first keeps squares finite.
+            units = [x / np.abs(x).max(axis=1, keepdims=True) for x in sides]
+            units, queries = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in units)
+            ids, names = left.column("key").to_numpy(), right.column("key").to_numpy()
+            for q, name in zip(queries, names):
+                score = np.round(units @ q, 6) + 0.0
+                first = np.lexsort((ids, -score))[:k]
+                out.append((np.full(len(first), name), ids[first], score[first]))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), key: pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+
+    by = ["width", "row_cut", "ask_cut"]
+    found = base.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, f"query_id bigint, {key} bigint, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), key))
+    return found.withColumn("place", rank).where(F.col("place") <= k).drop("place")

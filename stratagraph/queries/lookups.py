@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as fx
-from stratagraph.operators import select
+from stratagraph.operators import select, similar
 from stratagraph.plans import views as v
 from stratagraph.plans.views import with_views as sql
 from stratagraph.queries.registry import Registry
@@ -122,6 +122,9 @@ def _vector_top(t):
 add("vector_top_k", _vector_top, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
 
 
+add("vector_top_k_all", lambda t: similar.cosine_top(t("embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE place <= 20")
+
+
 def _quantised(t):
     scale = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
     e = t("embeddings").withColumn("largest", scale).where("largest > 0")

@@ -47,3 +47,17 @@ def test_pairs_and_classes_equal_all_pairs(spark):
         ids = [i for i, x in rows if x in pair]
         assert len({classes[i].class_id for i in ids}) == 1
     assert similar.similar_classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_every_query_vector_gets_its_top_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.standard_normal(8) for i in range(1, 300)} | {300: np.zeros(8)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()] + [(400, None), (420, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    want = {(420, 420, 1.0)}
+    for q in range(20, 300, 20):
+        scores = sorted((-round(float(v @ vectors[q] / np.linalg.norm(v) / np.linalg.norm(vectors[q])), 6), i) for i, v in vectors.items() if v.any())
+        want |= {(q, i, -s) for s, i in scores[:20]}
+    got = similar.cosine_top(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, block=64).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
