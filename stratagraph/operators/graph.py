@@ -124,13 +124,20 @@ def terminality(pairs: DataFrame) -> DataFrame:
     return strong.join(far, "component").select("id", "component", "distance")
 
 
-def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
+def _fresh(df: DataFrame) -> DataFrame:
+    """The written rows without the size that Spark guessed for them, which many rounds of joins multiply beyond all bounds."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
+
+
+def communities(pairs: DataFrame, most: int = 1000) -> DataFrame:
     """(id, community) by distributed local moving: modularity gain, one half of the nodes per round.
 
     In each round half of the nodes (by a hash of id and round) may move to the neighbouring community of
     the greatest positive gain, ties to the least name. Degrees and community sums are aggregated, so a
     hub's row count equals the communities it touches. Order differs from a sequential sweep, and so may
-    the partition; it is the same for the same graph.
+    the partition; it is the same for the same graph. Rounds end when no node at all would gain by moving;
+    every 32 rounds a smaller part may move, so that neighbours don't swap for ever. ``most`` rounds raise.
     """
     links = durable(pairs.union(turned(pairs)).groupBy("source", "target").agg(F.count("*").alias("w")))
     degree = durable(links.groupBy(F.col("source").alias("id")).agg(F.sum("w").alias("k")))
@@ -138,7 +145,7 @@ def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
     label = durable(degree.select("id", F.col("id").alias("community")))
     if not whole:
         return label
-    for r in range(rounds):
+    for r in range(most):
         sums = label.join(degree, "id").groupBy("community").agg(F.sum("k").alias("sigma"))
         near = links.join(label.withColumnRenamed("id", "target"), "target").groupBy(F.col("source").alias("id"), "community").agg(F.sum("w").alias("inside"))
         own = label.join(degree, "id").withColumnRenamed("community", "mine")
@@ -147,25 +154,24 @@ def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
         scored = options.withColumn("gain", F.round(F.col("inside") - sigma * F.col("k") / F.lit(float(whole)), 9))
         stay = F.max(F.when(F.col("community") == F.col("mine"), F.col("gain")))
         best = scored.groupBy("id").agg(F.max(F.struct("gain", "community")).alias("b"), F.coalesce(stay, F.lit(0.0)).alias("stay"))
-        moves = best.where((F.col("b.gain") > F.col("stay") + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)).select("id", F.col("b.community").alias("moved"))
-        moves = durable(moves)
-        if moves.isEmpty() and r % 2:
-            break
-        label = durable(label.join(moves, "id", "left").select("id", F.coalesce("moved", "community").alias("community")))
-    return label
+        gains = durable(best.where(F.col("b.gain") > F.col("stay") + 1e-9).select("id", F.col("b.community").alias("moved")))
+        if gains.isEmpty():
+            return label
+        moves = gains.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2 + r // 32)) == 0)
+        label = _fresh(durable(label.join(moves, "id", "left").select("id", F.coalesce("moved", "community").alias("community"))))
+    raise RuntimeError(f"communities still move after {most} rounds")
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """(id, ancestor, distance) over (id, parent); distances double per round, and cycles end after ``most``."""
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) over (id, parent); distances double per round until no pair is new, which ends cycles as well."""
     ways = durable(parents.where("parent is not null and parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
     span = 1
-    while span < most:
+    while True:
         longer = ways.join(ways.where(F.col("distance") <= span).select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("distance").alias("more")), "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).where("id <> ancestor")
         new = durable(ways.unionByName(longer).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
         if new.count() == ways.count():
-            break
+            return ways
         ways, span = new, span * 2
-    return ways
 
 
 def colour_batches(conflicts: list[tuple[str, str]], tasks: list[str]) -> dict[str, int]:

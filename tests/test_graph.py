@@ -82,3 +82,21 @@ def test_co_change_equals_all_pairs(spark):
                 want[a, b] = want.get((a, b), 0) + 1
     got = {(r.a, r.b): r.together for r in history.co_change(spark.createDataFrame(rows, "commit_id long, path string")).collect()}
     assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_communities_end_in_a_local_optimum(spark):
+    edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(300)]
+    label = {r.id: r.community for r in graph.communities(spark.createDataFrame(edges, SCHEMA)).collect()}
+    near, whole = {}, 2 * len(edges)
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for x, others in near.items():
+        gain = lambda c: sum(label[y] == c for y in others) - len(others) * sum(len(near[y]) for y in near if y != x and label[y] == c) / whole  # noqa: B023, E731
+        assert max(gain(label[y]) for y in others) <= max(gain(label[x]), 0 if all(label[y] != label[x] for y in others) else -9) + 1e-8
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(150)] + [("150", "149")], "id string, parent string")
+    got = {(r.id, r.ancestor): r.distance for r in graph.ancestors(chain).collect()}
+    assert got["0", "150"] == 150 and got["150", "149"] == 1 and len(got) == 150 * 151 // 2 + 1
