@@ -1,4 +1,10 @@
-"""Credentials embedded in source text: found by context and by how unnatural a string is, and redacted in place."""
+"""Credentials embedded in source text: found by how unnatural a string is and by its context, and redacted in place.
+
+Every string-like run is measured in characters per subword of a public vocabulary: language needs few
+subwords, random strings many. The context then says how natural a value may be to count (``LIMITS``):
+without a name that tells of a secret only strings that no language has count, after the name of a
+token those that are not language, and where a password stands all but plain words.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +31,11 @@ KNOWN = r"gh[pousr]_\w{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|AKIA[0-9A-Z]{16}
 #: Contents that stand for a secret without being one.
 STAND_INS = r"your[-_ ]?\w|change[-_ ]?me|replace[-_ ]?me|replace[-_ ]?this|insert[-_ ]|place[-_ ]?holder|redacted|removed|masked|hidden|dummy|example|sample|todo|tbd|fixme|fill[-_ ]?in|none$|null$|nil$|true$|false$|undefined$|empty$|test$|secret$|password$|token$|string$"
 
+#: Words that sentences are made with and passphrases are not.
+FUNCTION_WORDS = frozenset("a an the your you my our his her its this that these those is are was were be been must may can will shall should would not no of for from to in on at by with as if or and but when then than enter choose confirm reset forgot invalid wrong missing required please use set get see at least most".split())
+#: What the name of a value says that is random but open: ids, checksums, public halves of keys, pictures.
+OPEN_NAMES = re.compile(r"(?:^|[_.-])u?u?id$|Id$|ID$|uuid|guid|hash|sha\d|md5|digest|checksum|crc|integrity|etag|commit|revision|nonce|salt|public|cert|fingerprint|signature|icon|image|img|png|thumbnail|pixel|blob|version|url|uri|path|file", re.I)
+
 _ENDS = re.compile(rf"(?:^|.*?)(?P<end>{'|'.join(sorted((PASSWORD_ENDS + ' ' + TOKEN_ENDS).split(), key=len, reverse=True))})(?:{ENCODED_ENDS.replace(' ', '|')}|\d)*$")
 _PASSWORDS = frozenset(PASSWORD_ENDS.split())
 _NOT_SECRET = re.compile(r"public|fingerprint|hash$|digest$|compass$|bypass$|spawn|tokenpass")
@@ -95,14 +106,24 @@ def _flat(text: str) -> str:
     return (low if low.isascii() else _FOREIGN.sub("", low)).translate(_DROPPED)
 
 
+#: The most characters per subword of a value that counts, by its context. ``None`` is no context at all, where a value must
+#: also have ``EXCESS`` subwords more than language of its length.
+LIMITS = {None: 2.2, "token": 3.4, "header": 3.4, "password": 5.5, "passphrase": 9.0, "login": 5.5, "address": 5.5, "private key": 3.4}
+EXCESS = 8.0
+#: Runs of letters of both cases and digits, which stand alone. Fewer than 12 characters can't have the excess.
+_MIXED = re.compile(r"(?<![\w/+.%@-])(?=[a-zA-Z_-]*+[0-9])(?=[a-z0-9_-]*+[A-Z])(?=[A-Z0-9_-]*+[a-z])[A-Za-z0-9_-]{12,}+(?![\w/+=.%@])")
+_NAME_BEFORE = re.compile(r"([A-Za-z_][\w.-]*+)[\"'`]?\]?\s*(?:\?\?=|:=|=>|==?|:|\()\s*(?:\[\]byte\(|[A-Za-z]\w*\()?\s*[\"'`]?$")
+
+
 @dataclass(frozen=True)
 class Secret:
-    """A secret value in a text: its place in characters, the line it begins in (from 1) and its kind."""
+    """A secret value in a text: its place in characters, the line it begins in (from 1), its kind and its characters per subword."""
 
     start: int
     end: int
     line_no: int
     kind: str
+    score: float = 0.0
     #: Places of the rest of a value that is put together from several lines.
     parts: tuple[tuple[int, int], ...] = ()
 
@@ -110,9 +131,46 @@ class Secret:
 class Finder:
     """Finds secrets by names, positions and the number of characters per subword of their values."""
 
-    def __init__(self, encode, natural: float = 3.4):
+    def __init__(self, encode, natural: float = 3.4, kept: int = 200_000):
         #: encode gives the subwords of a text; below ``natural`` characters per subword a string is no language.
         self.encode, self.natural, self.machine = encode, natural, _machine()
+        #: Measures already made, up to ``kept``; only work is saved by it.
+        self.measured, self.kept = {}, kept
+
+    def subwords(self, value: str) -> int:
+        n = self.measured.get(value)
+        if n is None:
+            n = max(1, len(self.encode(value)))
+            if len(self.measured) < self.kept and len(value) < 200:
+                self.measured[value] = n
+        return n
+
+    def score(self, value: str) -> float:
+        """Characters per subword."""
+        return len(value) / self.subwords(value)
+
+    def nameless(self, text: str) -> dict[int, list[tuple[int, int]]]:
+        """Line (from 0) to places, within it, of strings so unnatural that no name is needed.
+
+        They are the value of a setting or the only argument of a call; items of lists and rows of tables
+        are data. What is named as an id, a checksum, a public key or a picture is open, however random it is.
+        """
+        found: dict[int, list[tuple[int, int]]] = {}
+        for m in _MIXED.finditer(text):
+            value = m[0]
+            n = self.subwords(value)
+            if len(value) >= LIMITS[None] * n or n - len(value) / self.natural < EXCESS or _STAND_IN.search(value):
+                continue
+            begin = text.rfind("\n", 0, m.start()) + 1
+            before, after = text[begin : m.start()], text[m.end() : m.end() + 1]
+            quoted = before[-1:] in ("\"", "'", "`") and after == before[-1]
+            if not quoted and not (re.search(r"[\w\"'`\]]\s*[=:]\s*$", before) and (after in ("", "\n", "\r", ";", ",") or text[m.end() : m.end() + 2] in (" #", " /"))):
+                continue
+            name = _NAME_BEFORE.search(before)
+            if name is None or (OPEN_NAMES.search(name[1]) or _NOT_SECRET.search(name[1].lower())):
+                continue
+            found.setdefault(text.count("\n", 0, begin), []).append((m.start() - begin, m.end() - begin))
+        return found
 
     def suspects(self, text: str) -> list[int]:
         """Numbers (from 0) of the lines in which something stands that lines with secrets have."""
@@ -124,7 +182,7 @@ class Finder:
         return sorted({bisect_right(starts, p) - 1 for p in places})
 
     def unnatural(self, value: str) -> bool:
-        return len(value) < self.natural * max(1, len(self.encode(value)))
+        return len(value) < self.natural * self.subwords(value)
 
     def stands_in(self, value: str) -> bool:
         return bool(_STAND_IN.search(value) or _REFERENCE.search(value))
@@ -133,9 +191,16 @@ class Finder:
         """Plain words, paths of words and dotted names: nothing that one would choose as a secret."""
         return bool(re.fullmatch(r"[A-Za-zÀ-ÿ]+(?:[-_./: ]+[A-Za-zÀ-ÿ]+)*[.!?:]?", value)) and not self.unnatural(re.sub(r"[-_./:]", " ", value))
 
+    def passphrase(self, value: str) -> bool:
+        """Three or more words that make no sentence."""
+        words = value.split(" ")
+        return len(words) >= 3 and all(re.fullmatch(r"[\w'-]+", w) for w in words) and FUNCTION_WORDS.isdisjoint(w.lower() for w in words)
+
     def secret_value(self, value: str, password: bool, bare: bool = False) -> bool:
         """Whether a value that stands where a secret would stand is one that could be used."""
         value = value.strip()
+        if password and " " in value and not self.stands_in(value):
+            return self.passphrase(value)
         if len(value) < (4 if password else 8) or self.stands_in(value) or " " in value or self.words_only(value):
             return False
         if re.fullmatch(r"(?:[\w.-]+/)+[\w.-]+", value) and not re.search(r"\d|[A-Z]", value):
@@ -228,13 +293,14 @@ class Finder:
 
     def find(self, text: str) -> list[Secret]:
         """The secrets of a whole text, in order; lines end at the line feed."""
-        suspects = self.suspects(text)
+        nameless = self.nameless(text)
+        suspects = sorted({*self.suspects(text), *nameless})
         if not suspects:
             return []
         lines = text.split("\n")
         found: list[Secret] = []
         starts = [0, *accumulate(len(x) + 1 for x in lines)]
-        inside = -1
+        inside, ahead = -1, []
         for n in suspects:
             if n <= inside:
                 continue
@@ -243,18 +309,26 @@ class Finder:
                 span = self._private_key(lines, n, m)
                 if span is not None:
                     inside, length = span
-                    found.append(Secret(offset + m.start(), offset + m.start() + length, n + 1, "private key"))
+                    found.append(Secret(offset + m.start(), offset + m.start() + length, n + 1, "private key", self.score(text[offset + m.end() : offset + m.start() + length])))
                 continue
             lines[n] = line.rstrip("\r")
             spans = sorted(set(self.in_line(lines, n)), key=lambda x: (x[:3], x[3:] == (None,), x[3:]))
             lines[n] = line
-            end = -1
+            end, ahead = -1, [p for p in ahead if p[1] > offset]
             for start, stop, kind, *parts in spans:
                 # What lies in another secret needn't be judged.
                 if start >= end and (parts != [None] or self.secret_value(line[start:stop], kind == "password", True)):
                     parts = [] if parts == [None] else parts
-                    found.append(Secret(offset + start, offset + stop, n + 1, kind, tuple((starts[i] + a, starts[i] + b) for i, a, b in parts)))
-                    end = stop
+                    value = line[start:stop] + "".join(lines[i][a:b] for i, a, b in parts)
+                    kind, score = "passphrase" if kind == "password" and " " in value.strip() else kind, self.score(value)
+                    if score < LIMITS[kind]:
+                        found.append(Secret(offset + start, offset + stop, n + 1, kind, score, tuple((starts[i] + a, starts[i] + b) for i, a, b in parts)))
+                        ahead += [(offset + start, offset + stop), *found[-1].parts]
+                        end = stop
+            for start, stop in nameless.get(n, ()):
+                # Parts of a value that began in an earlier line belong to it.
+                if all(offset + stop <= a or offset + start >= b for a, b in ahead):
+                    found.append(Secret(offset + start, offset + stop, n + 1, "unnatural", self.score(line[start:stop])))
         return found
 
     def _private_key(self, lines: list[str], n: int, match: re.Match) -> tuple[int, int] | None:
@@ -296,19 +370,20 @@ def _finder(folder: str, name: str) -> Finder:
 
 
 def find_secrets(files: DataFrame, key: str, fields: list[str], folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
-    """Secrets of text fields: ``key``, field, line_no, start, length (characters from 0) and kind; no shuffle.
+    """Secrets of text fields: ``key``, field, line_no, start, length (characters from 0), kind and score; no shuffle.
 
+    ``score`` is the characters per subword of the value, by which, with its context, it was judged.
     Null and empty fields have none; a text is read whole; repeated rows give repeated rows.
     """
-    schema = f"key {files.schema[key].dataType.simpleString()}, field string, line_no bigint, start bigint, length bigint, kind string"
+    schema = f"key {files.schema[key].dataType.simpleString()}, field string, line_no bigint, start bigint, length bigint, kind string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(folder, name).find
         for batch in batches:
-            rows = [(i, s.line_no, s.start, s.end - s.start, s.kind) for i, text in enumerate(batch.column(2)) for s in find(text.as_py())]
-            at, line_no, start, length, kind = zip(*rows) if rows else ([], [], [], [], [])
+            rows = [(i, s.line_no, s.start, s.end - s.start, s.kind, s.score) for i, text in enumerate(batch.column(2)) for s in find(text.as_py())]
+            at, line_no, start, length, kind, score = zip(*rows) if rows else ([],) * 6
             at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line_no, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(kind, pa.string())], names=["key", "field", "line_no", "start", "length", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line_no, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(kind, pa.string()), pa.array(score, pa.float64())], names=["key", "field", "line_no", "start", "length", "kind", "score"])
 
     return _fields(files, key, fields).mapInArrow(run, schema).withColumnRenamed("key", key)
 

@@ -117,3 +117,26 @@ def test_the_line_filter_never_changes_the_result():
     text = "\n".join([*SECRET, *PLAIN, *lines, *known, *prose, *(x.replace(" ", "\t") for x in prose)])
     assert FIND.find(text) == every.find(text)
     assert len(FIND.find(text)) > len(names)
+
+
+def test_strings_without_a_name_are_found_by_their_measure_alone():
+    value = "f3Kd92LsQ0vZ81mWnB47xYt5Rq6Po2Ua"
+    for line in (f'x = "{value}"', f"  conf.y: '{value}',", f"Z={value}", f'client = Client("{value}")'):
+        (secret,) = FIND.find(f"a\n{line}")
+        assert (secret.line_no, secret.kind) == (2, "unnatural") and secret.score < 2.2
+    for line in (f'requestId = "{value}"', f"x_hash = '{value}'", f'VALUES (3, "{value}", 4)', f'["{value}"]', f"see {value} there", f'integrity: "sha512-{value}=="', 'x = "getUserAccountByNameOrEmail2FactorAuthentication"'):
+        assert FIND.find(line) == []
+
+
+def test_passphrases_are_found_and_sentences_are_not():
+    for value in ("correct horse battery staple 9", "correct horse battery staple"):
+        (secret,) = FIND.find(f'password = "{value}"')
+        assert secret.kind == "passphrase" and secret.score > 0
+    for value in ("Enter your new password", "must be at least 8 characters", "two words", "Password is wrong!"):
+        assert FIND.find(f'password = "{value}"') == []
+
+
+def test_every_secret_has_its_measure():
+    for line in SECRET:
+        for secret in FIND.find(line):
+            assert 0 < secret.score < c.LIMITS[secret.kind if secret.kind != "unnatural" else None]
