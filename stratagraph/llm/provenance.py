@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.llm import transducer
@@ -30,6 +31,9 @@ COPIED_HEADER = re.compile(
     re.I,
 )
 NOT_GENERATED = re.compile(r"\bnot (?:auto-?)?generated\b|\bwritten by hand\b|\bhand-?written\b", re.I)
+_LINE = re.compile(r"[^\r\n]+")
+_BLOCK = re.compile(r"\s*(/\*|<!--)")
+_CLOSES = {"/*": "*/", "<!--": "-->"}
 _COMMENT = re.compile(r"^\s*(?://+!?|#+|--+|/\*+!?|\*+/?|<!--|;+|%+|\"\"\"|''')")
 
 
@@ -48,9 +52,28 @@ def by_path(path: str | None) -> str | None:
     return "generated" if GENERATED_PATH.search(path) or GENERATED_NAME.search(path) else None
 
 
-def head_comments(text: str, lines: int = 14) -> str:
-    """The comment lines among the first lines."""
-    return "\n".join(x for x in text[: lines * 400].replace("\r", "\n").split("\n")[: 2 * lines] if _COMMENT.match(x))
+def head_comments(text: str, code_lines: int = 14) -> str:
+    """The comments before the first lines of code, however long they are.
+
+    A file's head ends where more than ``code_lines`` lines that are neither blank nor comment have come.
+    Lines between the marks of a block comment belong to it with and without marks of their own.
+    """
+    out, code, until = [], 0, None
+    for m in _LINE.finditer(text):
+        line = m[0]
+        if until is not None:
+            out.append(line)
+            until = None if until in line else until
+        elif _COMMENT.match(line):
+            out.append(line)
+            opened = _BLOCK.match(line)
+            if opened and (close := _CLOSES[opened[1]]) not in line[opened.end() :]:
+                until = close
+        elif line.strip():
+            code += 1
+            if code > code_lines:
+                break
+    return "\n".join(out)
 
 
 def by_header(text: str) -> str | None:
@@ -66,6 +89,7 @@ def by_header(text: str) -> str | None:
 
 _LITERAL = re.compile(r"'[^']*'|\"[^\"]*\"|`[^`]*`")
 _NUMBER = re.compile(r"0x[0-9a-fA-F]+|-?\d[\d.]*")
+_PACKED = re.compile(r"[;{}][A-Za-z_$!(.#]")
 _BLOB = re.compile(r"[A-Za-z0-9+/_=-]{200,}")
 
 
@@ -76,13 +100,13 @@ def by_composition(text: str, encode) -> str | None:
     prose and from long comment lines.
     """
     lines = [x for x in text.replace("\r", "\n").split("\n") if x.strip()]
-    size = sum(map(len, lines))
-    if size < 200:
+    if not lines:
         return None
+    size = sum(map(len, lines))
     solid = sum(len(x) - sum(map(x.count, " \t")) for x in lines)
-    # A long line that is but one literal is no code.
-    long_code = sum(len(x) for x in lines if len(x) > 200 and not _COMMENT.match(x) and len(_LITERAL.sub("Q", x)) > 120)
-    dense = long_code >= 0.5 * size and solid >= 0.93 * size
+    # A long line that is but one literal is no code; a short one is packed if statements follow each other without a space.
+    packed = sum(len(x) for x in lines if not _COMMENT.match(x) and (len(_LITERAL.sub("Q", x)) > 120 if len(x) > 200 else len(_PACKED.findall(_LITERAL.sub("Q", x))) >= 3))
+    dense = packed >= 0.5 * size and solid >= 0.93 * size
     rows = Counter(_NUMBER.sub("0", _LITERAL.sub("Q", x.strip())) for x in lines)
     row, count = rows.most_common(1)[0]
     tabular = len(lines) >= 12 and count >= 0.6 * len(lines) and "0" in row
@@ -97,76 +121,129 @@ def by_composition(text: str, encode) -> str | None:
     return "minified" if dense and per_subword < 2.7 else None
 
 
+_VERSION = re.compile(r"[@-]?v?\d+(?:\.\d+)+")
+_TAIL = re.compile(r".*(?:^|/)(?:node_modules|bower_components|jspm_packages|site-packages|dist-packages|_vendor|third[_-]party|thirdparty|Godeps|Pods|Carthage|\.venv|virtualenv|vendor)/(.+)$")
+
+
+def library_of(path: str | None, text: str) -> str:
+    """A name for the third-party file that a file with third-party evidence is a version of.
+
+    It is the path below the folder of third-party files, else the file's name with what its header says
+    of its origin; version numbers are left out, so that versions of a file share its name.
+    """
+    path = clean_path(path)
+    if m := _TAIL.match(path):
+        name = m[1]
+    else:
+        said = COPIED_HEADER.search(head_comments(text))
+        name = path.rpartition("/")[2] + (f"#{said[0].lower()}" if said else "")
+    return _VERSION.sub("", name)
+
+
 def evidence(files: DataFrame, key: str = "diff_id", folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
-    """``key``, path_kind, head_kind and body_kind of each file: what path, header and composition say, null for nothing.
+    """``key``, path_kind, head_kind, body_kind and library of each file: what path, header and composition say, null for nothing.
 
-    Null and empty contents have no header and no composition, null paths say nothing; composition is
-    only looked at where path and header say nothing.
+    ``library`` names the third-party file where path or header speak of one. Null and empty contents have
+    no header and no composition, null paths say nothing; composition is only looked at where path and
+    header say nothing.
     """
-    schema = f"key {files.schema[key].dataType.simpleString()}, path_kind string, head_kind string, body_kind string"
+    names = ["path_kind", "head_kind", "body_kind", "library"]
+    schema = f"key {files.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} string" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = transducer.load(folder, name).encode
         for batch in batches:
             kinds = []
             for path, content in zip(batch.column(1), batch.column(2)):
-                p, text = by_path(path.as_py()), content.as_py() or ""
-                h = by_header(text) if text else None
-                kinds.append((p, h, by_composition(text, encode) if text and not p and not h else None))
-            p, h, b = zip(*kinds) if kinds else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (p, h, b))], names=["key", "path_kind", "head_kind", "body_kind"])
+                path, text = path.as_py(), content.as_py() or ""
+                p, h = by_path(path), by_header(text) if text else None
+                kinds.append((p, h, by_composition(text, encode) if text and not p and not h else None, library_of(path, text) if text and "vendored" in (p, h) else None))
+            columns = zip(*kinds) if kinds else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in columns)], names=["key", *names])
 
     return spread(files.select(F.col(key).alias("key"), "path", "content")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def rare_lines(files: DataFrame, shortest: int = 16) -> DataFrame:
-    """(text, size, line): hashes of the distinct contents and of their lines that are long enough to be telling, and how many these are."""
-    contents = files.where("content is not null and content != ''").select(F.xxhash64("content").alias("text"), "content").dropDuplicates(["text"])
-    lines = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= shortest)
-    hashes = contents.select("text", F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines"))
-    return hashes.select("text", F.size("lines").alias("size"), F.explode("lines").alias("line"))
+def content_lines(contents: DataFrame) -> DataFrame:
+    """(text, line, chars): hashes of the distinct lines of distinct contents, without white space at their ends; blank lines aren't counted."""
+    split = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    hashed = F.array_distinct(F.transform(split, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars"))))
+    return contents.select("text", F.inline(hashed))
 
 
-def contained_copies(files: DataFrame, known: DataFrame, key: str = "diff_id", share: float = 0.8, least: int = 4, common: int = 12, salts: int = 16) -> DataFrame:
-    """``key`` and containment of files whose rare lines stand, to at least ``share``, in known third-party files, or all lines in one such file.
+def contained_copies(files: DataFrame, known: DataFrame, key: str = "diff_id", share: float = 0.8, mass: int = 64, hot: int = 1000, salts: int = 16) -> DataFrame:
+    """``key``, library and containment of the files whose lines stand, to at least ``share``, in one third-party file.
 
-    ``known`` holds the keys of files with third-party evidence. The inverted index maps each line hash to
-    the number of distinct contents it stands in and to whether a known one is among them. A line is
-    rare if it stands in at most ``common`` contents; the containment of a file is exact over all of its
-    rare lines, of which it needs ``least``. Lines of a file with many edited versions aren't rare, so a
-    file also counts if a single known one holds ``share`` of all its lines, ``least`` or more: lines that
-    stand everywhere are found together in third-party files as a whole, but not in one of them. Only files
-    whose lines stand to that share in known ones at all are compared one by one. Equal contents are indexed
-    once. The joins back to the files' lines are salted, as a line that stands everywhere meets them.
+    ``known`` has the keys of files with third-party evidence and their library; all versions of a library
+    file are one document of the inverted index (line hash -> libraries). Beside a library a line counts by
+    its rarity, the number of libraries that the library's own rarest tenth of lines stands in by the number
+    that the line stands in, at most 1: terms of a licence that many libraries carry count for little,
+    a library that everybody carries under many names counts whole, and no line is left out. Lines in no
+    library count 1. The containment of a file in a library is exact. Which pairs are to be compared is
+    found by the file's rarest lines, just more than 1 - ``share`` of them; as none of the others weighs
+    more, a library without any of these can't hold the share. A copy shares
+    ``mass`` characters (by the same weights) with the library, or is shorter and stands whole in a
+    library file of its own name. A file that is known itself is only compared with what other
+    repositories (workspace_id, if there is one) hold of the library. Equal contents are indexed once.
+
+    Lines that stand in more than 1 / ``hot`` of all contents, of which there can be no more than ``hot`` times
+    the mean number of lines of a content, are looked up by broadcast; other joins that many copies of
+    one library may meet in are salted.
+    """
+    repo = F.coalesce(F.col("workspace_id").cast("string"), F.lit("")) if "workspace_id" in files.columns else F.lit("")
+    base = F.regexp_extract(F.regexp_replace(F.coalesce("path", F.lit("")), r"\\\\", "/"), r"([^/]*)$", 1)
+    rows = files.where("content is not null and content != ''").select(F.col(key).alias("key"), repo.alias("repo"), F.regexp_replace(base, _VERSION.pattern, "").alias("base"), F.unhex(F.md5("content")).alias("text"), "content")
+    named = known.where("library is not null").select(F.col(key).alias("key"), "library").distinct()
+    places = durable(rows.select("key", "repo", "base", "text").join(named, "key", "left"))
+    lines = durable(content_lines(rows.select("text", "content").dropDuplicates(["text"])))
+    texts = places.groupBy("text").agg(F.min("repo").alias("low"), F.max("repo").alias("high"), F.max(F.col("library").isNotNull()).alias("is_known"))
+    homes = places.where("library is not null").groupBy("text", "library").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
+    index = durable(lines.join(homes, "text").groupBy("line", "library").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    frequency = index.groupBy("line").agg(F.count("*").alias("libraries"))
+    index = index.join(frequency, "line")
+    rarity = index.groupBy("library").agg(F.percentile_approx("libraries", 0.1, 1000).alias("usual"))
+    # Frequent lines are looked up where they are, so that no task is sent all rows of one of them.
+    number = texts.count()
+    often = durable(lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, number / hot)).select("line").join(frequency, "line", "left"))
+    seldom = lines.join(F.broadcast(often.select("line")), "line", "left_anti").join(frequency, "line", "left")
+    weighed = seldom.unionByName(lines.join(F.broadcast(often), "line")).select("text", "line", "chars", F.coalesce("libraries", F.lit(0)).alias("libraries"))
+    sums = weighed.groupBy("text").agg(F.count("*").alias("n"), F.count_if(F.col("libraries") > 0).alias("indexed"))
+    # Only files whose lines stand to the share in libraries at all are looked at further.
+    least = F.lit(share - 1e-9)
+    asked = durable(weighed.join(sums.where(F.col("indexed") >= least * F.col("n")).select("text", "n"), "text"))
+    place = F.row_number().over(W.partitionBy("text").orderBy("libraries", "line"))
+    rarest = asked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1) & (F.col("libraries") > 0))
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
+    index = index.select("line", "library", "low", "high").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = salted(rarest.select("text", "line")).join(index.select("line", "salt", "library"), ["line", "salt"]).select("text", "library").distinct().join(rarity, "library")
+    weight = F.least(F.lit(1.0), F.col("usual") / F.greatest("libraries", F.lit(1)))
+    both = salted(asked.join(pairs, "text")).join(index, ["line", "library", "salt"], "left").join(texts.select("text", "is_known", F.col("low").alias("own_low")), "text").withColumn("weight", weight)
+    elsewhere = F.col("low").isNotNull() & (~F.col("is_known") | (F.col("low") != F.col("own_low")) | (F.col("high") != F.col("own_low")))
+    sides = both.groupBy("text", "library").agg(F.sum("weight").alias("whole"), F.sum(F.when(elsewhere, F.col("weight")).otherwise(0.0)).alias("held"), F.sum(F.when(elsewhere, F.col("weight") * F.col("chars")).otherwise(0.0)).alias("mass"))
+    held = sides.where(F.col("held") >= least * F.col("whole"))
+    held = held.select("text", "library", F.round(F.col("held") / F.col("whole"), 9).alias("containment"), "mass")
+    library_base = F.regexp_extract(F.regexp_replace("library", r"#.*$", ""), r"([^/]*)$", 1)
+    # A file whose copies are most rows meets its verdicts in salted portions.
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = places.select("key", "base", "text").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(held, ["text", "salt"])
+    found = found.where((F.col("mass") >= mass) | ((F.col("containment") == 1.0) & (F.col("base") == library_base)))
+    best = found.groupBy("key").agg(F.max(F.struct("containment", "library")).alias("b"))
+    return best.select(F.col("key").alias(key), "b.library", "b.containment")
+
+
+def file_evidence(files: DataFrame, key: str = "diff_id", folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
+    """All evidence on each file: ``key``, path_kind, head_kind, copy_of, containment, body_kind and reason, null where nobody speaks against it.
+
+    The reason is the first of path, header, copy and composition that speaks. Rows with a null content
+    count by their path alone. Repeated keys give repeated rows.
     """
-    texts = files.where("content is not null and content != ''").select(key, F.xxhash64("content").alias("text"))
-    sources = texts.join(known.select(key), key, "left_semi").select("text").distinct().withColumn("known", F.lit(1))
-    lines = rare_lines(files)
-    marked = lines.join(sources, "text", "left")
-    index = marked.groupBy("line").agg(F.count("*").alias("texts"), F.max(F.coalesce("known", F.lit(0))).alias("known")).where((F.col("texts") <= common) | (F.col("known") == 1))
-    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = marked.where("known is null").withColumn("salt", F.pmod("text", F.lit(salts)).cast("int")).select("text", "size", "line", "salt")
-    rare = F.col("texts") <= common
-    found = asked.join(index.select("line", "salt", "texts", F.col("known").alias("hit")), ["line", "salt"])
-    scores = found.groupBy("text", "size").agg(F.count_if(rare).alias("rare"), F.sum(F.when(rare, F.col("hit")).otherwise(0)).alias("hits"), F.sum("hit").alias("held")).where(F.col("held") > 0)
-    by_rare = (F.col("hits") > 0) & (F.col("rare") >= least) & (F.col("hits") >= share * F.col("rare"))
-    by_all = (F.col("held") >= least) & (F.col("held") >= share * F.col("size"))
-    scores = durable(scores.withColumn("copy", by_rare).where(by_rare | by_all))
-    copies = scores.where("copy").select("text", (F.col("hits") / F.col("rare")).alias("containment"))
-    open_texts = scores.where("not copy").select("text")
-    sides = marked.where("known = 1").select(F.col("text").alias("source"), "line").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    held = asked.join(open_texts, "text", "left_semi").join(sides, ["line", "salt"]).groupBy("text", "size", "source").agg(F.count("*").alias("held")).where(by_all)
-    copies = copies.unionByName(held.groupBy("text").agg(F.max(F.col("held") / F.col("size")).alias("containment")))
-    return texts.join(copies, "text").select(key, "containment")
+    said = durable(evidence(files, key, folder, name), costly=True)
+    known = said.where("library is not null").select(key, "library")
+    copies = contained_copies(files, known, key).select(key, F.col("library").alias("copy_of"), "containment")
+    reason = F.coalesce("path_kind", "head_kind", F.when(F.col("copy_of").isNotNull(), "copied"), "body_kind")
+    return said.join(copies, key, "left").select(key, "path_kind", "head_kind", "copy_of", "containment", "body_kind", reason.alias("reason"))
 
 
 def not_hand_written(files: DataFrame, key: str = "diff_id", folder: str = transducer.FOLDER, name: str = transducer.NAME) -> DataFrame:
-    """``key`` and reason of each file that nobody wrote by hand: by path, by header, as a copy, or by composition.
-
-    Rows with a null content count by their path alone. Repeated keys give repeated rows.
-    """
-    said = durable(evidence(files, key, folder, name), costly=True)
-    known = said.where("path_kind = 'vendored' or head_kind = 'vendored'").select(key).distinct()
-    copies = contained_copies(files, known, key).select(key, F.lit("copied").alias("copy_kind")).distinct()
-    reason = F.coalesce("path_kind", "head_kind", "copy_kind", "body_kind")
-    return said.join(copies, key, "left").select(key, reason.alias("reason")).where("reason is not null")
+    """The files that nobody wrote by hand, with their evidence (see ``file_evidence``)."""
+    return file_evidence(files, key, folder, name).where("reason is not null")

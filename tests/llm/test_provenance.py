@@ -65,7 +65,7 @@ def test_copies_equal_brute_force(spark):
     rows += [(300 + i, f"src/many{i}.js", "\n".join(common + [line() for _ in range(9)])) for i in range(40)]
     rows += [(900, None, None), (901, "a", ""), (902, "b", "short"), (100, "src/own0.js", rows[1][2])]
     df = spark.createDataFrame(rows, "diff_id long, path string, content string").withColumns({"line": F.lit("clash"), "text": F.lit(1), "known": F.lit(2)})
-    known = df.where("path like 'node_modules%'").select("diff_id")
+    known = df.where("path like 'node_modules%'").select("diff_id", F.regexp_replace("path", "node_modules/", "").alias("library"))
     assert {r.diff_id for r in p.contained_copies(df, known).collect()} == want
     reasons = {r.diff_id: r.reason for r in p.not_hand_written(df).collect()}
     assert {k for k, v in reasons.items() if v == "copied"} == want and {k for k, v in reasons.items() if v == "vendored"} == set(range(8))
@@ -83,5 +83,46 @@ def test_copies_with_many_versions(spark):
     rows += [(200 + i, f"node_modules/other{i}/a.js", "\n".join([frames[i]] + [line() for _ in range(9)])) for i in range(12)]
     rows += [(300 + i, f"src/plain{i}.js", "\n".join(frames[:8] + [line()])) for i in range(30)]
     df = spark.createDataFrame(rows, "diff_id long, path string, content string")
-    found = {r.diff_id: r.containment for r in p.contained_copies(df, df.where("path like 'node_modules%'").select("diff_id")).collect()}
+    found = {r.diff_id: r.containment for r in p.contained_copies(df, df.where("path like 'node_modules%'").select("diff_id", F.col("path").alias("library"))).collect()}
     assert found == {100 + i: 0.9 for i in range(30)}
+
+
+@pytest.mark.parametrize("copies", [12, 14, 20, 60])
+def test_a_library_that_everybody_edits_is_found_however_often(spark, copies):
+    rng = random.Random(6)
+    line = lambda: f"value_{rng.randrange(10**9)} = compute({rng.randrange(10**6)})"
+    body = [line() for _ in range(20)]
+    rows = [(0, "w0", "node_modules/lib/a.js", "\n".join(body))] + [(i, f"w{i}", f"src/own{i}.js", "\n".join([*body, line()])) for i in range(1, copies)]
+    df = spark.createDataFrame(rows, "diff_id long, workspace_id string, path string, content string")
+    found = {r.diff_id: (r.reason, r.copy_of) for r in p.not_hand_written(df).collect()}
+    assert found == {0: ("vendored", None)} | {i: ("copied", "lib/a.js") for i in range(1, copies)}
+
+
+def test_containment_is_per_library_and_across_repositories(spark):
+    rng = random.Random(7)
+    line = lambda: f"value_{rng.randrange(10**9)} = compute({rng.randrange(10**6)})"
+    bodies = [[line() for _ in range(6)] for _ in range(10)]
+    licence = [f"licence term {i} of a text that many libraries carry" for i in range(30)]
+    rows = [(i, "a", f"node_modules/lib{i}/a.js", "\n".join(licence + b)) for i, b in enumerate(bodies)]
+    # The same library in another repository, a file pieced together from all, and an own file under the common licence.
+    rows += [(20, "b", "third_party/lib3/a.js", "\n".join(licence + bodies[3])), (21, "b", "src/pieces.js", "\n".join(b[0] for b in bodies)), (22, "c", "src/own.js", "\n".join(licence + [line() for _ in range(6)]))]
+    # Short files: one that stands whole in a library file of its name, and one of another name.
+    rows += [(30, "a", "node_modules/tiny/go.js", "go(1)"), (31, "b", "src/go.js", " go(1)\r\n"), (32, "b", "src/other.js", "go(1)")]
+    df = spark.createDataFrame(rows, "diff_id long, workspace_id string, path string, content string")
+    found = {r.diff_id: r for r in p.not_hand_written(df).collect()}
+    assert {k for k, r in found.items() if r.copy_of} == {3, 20, 31} and found[3].reason == "vendored" and found[31].reason == "copied"
+    assert found[20].copy_of == "lib3/a.js"
+    assert 21 not in found and 22 not in found and 32 not in found
+
+
+def test_heads_are_read_whole():
+    licence = "\n".join(f"// line {i} of a licence" for i in range(60))
+    assert p.by_header(f"{licence}\n// Code generated by x v1.2. DO NOT EDIT.\n{CODE}") == "generated"
+    assert p.by_header("/*\n" + "\n".join(f"terms {'long ' * 90}{i}" for i in range(40)) + f"\nCode generated by x v1.2. DO NOT EDIT.\n*/\n{CODE}") == "generated"
+    assert p.by_header(CODE * 5 + "# Code generated by x v1.2. DO NOT EDIT.") is None
+
+
+def test_short_minified_files():
+    encode = transducer.load().encode
+    assert p.by_composition("!function(e,t){var n=t.k;e.x=n?1:0;e.y=function(){return n}}(this,window);", encode) == "minified"
+    assert p.by_composition('{"a":1,"b":[2,3],"c":{"d":"e"}}', encode) is None and p.by_composition("const a = require('./a');\nmodule.exports = { a };\n", encode) is None
