@@ -26,30 +26,40 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataF
     """id, depth and via (the least predecessor at the first depth) of all nodes that seeds reach; seeds have depth 0.
 
     Each node counts once, at its least depth. Unknown seeds reach only themselves, cycles end by
-    themselves, an empty seed set gives no rows.
+    themselves, an empty seed set gives no rows. Each round writes its frontier only; nodes seen so far
+    are the union of the written frontiers.
     """
-    seen = durable(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
-    frontier, level = seen, 0
+    frontier = seen = durable(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
+    level = 0
     while depth is None or level < depth:
         level += 1
         step = frontier.select(F.col("id").alias("source")).join(pairs, "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("via"))
         frontier = durable(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("depth"), "via"))
         if frontier.isEmpty():
             break
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % MERGED == 0:
+            seen = durable(seen)
     return seen
 
 
-def reach_per_seed(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth) of the nodes within ``depth`` steps of each seed, each once at its least depth."""
-    seen = durable(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for level in range(1, depth + 1):
+#: Frontiers are written together once in so many rounds, which keeps plans short.
+MERGED = 16
+
+
+def reach_per_seed(pairs: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, id, depth) of the nodes within ``depth`` steps of each seed, each once at its least depth; all of them without ``depth``."""
+    frontier = seen = durable(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         step = frontier.select("seed", F.col("id").alias("source")).join(pairs, "source").select("seed", F.col("target").alias("id")).distinct()
         frontier = durable(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = durable(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % MERGED == 0:
+            seen = durable(seen)
     return seen
 
 
@@ -124,12 +134,6 @@ def terminality(pairs: DataFrame) -> DataFrame:
     return strong.join(far, "component").select("id", "component", "distance")
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """The written rows without the size that Spark guessed for them, which many rounds of joins multiply beyond all bounds."""
-    session = df.sparkSession
-    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
-
-
 def communities(pairs: DataFrame, most: int = 1000) -> DataFrame:
     """(id, community) by distributed local moving: modularity gain, one half of the nodes per round.
 
@@ -158,7 +162,7 @@ def communities(pairs: DataFrame, most: int = 1000) -> DataFrame:
         if gains.isEmpty():
             return label
         moves = gains.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2 + r // 32)) == 0)
-        label = _fresh(durable(label.join(moves, "id", "left").select("id", F.coalesce("moved", "community").alias("community"))))
+        label = durable(label.join(moves, "id", "left").select("id", F.coalesce("moved", "community").alias("community")), replaces=label)
     raise RuntimeError(f"communities still move after {most} rounds")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import weakref
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,33 +28,65 @@ def get_spark(app: str = "stratagraph", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines of the cluster share, from spark.checkpoint.dir.
+
+    Only where Spark runs in one process, as in tests, a temporary folder stands in for it; on a cluster a
+    folder of one machine would be of no use, so there the setting is required.
+    """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(shared)
-        return shared
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix=f"stratagraph-{os.getpid()}-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        return shared.rstrip("/")
+    if not context.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    key = f"stratagraph.shared.{context.applicationId}"
+    if key not in _TEMPORARY:
+        _TEMPORARY[key] = "file://" + tempfile.mkdtemp(prefix=f"stratagraph-{os.getpid()}-")
+    return _TEMPORARY[key]
+
 
+_TEMPORARY: dict[str, str] = {}
+
+
+def _work(spark: SparkSession):
+    """This application's folder below the shared one and its file system; it goes when the application ends."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stratagraph-{context.applicationId}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return path, files
 
-def durable(df: DataFrame, costly: bool = False) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, which survives the loss of executors.
 
-    Spark makes the rows once to count them and once to write them. With ``costly`` they are kept on the
-    executors' disks in between, which pays for work in Python; what is lost there is made again.
+def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Cut lineage by a table written to the shared folder, which survives the loss of executors.
+
+    The rows are made once. The table that ``replaces`` stands for, an earlier round of a loop whose
+    rows nobody needs any more, is deleted. All tables go when the application ends, or by ``release``.
     """
-    checkpoint_dir(df.sparkSession)
-    if not costly:
-        return df.checkpoint(eager=True)
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        return kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
+    spark = df.sparkSession
+    path, files = _work(spark)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    table = f"{path}/{uuid.uuid4().hex}"
+    df.write.parquet(table)
+    if replaces is not None and (old := _TABLES.pop(id(replaces), None)):
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old), True)
+    out = spark.read.schema(df.schema).parquet(table)
+    _TABLES[id(out)] = table
+    weakref.finalize(out, _TABLES.pop, id(out), None)
+    return out
+
+
+_TABLES: dict[int, str] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables of all queries so far; their results must have been read."""
+    path, files = _work(spark)
+    if files.exists(path):
+        files.delete(path, True)
+    _TABLES.clear()
 
 
 def spread(rows: DataFrame) -> DataFrame:
