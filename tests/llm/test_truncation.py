@@ -63,17 +63,42 @@ def test_prefixes_equal_brute_force(spark):
     rng = random.Random(3)
     whole = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(12)) + "." for _ in range(300)]
     texts = set(whole) | {w[: rng.randrange(22, len(w))] for w in whole[:80]} | {w[:30] + "..." for w in whole[80:90]} | {whole[5] + "\n\nbody"}
-    df = spark.createDataFrame([(x,) for x in sorted(texts)], "text string")
+    # Openings that many texts share, in chains, across borders of partitions, some of which end at a line end first.
+    base = "The list of tasks that the agents of this workspace hold"
+    texts |= {base, base + "\n\nand more", base + " and runs them", base + " and", base[:20], base[:21], base[:22], *(f"{base} over {i} more tasks" for i in range(60)), *(f"{base}\n{i}" for i in range(60))}
+    df = spark.createDataFrame([(x,) for x in sorted(texts)], "content string").withColumn("text", F.unhex(F.md5("content")))
     bare = {x: t.base_of(x)[0] for x in texts}
-    want = {x for x in texts if len(bare[x]) >= 20 and any(y != x and len(bare[y]) > len(bare[x]) and t._breaks(bare[x], bare[y]) for y in texts)}
-    hashes = {r.h: r.text for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
-    assert {hashes[r.text_hash] for r in t.strict_prefixes(df).collect()} == want
+    want = {x for x in texts if any(y != x and len(bare[y]) > len(bare[x]) and t._breaks(bare[x], bare[y]) for y in texts)}
+    assert base in want and base[:20] in want
+    names = {bytes(r.text): r.content for r in df.collect()}
+    for parts in ("1", "5", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {names[bytes(r.text)] for r in t.strict_prefixes(df.coalesce(3)).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_every_extension_of_a_prefix_is_asked(spark):
+    base = "Reading the old list of tasks"
+    texts = [base, base + "\nand more", base + " and runs them.", "The task w", "The task was stopped.", "Fix login", "Fix login for all users"]
+    df = spark.createDataFrame([(i, x, None) for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id for r in t.cut_texts(df).where("cut").collect()} >= {0, 3}
+    assert {r.doc_id for r in t.cut_texts(df.where("doc_id <> 1")).where("cut").collect()} >= {0, 3}
+
+
+def test_last_tokens_equal_those_of_the_whole_text():
+    rng = random.Random(8)
+    pieces = ["word ", "a/b/c/" * 200, "x" * 900, " ", "\n  ", "don't ", "GET /orders/:id ", "aB1c_", "3f" * 150, ". ", "`", "well-known, ", "é" * 5]
+    for _ in range(300):
+        base = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))).rstrip()
+        assert t.last_tokens(base) == t.tokens(base)[-t.GRAMS :]
 
 
 def test_piled_lengths(spark):
     rng = random.Random(9)
     rows = [("a", rng.randrange(20, 400)) for _ in range(600)] + [("a", 255)] * 40 + [("b", rng.randrange(20, 400)) for _ in range(600)]
-    df = spark.createDataFrame([(s, n, n, None) for s, n in rows], "source string, chars int, bytes int, decided boolean")
+    df = spark.createDataFrame([(s, n, n, None, 1) for s, n in rows], "source string, chars int, bytes int, decided boolean, n long")
     assert {(r.source, r.length) for r in t.piled_lengths(df).collect()} == {("a", 255)}
 
 
