@@ -25,7 +25,7 @@ from stratagraph.session import durable
 
 GRAMS = 5
 #: Runs of word signs with what joins them, line ends, fences and single signs; runs are cut into tokens once and kept.
-_CHUNK = re.compile(r"\n\s*+|```|[\w.:/'’-]++|[^\w\s]")
+_CHUNK = re.compile(r"[\w.:/'’-]++|\n\s*+|```|[^\w\s]")
 _QUOTES = re.compile(r"(['’])")
 _PIECE = re.compile(r"[^\W\d_]++(?:['’][^\W\d_]++)*+(?!\w)|\w++|[^\w\s]")
 _LETTERS_OR_DIGITS = re.compile(r"\d++|[^\W\d_]++|_")
@@ -68,6 +68,12 @@ def chunk_tokens(chunk: str) -> tuple[str, ...]:
     """Masked tokens of one match of the chunk pattern."""
     if chunk[0] == "\n":
         return ("\n",)
+    # Plain words and numbers, with what sentences put behind them, are most of all chunks.
+    word = chunk.rstrip(".:-")
+    if word.isalpha():
+        return (_masked(word), *chunk[len(word) :])
+    if word.isdigit():
+        return ("0", *chunk[len(word) :])
     if "/" not in chunk or len(chunk) == 1:
         return tuple(_pieces(chunk)) if chunk != "```" else (chunk,)
     out: list[str] = []
@@ -112,7 +118,7 @@ def by_structure(base: str, marked: bool) -> bool | None:
     """True if a structure is open at the end, False if the text ends with a stop, None if neither says."""
     if base.endswith("�"):
         return True
-    if len(re.findall(r"(?m)^\s*```", base)) % 2:
+    if "```" in base and len(re.findall(r"(?m)^\s*```", base)) % 2:
         return True
     last_line = base[base.rfind("\n") + 1 :]
     if not marked and _STOP.search(base):
@@ -137,34 +143,26 @@ class Hasher(dict):
             self[word] = h
         return h
 
-    def tail(self, words: list[str]) -> list[int]:
-        """Hashes of the last 1, 2, ... GRAMS words (signed, as Spark keeps them)."""
-        out = []
-        for n in range(1, min(GRAMS, len(words)) + 1):
-            h = 0
-            for w in words[-n:]:
-                h = (h * int(_P) + self[w]) & _MASK
-            out.append(h - (1 << 64) if h >> 63 else h)
-        return out
-
-
-def last_tokens(base: str, n: int = GRAMS) -> list[str]:
-    """The last n tokens of a text, or all if it has fewer: read from a blank that has enough tokens behind it."""
-    size = 200
-    while size < len(base):
-        at = max(base.rfind(" ", 0, len(base) - size), base.rfind("\n", 0, len(base) - size))
-        if at < 0:
-            break
-        found = tokens(base[at + 1 :])
-        if len(found) > n:
-            return found[-n:]
-        size *= 4
-    return tokens(base)[-n:]
+
+_plain = Hasher()
+_hashes_of = Kept(lambda chunk: tuple(map(_plain.__getitem__, chunk_tokens(chunk)))).__getitem__
+
+
+def tail_grams(ids: list[int]) -> list[int]:
+    """Numbers of the last 1, 2, ... GRAMS words by their hashes (signed, as Spark keeps them)."""
+    out = []
+    for n in range(1, min(GRAMS, len(ids)) + 1):
+        h = 0
+        for x in ids[-n:]:
+            h = (h * int(_P) + x) & _MASK
+        h &= ~3 & _MASK
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
 def _word_rows(texts: list[str]) -> tuple[list, list, list, list]:
     """kinds, contexts, words and counts: words between their neighbours, complete subwords, complete ends of routes."""
-    hasher, chunks, subwords, routes = Hasher(), [], Counter(), Counter()
+    chunks, subwords, routes = [], Counter(), Counter()
     for text in texts:
         base, _ = base_of(text)
         chunks += _CHUNK.findall(base)
@@ -176,22 +174,22 @@ def _word_rows(texts: list[str]) -> tuple[list, list, list, list]:
             for w in _PARTS.findall(chunks[-2])[-1:]:
                 if base.endswith(w):
                     subwords[w.lower()] -= 1
-    words = list(chain.from_iterable(map(_tokens_of, chunks)))
-    for chunk, n in Counter(chunks).items():
+    counted, named = Counter(chunks), {}
+    for chunk, n in counted.items():
+        named.update(zip(_hashes_of(chunk), _tokens_of(chunk)))
         for w in _PARTS.findall(chunk):
             subwords[w.lower()] += n
     complete = {w: n for w, n in subwords.items() if n > 0}
     # Words and their contexts as numbers; a text's border counts as a line end.
-    number: dict[str, int] = {}
-    codes = np.array([number.setdefault(w, len(number)) for w in words])
-    names = list(number)
-    hashes = np.array([hasher[w] for w in names], np.uint64)
+    hashes, codes = np.unique(np.fromiter(chain.from_iterable(map(_hashes_of, chunks)), np.uint64), return_inverse=True)
+    names = [named[h] for h in hashes.tolist()]
     telling = np.array([len(w) > 2 and w[0].isalpha() for w in names]) if names else np.zeros(0, bool)
-    ends = number.get("\n", -1)
+    ends = names.index("\n") if "\n" in names else -1
     middle = np.flatnonzero(telling[codes[1:-1]] & (codes[:-2] != ends) & (codes[2:] != ends)) + 1 if len(codes) > 2 else np.zeros(0, int)
     contexts = hashes[codes[middle - 1]] * _P + hashes[codes[middle + 1]]
     inner = codes[middle]
-    order = np.lexsort((inner, contexts))
+    # Equal pairs of context and word come together by one number for both.
+    order = np.argsort(contexts * _P ^ hashes[inner]) if len(inner) else inner
     contexts, inner = contexts[order], inner[order]
     starts = np.flatnonzero(np.concatenate(([True], (contexts[1:] != contexts[:-1]) | (inner[1:] != inner[:-1])))) if len(inner) else np.zeros(0, int)
     counts = np.diff(np.append(starts, len(inner)))
@@ -263,28 +261,26 @@ def read_texts(texts: DataFrame, open_words) -> DataFrame:
                     continue
                 word = base[base.rfind(" ") + 1 :]
                 route = _ROUTE.search(word) if word.startswith("/") else None
-                said.append((name, None, hasher.tail(last_tokens(base)), last_subword(base), route and route["last"] or None))
+                said.append((name, None, tail_grams(ids[max(before, len(ids) - GRAMS) :]), last_subword(base), route and route["last"] or None))
             if said:
                 yield rows(4, list(zip(*said)))
             if not ids:
                 continue
             ids_, sizes_ = np.array(ids, np.uint64), np.array(sizes)
-            stops = np.append(np.isin(ids_[1:], ends), False).astype(np.int8)
+            stops = np.append(np.isin(ids_[1:], ends), False).astype(np.uint64)
             # What follows each word: 1 an end, 0 another word, 2 nothing.
             stops[np.cumsum(sizes_)[sizes_ > 0] - 1] = 2
             place = np.arange(len(ids_)) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_)
-            grams, kinds, h = [], [], np.zeros(len(ids_), np.uint64)
+            # A gram and what follows it share one number, the latter in its last two bits, so that sorting numbers is all.
+            kept, h = [], np.zeros(len(ids_), np.uint64)
             for n in range(1, GRAMS + 1):
                 # h(i) over n words is made from h(i - 1) over n - 1 words.
                 h = np.concatenate((np.zeros(1, np.uint64), h[:-1])) * _P + ids_
-                whole = place >= n - 1
-                grams.append(h[whole])
-                kinds.append(stops[whole])
-            grams_, kinds_ = np.concatenate(grams), np.concatenate(kinds)
-            order = np.argsort(grams_)
-            grams_, kinds_ = grams_[order], kinds_[order]
-            starts = np.flatnonzero(np.concatenate(([True], grams_[1:] != grams_[:-1])))
-            yield rows(0, [grams_[starts].view(np.int64), *(np.add.reduceat((kinds_ == k).astype(np.int64), starts) for k in (1, 0, 2))])
+                kept.append(((h & ~np.uint64(3)) | stops)[place >= n - 1])
+            both = np.sort(np.concatenate(kept))
+            grams, kinds = both & ~np.uint64(3), both & np.uint64(3)
+            starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            yield rows(0, [grams[starts].view(np.int64), *(np.add.reduceat(kinds == k, starts, dtype=np.int64) for k in (1, 0, 2))])
 
     return durable(texts.select("text", "content").mapInArrow(run, READ))
 
