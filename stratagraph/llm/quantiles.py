@@ -80,6 +80,11 @@ class Sketch:
 
 
 def _seed(key: tuple) -> int:
+    """A seed of a sketch's own: tasks draw different coins for one group, and a task that runs again draws the same."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    key = (context.partitionId(), *key) if context else key
     return zlib.crc32(repr(key).encode("utf-8", "surrogatepass"))
 
 
@@ -146,7 +151,7 @@ def _combine(parts: DataFrame, by: list[str], place: list[str]) -> DataFrame:
                 if key != (own := tuple(own)):
                     if held is not None:
                         done.append((key, held.count, held.to_bytes()))
-                    key, held = own, Sketch.from_bytes(data, _seed(own))
+                    key, held = own, Sketch.from_bytes(data, _seed(("merged", *own)))
                 else:
                     held.merge(Sketch.from_bytes(data))
                 if len(done) >= 2000:

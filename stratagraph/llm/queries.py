@@ -13,14 +13,14 @@ def _q(build):
     return lambda spark, root: build(Catalog(spark, root))
 
 
-def _supply(t: Catalog):
-    return mixing.with_demand(mixing.source_tokens(mixing.document_tokens(t("documents")), t("mix_target")))
+def _weights(t: Catalog, counted):
+    return mixing.weighted(mixing.source_tokens(counted, t("mix_target")))
 
 
 def _mix(t: Catalog):
     counted = durable(mixing.document_tokens(t("documents")))
-    demand = durable(mixing.with_demand(mixing.source_tokens(counted, t("mix_target"))))
-    return mixing.realise(counted, demand), demand
+    weights = durable(_weights(t, counted))
+    return mixing.realise(counted, weights), weights
 
 
 FIELDS = ["patch", "content"]
@@ -35,8 +35,10 @@ QUERIES = {
     "p6_percentiles": _q(lambda t: quantiles.path_percentiles(t("observation"))),
     "p6_daily": _q(lambda t: quantiles.percentiles(quantiles.daily_sketches(t("observation")), ["day", "method", "path"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})),
     "p8_ids": _q(lambda t: encoding.encode_texts(t("documents"), "doc_id", "text")),
-    "p9_found": _q(lambda t: _supply(t).where("short").select("source")),
+    "p9_found": _q(lambda t: _weights(t, mixing.document_tokens(t("documents"))).where("short").select("source")),
+    "p9_weights": _q(lambda t: _weights(t, mixing.document_tokens(t("documents")))),
     "p9_mix": _q(lambda t: _mix(t)[0]),
+    "p9_order": _q(lambda t: mixing.in_order(*_mix(t))),
     "p10_found": _q(lambda t: truncation.cut_texts(t("documents")).where("cut").select("doc_id").distinct()),
     "p10_shares": _q(lambda t: truncation.cut_shares(truncation.cut_texts(t("documents")))),
     "p9_shares": _q(lambda t: mixing.reached_shares(*_mix(t))),

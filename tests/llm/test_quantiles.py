@@ -62,6 +62,16 @@ def test_groups_tasks_and_days_combine(spark):
     assert q.percentiles(q.merge_sketches(q.sketches(df.limit(0), ["g"], "v"), ["g"]), ["g"], {"p50": 0.5}).count() == 0
 
 
+def test_a_group_of_a_million_values_stays_within_the_bound(spark):
+    """Beyond what a sketch keeps, with production parameters: 0.11 % of the ranks at most (99 % of trials), here over 16 tasks."""
+    df = spark.range(0, 1_000_000, 1, 16).select(F.lit("g").alias("g"), F.pow(F.pmod(F.xxhash64("id"), F.lit(10**9)) / 10**9, 7).alias("v"))
+    (got,) = q.percentiles(q.merge_sketches(q.sketches(df, ["g"], "v"), ["g"]), ["g"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}).collect()
+    values = np.array([r.v for r in df.select("v").collect()])
+    errors = [rank_error(values, got[n], s) for n, s in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    print("rank errors", errors)
+    assert got["count"] == 1_000_000 and max(errors) < 1.7 / 1600
+
+
 def test_events_are_cleaned_and_counted_once(spark):
     at = datetime(2025, 1, 2)
     raw = [("e1", " get", "/a/12/b/7/?x=1", 5.0), ("e1", " get", "/a/12/b/7/?x=1", 5.0), ("e2", "GET ", "/a/9/b/3", 6.0), (None, "get", "/a/1/b/2", 7.0), (None, "get", "/a/1/b/2", 7.0), ("e3", None, "/a", 1.0), ("e4", "GET", None, 1.0), ("e5", "GET", "/a", None), ("e6", "GET", "/a", -1.0), ("e7", "GET", "/a", float("nan")), ("e8", "GET", "/a1/2x/", 2.0)]
