@@ -128,3 +128,107 @@ def token_estimate(value: Column) -> Column:
 def half_up(value: Column) -> Column:
     """Rounding with halves toward plus infinity."""
     return F.floor(value + 0.5)
+
+
+def service_route(path: Column) -> Column:
+    """A route as services spell it: lower case, without origin and query, parameters as ':param', single slashes, none at the end; '/' for nothing."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(path), r"^https?://[^/]+", ""), r"\?.*$", "")
+    named = F.regexp_replace(bare, r"\$\{[^}]*\}|(?<=/)(?::[^/]+|\{[^/]+\}|\*)(?=/|$)", ":param")
+    short = F.regexp_replace(F.regexp_replace(named, "/{2,}", "/"), "/$", "")
+    return F.when(short == "", "/").otherwise(short)
+
+
+#: What the name of a guard says of its kind; the first that fits counts.
+GUARD_KINDS = (
+    ("rate-limiting", "throttl|rate[-_]?limit"),
+    ("authorization", "authoriz|role|permission|policy|policies|acl|rbac|abac|grant|tenant|organization|owner|scope"),
+    ("validation", "csrf|xsrf|recaptcha|captcha"),
+    ("authentication", "auth|jwt|session|api[-_]?key|apikey|oauth|sso|login|signin|sign[-_]?in|token|bearer|passport|credential|identity"),
+    ("validation", "valid|sanitiz|schema"),
+)
+
+
+def guard_kind(name: Column) -> Column:
+    """Kind of a guard by its name, 'unknown' if nothing fits."""
+    out = None
+    for kind, pattern in GUARD_KINDS:
+        fits = F.lower(name).rlike(pattern)
+        out = F.when(fits, kind) if out is None else out.when(fits, kind)
+    return out.otherwise("unknown")
+
+
+#: Types around another one that stand for many of it, or for it alone.
+MANY_WRAPPERS = "array|list|set|collection|iterable|sequence|vec|queryset|observablearray|readonlyarray|hashset|arraylist|linkedlist"
+ONE_WRAPPERS = "promise|optional|option|ref|mapped|box|rc|arc|observable|lazy|future|task|nullable"
+
+
+def type_shape(declared: Column, rounds: int = 8) -> Column:
+    """struct<name, collection> of a declared type: references, optional marks, null unions, lists and wrappers are taken off.
+
+    name is null where no single plain type is left. ``rounds`` wrappers within each other are taken off.
+    """
+    state = F.struct(F.trim(F.regexp_replace(F.trim(F.coalesce(declared, F.lit(""))), r"^&(?:'\w+\s+)?(?:mut\s+)?|^\?", "")).alias("t"), F.lit(False).alias("many"))
+
+    def peel(s: Column, _: Column) -> Column:
+        kept = F.filter(F.transform(F.split(s["t"], r"\|"), lambda p: F.trim(p)), lambda p: (p != "") & ~F.lower(p).rlike("^(?:null|undefined|none|nil|void)$"))
+        plain = F.when(~F.contains(s["t"], F.lit("|")), s["t"]).when(F.size(kept) == 1, kept[0]).otherwise("")
+        suffix = F.regexp_extract(plain, r"^(.*?)\s*\[\s*\]$", 1)
+        slice_ = F.regexp_extract(plain, r"^\[\s*([^;\]]+?)\s*(?:;[^\]]*)?\]$", 1)
+        wrapper = F.lower(F.element_at(F.split(F.regexp_extract(plain, r"^([A-Za-z_][\w.]*)\s*[<\[]\s*[\s\S]+?\s*[>\]]$", 1), r"\."), -1))
+        inner = F.trim(F.regexp_extract(plain, r"^[A-Za-z_][\w.]*\s*[<\[]\s*([\s\S]+?)\s*[>\]]$", 1))
+        first = F.trim(F.regexp_extract(inner, r"^((?:[^,<\[]|<[^<>]*>|\[[^\[\]]*\])*)", 1))
+        many, one = wrapper.rlike(f"^(?:{MANY_WRAPPERS})$"), wrapper.rlike(f"^(?:{ONE_WRAPPERS})$")
+        peeled = F.when(suffix != "", suffix).when(slice_ != "", slice_).when(wrapper == "", plain).when(many | one, first).otherwise("")
+        return F.struct(F.trim(peeled).alias("t"), (s["many"] | (suffix != "") | (slice_ != "") | many).alias("many"))
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, peel)
+    name = F.when(last["t"].rlike(r"^[A-Za-z_][\w.]*$"), F.element_at(F.split(last["t"], r"\."), -1))
+    return F.struct(name.alias("name"), last["many"].alias("collection"))
+
+
+def git_remote(url: Column) -> Column:
+    """One key, host/path, for the ssh and https spellings of a remote repository."""
+    bare = F.regexp_replace(F.lower(F.trim(url)), r"\.git$", "")
+    web = F.regexp_replace(bare, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?", "")
+    ssh = F.regexp_replace(F.regexp_replace(bare, r"^(?:[\w.-]+@)?", ""), r"^([\w.-]+):", "$1/")
+    return F.regexp_replace(F.when(F.contains(bare, F.lit("://")), web).otherwise(ssh), "/+$", "")
+
+
+def frame_of_line(line: Column) -> Column:
+    """struct<file, line, function> of a line of a stack trace, null if it is none."""
+    pattern = r"at\s+(?:([^\s(]+)\s+)?\(?([^\s():]+):(\d+)(?::\d+)?\)?"
+    file = F.regexp_extract(line, pattern, 2)
+    return F.when(file != "", F.struct(file.alias("file"), F.regexp_extract(line, pattern, 3).cast("int").alias("line"), F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).alias("function")))
+
+
+def common_tail(left: Column, right: Column) -> Column:
+    """The number of path segments that two paths share at their ends."""
+    a, b = F.reverse(segments(clean_path(left))), F.reverse(segments(clean_path(right)))
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+
+
+def same_source(left: Column, right: Column) -> Column:
+    """Whether two paths likely name one source file: compatible, or with a common end of 3 segments and half of the shorter path."""
+    shorter = F.least(F.size(segments(clean_path(left))), F.size(segments(clean_path(right))))
+    tail = common_tail(left, right)
+    return paths_compatible(left, right) | ((tail >= 3) & (tail >= F.ceil(shorter / 2)))
+
+
+def volume(own: Column, attributes: Column) -> Column:
+    """How many events an event stands for: its own volume, its attribute volume or count, else 1; rounded."""
+    number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
+    second = number(F.coalesce(F.nullif(attributes["volume"], F.lit("")), attributes["count"]))
+    return F.when(own > 0, half_up(own)).when(second > 0, half_up(second)).otherwise(1).cast("bigint")
+
+
+def risk_of_fixes(fixes: Column, percentile: Column, rate: Column) -> Column:
+    """'high', 'medium' or null: the risk that a file's bug fixes tell of. 90 with 3 fixes, 75 with 2, rate 0.3."""
+    known = F.when((percentile >= 90) & (fixes >= 3), "high").when((percentile >= 75) & (fixes >= 2), "medium")
+    return F.when(fixes.isNotNull() & percentile.isNotNull(), known).when(rate > 0.3, "high")
+
+
+def signature_text(name: Column, parameters: Column, returns: Column) -> Column:
+    """name(parameter: type, other?: type) -> type; unknown types are 'any', and nothing is returned as 'void'."""
+    shown = F.transform(parameters, lambda p: F.concat(F.coalesce(p["name"], F.lit("_")), F.when(p["optional"], "?").otherwise(""), F.lit(": "), F.coalesce(p["type"], F.lit("any"))))
+    return F.concat(name, F.lit("("), F.coalesce(F.concat_ws(", ", shown), F.lit("")), F.lit(") -> "), F.coalesce(returns, F.lit("void")))

@@ -14,8 +14,9 @@ from stratagraph.catalog import Catalog
 NODE_COLUMNS = "project_id id name type qualified_name category level description ordinal file line end_line is_test is_exported is_generated cyclomatic throws parameters parent tags".split()
 
 
-def nodes(t: Catalog) -> DataFrame:
-    """The latest row of each node over all snapshots of its project."""
+def nodes(t: Catalog, *columns: str) -> DataFrame:
+    """The latest row of each node of a project over all its snapshots: ``columns``, or all of NODE_COLUMNS."""
+    wanted = columns or tuple(NODE_COLUMNS)
     meta, source = F.col("metadata"), F.col("source")
     flat = t("cas_node").select(
         "project_id", "snapshot_no", "recorded_at", "id", "name", "type", "qualified_name", "category", "level", "description", "ordinal",
@@ -23,18 +24,26 @@ def nodes(t: Catalog) -> DataFrame:
         meta["is_test"].alias("is_test"), meta["is_exported"].alias("is_exported"), meta["is_generated"].alias("is_generated"), meta["cyclomatic"].alias("cyclomatic"),
         F.col("signature.throws").alias("throws"), F.size("signature.parameters").alias("parameters"), "parent", "tags",
     )
-    last = flat.groupBy("id").agg(F.max_by(F.struct(*NODE_COLUMNS), F.struct("snapshot_no", "recorded_at")).alias("r"))
+    last = flat.groupBy("project_id", "id").agg(F.max_by(F.struct(*wanted), F.struct("snapshot_no", "recorded_at")).alias("r"))
     return last.select("r.*")
 
 
-def edges(t: Catalog) -> DataFrame:
-    """Edges without repeated rows."""
-    return t("cas_edge").select("id", "project_id", "source", "target", "type", "category", "ordinal", "via", "weight", "confidence", "occurrences").distinct()
+EDGE_COLUMNS = "project_id source target type category ordinal via weight confidence occurrences".split()
+
+
+def edge_rows(t: Catalog) -> DataFrame:
+    """Edges as delivered, repeated rows and all: for joins and sums that repetition does not change."""
+    return t("cas_edge").select("id", *EDGE_COLUMNS)
+
+
+def edges(t: Catalog, *columns: str) -> DataFrame:
+    """Edges without repeated rows: id and ``columns``, or all. Only what is named is read and shuffled."""
+    return t("cas_edge").select("id", *(columns or EDGE_COLUMNS)).distinct()
 
 
 def calls(t: Catalog) -> DataFrame:
     """Distinct (source, target) of calls and invocations between two nodes, without self loops."""
-    return edges(t).where("type in ('calls', 'invokes') and target is not null and source <> target").select("source", "target").distinct()
+    return edge_rows(t).where("type in ('calls', 'invokes') and target is not null and source <> target").select("source", "target").distinct()
 
 
 def observations(t: Catalog) -> DataFrame:
@@ -68,7 +77,7 @@ SQL_VIEWS = {
     "nodes": """SELECT project_id, id, name, type, qualified_name, category, level, description, ordinal, source.file AS file, source.line AS line, source.end_line AS end_line,
         metadata.is_test AS is_test, metadata.is_exported AS is_exported, metadata.is_generated AS is_generated, metadata.cyclomatic AS cyclomatic, signature.throws AS throws,
         len(signature.parameters) AS parameters, parent, tags
-      FROM cas_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot_no DESC, recorded_at DESC) = 1""",
+      FROM cas_node QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY snapshot_no DESC, recorded_at DESC) = 1""",
     "edges": "SELECT DISTINCT id, project_id, source, target, type, category, ordinal, via, weight, confidence, occurrences FROM cas_edge",
     "calls": "SELECT DISTINCT source, target FROM cas_edge WHERE type IN ('calls', 'invokes') AND target IS NOT NULL AND source <> target",
     "obs": """SELECT id, project_path, recorded_at, source AS feed, event.event_id AS event_id, event.kind AS kind, event.service_name AS service_name, event.environment AS environment,

@@ -8,6 +8,7 @@ from stratagraph.functions import text as fx
 from stratagraph.operators import graph, select, shredding
 from stratagraph.plans import views as v
 from stratagraph.plans.views import with_views as sql
+from stratagraph.queries import nested
 from stratagraph.queries.registry import Registry
 from stratagraph.session import durable
 
@@ -49,7 +50,7 @@ add("reachability_edges", lambda t: v.calls(t), "SELECT DISTINCT source, target
 
 def _slice(t):
     inside = graph.reach(_calls(t), _seeds(t)).select("id")
-    e = v.edges(t).where("target is not null").select("id", "source", "target")
+    e = v.edges(t, "source", "target").where("target is not null").select("id", "source", "target")
     return e.join(inside.withColumnRenamed("id", "source"), "source", "left_semi").join(inside.withColumnRenamed("id", "target"), "target", "left_semi").select("id", "source", "target")
 
 
@@ -66,7 +67,7 @@ add("communities", lambda t: graph.communities(_calls(t)))
 
 
 def _coupling(t):
-    own = v.edges(t).where("target is not null and source <> target").select("source", "target", F.substring_index("source", ":", 1).alias("a"), F.substring_index("target", ":", 1).alias("b")).distinct().where("a <> b")
+    own = v.edge_rows(t).where("target is not null and source <> target").select("source", "target", F.substring_index("source", ":", 1).alias("a"), F.substring_index("target", ":", 1).alias("b")).distinct().where("a <> b")
     callers = own.groupBy("target").agg(F.count_distinct("source").alias("fan_in")).where("fan_in >= 8")
     rare = own.groupBy("a", "b").agg(F.count("*").alias("links"))
     return select.page(own.join(callers, "target").join(rare, ["a", "b"]).select("source", "target", "fan_in", "links"), [F.col("fan_in").desc(), "links", "source", "target"], 20)
@@ -76,16 +77,25 @@ add("surprising_coupling", _coupling, sql("WITH o AS (SELECT DISTINCT source, ta
 
 
 def _scope(t):
-    pairs = graph.pairs_of(v.edges(t))
+    pairs = graph.pairs_of(v.edge_rows(t))
     return graph.reach(durable(pairs.union(graph.turned(pairs)).distinct()), _seeds(t), 2).select("id", "depth")
 
 
 add("neighbourhood_scope", _scope, sql(f"WITH {_SEEDS}, e AS (SELECT DISTINCT source, target FROM edges WHERE target IS NOT NULL AND source <> target), both_ways AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), walk(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT b, depth + 1 FROM walk JOIN both_ways ON a = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id", "calls", "edges", recursive=True))
-add("entry_reach", lambda t: graph.reach_per_seed(_calls(t), _seeds(t, 10), 4).groupBy("seed").agg(F.count("*").alias("reached"), F.max("depth").alias("depth")), sql("WITH s AS (SELECT source AS id FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10), walk(seed, id, depth) AS (SELECT id, id, 0 FROM s UNION SELECT w.seed, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.id WHERE w.depth < 4), least AS (SELECT seed, id, min(depth) AS depth FROM walk GROUP BY 1, 2) SELECT seed, count(*) AS reached, max(depth) AS depth FROM least GROUP BY 1", "calls", recursive=True))
-add("structural_context", lambda t: v.edges(t).where("type = 'contains' and target is not null").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("children"), F.min("target").alias("first_child")), sql("SELECT source AS id, count(*) AS children, min(target) AS first_child FROM edges WHERE type = 'contains' AND target IS NOT NULL GROUP BY 1", "edges"))
+
+
+def _entries(t):
+    """Handlers of flow entries."""
+    objects = shredding.flow_objects(t("entry_point_flow"), {"handler_node_id": "handler_node_id", "node_id": "node_id"})
+    return objects.where("label in ('entry', 'handler') and list_label is null").select(F.coalesce("handler_node_id", F.when(F.col("label") == "handler", F.col("node_id"))).alias("id")).where("id is not null").distinct()
+
+
+add("entry_reach", lambda t: graph.reach_per_seed(_calls(t), _entries(t)).groupBy("seed").agg(F.count("*").alias("reached")),
+    sql(f"WITH s AS ({nested.HANDLERS_SQL}), walk(seed, id) AS (SELECT id, id FROM s UNION SELECT w.seed, c.target FROM walk w JOIN calls c ON c.source = w.id) SELECT seed, count(*) AS reached FROM walk GROUP BY 1", "calls", recursive=True))
+add("structural_context", lambda t: v.edges(t, "source", "target", "type").where("type = 'contains' and target is not null").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("children"), F.min("target").alias("first_child")), sql("SELECT source AS id, count(*) AS children, min(target) AS first_child FROM edges WHERE type = 'contains' AND target IS NOT NULL GROUP BY 1", "edges"))
 add("ancestors", lambda t: graph.ancestors(v.nodes(t).select("id", "parent")).groupBy("id").agg(F.count("*").alias("ancestors"), F.max("distance").alias("depth")), sql("WITH p AS (SELECT DISTINCT id, parent FROM nodes WHERE parent IS NOT NULL AND parent <> id), walk(id, ancestor, distance) AS (SELECT id, parent, 1 FROM p UNION SELECT w.id, p.parent, w.distance + 1 FROM walk w JOIN p ON p.id = w.ancestor WHERE w.distance < 64 AND p.parent <> w.id), least AS (SELECT id, ancestor, min(distance) AS d FROM walk GROUP BY 1, 2) SELECT id, count(*) AS ancestors, max(d) AS depth FROM least GROUP BY 1", "nodes", recursive=True))
-add("component_parents", lambda t: v.edges(t).where("type = 'references' and target is not null").groupBy("target").agg(F.count_distinct("source").alias("parents")).select("target", "parents", (F.col("parents") >= 2).alias("shared"), (F.col("parents") >= 5).alias("highly_shared")), sql("SELECT target, count(DISTINCT source) AS parents, count(DISTINCT source) >= 2 AS shared, count(DISTINCT source) >= 5 AS highly_shared FROM edges WHERE type = 'references' AND target IS NOT NULL GROUP BY 1", "edges"))
-add("component_children", lambda t: v.edges(t).where("type = 'references' and target is not null").groupBy("source").agg(F.count_distinct("target").alias("children")), sql("SELECT source, count(DISTINCT target) AS children FROM edges WHERE type = 'references' AND target IS NOT NULL GROUP BY 1", "edges"))
+add("component_parents", lambda t: v.edge_rows(t).where("type = 'references' and target is not null").groupBy("target").agg(F.count_distinct("source").alias("parents")).select("target", "parents", (F.col("parents") >= 2).alias("shared"), (F.col("parents") >= 5).alias("highly_shared")), sql("SELECT target, count(DISTINCT source) AS parents, count(DISTINCT source) >= 2 AS shared, count(DISTINCT source) >= 5 AS highly_shared FROM edges WHERE type = 'references' AND target IS NOT NULL GROUP BY 1", "edges"))
+add("component_children", lambda t: v.edge_rows(t).where("type = 'references' and target is not null").groupBy("source").agg(F.count_distinct("target").alias("children")), sql("SELECT source, count(DISTINCT target) AS children FROM edges WHERE type = 'references' AND target IS NOT NULL GROUP BY 1", "edges"))
 
 
 def _layering(t):
@@ -111,5 +121,5 @@ add("flow_continuations", lambda t: _flow_links(t))
 add("flow_summary", lambda t: shredding.flow_steps(t("entry_point_flow")).groupBy("record").agg(F.count("*").alias("steps"), F.max(F.size(F.split("step_path", r"\."))).alias("depth"), F.count_if(F.col("node_id").isNull()).alias("unresolved")).withColumnRenamed("record", "record_id"))
 add("concept_index", lambda t: shredding.flow_steps(t("entry_point_flow")).where("node_id is not null").groupBy("node_id").agg(F.count_distinct("record").alias("flows")))
 add("security_boundaries", lambda t: shredding.flow_objects(t("entry_point_flow"), {"name": "name", "mechanism": "mechanism"}).where("list_label = 'security_boundaries'").groupBy("mechanism").agg(F.count_distinct("record").alias("flows"), F.count_distinct("name").alias("names")))
-add("entity_relations", lambda t: v.edges(t).where("type = 'depends_on' and target is not null").groupBy("source").agg(F.count_distinct("target").alias("targets"), F.max("occurrences").alias("most")).select("source", "targets", F.when(F.col("most") > 1, "1:N").otherwise("1:1").alias("cardinality")), sql("SELECT source, count(DISTINCT target) AS targets, CASE WHEN max(occurrences) > 1 THEN '1:N' ELSE '1:1' END AS cardinality FROM edges WHERE type = 'depends_on' AND target IS NOT NULL GROUP BY 1", "edges"))
+add("entity_relations", lambda t: v.edge_rows(t).where("type = 'depends_on' and target is not null").groupBy("source").agg(F.count_distinct("target").alias("targets"), F.max("occurrences").alias("most")).select("source", "targets", F.when(F.col("most") > 1, "1:N").otherwise("1:1").alias("cardinality")), sql("SELECT source, count(DISTINCT target) AS targets, CASE WHEN max(occurrences) > 1 THEN '1:N' ELSE '1:1' END AS cardinality FROM edges WHERE type = 'depends_on' AND target IS NOT NULL GROUP BY 1", "edges"))
 add("er_model", lambda t: v.nodes(t).where("type = 'class'").select("id", "name", F.coalesce(fx.language_of(F.col("file")), F.lit("?")).alias("language")), sql("SELECT id, name, coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in fx.LANGUAGES.items()) + "}, lower(regexp_extract(file, '\\.([A-Za-z0-9]+)$', 1)))[1], '?') AS language FROM nodes WHERE type = 'class'", "nodes"))

@@ -63,7 +63,7 @@ def _semantic_coverage(t):
 
 add("semantic_coverage", _semantic_coverage)
 add("idioms", lambda t: select.first_per_key(v.nodes(t).groupBy("type", fx.naming_style(F.col("name")).alias("style")).agg(F.count("*").alias("support"), F.min("id").alias("example")), ["type"], [F.col("support").desc(), F.col("style")]), sql("SELECT type, style, count(*) AS support, min(id) AS example FROM (SELECT id, type, CASE WHEN regexp_matches(name, '^[a-z]+(?:[A-Z][a-z0-9]*)+$') THEN 'camel' WHEN regexp_matches(name, '^(?:[A-Z][a-z0-9]*)+$') THEN 'pascal' WHEN regexp_matches(name, '^[a-z0-9]+(?:_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(name, '^[a-z0-9]+(?:-[a-z0-9]+)+$') THEN 'kebab' ELSE 'other' END AS style FROM nodes) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, style) = 1", "nodes"))
-add("link_coverage", lambda t: v.edges(t).groupBy("project_id").agg(F.count("*").alias("detected"), F.count("target").alias("linked"), F.count_if(F.col("target").isNull()).alias("unlinked")), sql("SELECT project_id, count(*) AS detected, count(target) AS linked, count(*) FILTER (WHERE target IS NULL) AS unlinked FROM edges GROUP BY 1", "edges"))
+add("link_coverage", lambda t: v.edges(t, "project_id", "target").groupBy("project_id").agg(F.count("*").alias("detected"), F.count("target").alias("linked"), F.count_if(F.col("target").isNull()).alias("unlinked")), sql("SELECT project_id, count(*) AS detected, count(target) AS linked, count(*) FILTER (WHERE target IS NULL) AS unlinked FROM edges GROUP BY 1", "edges"))
 _CLEAN = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
 add("contended_paths", lambda t: t("in_flight_diff_file").where("agent_id is not null and path is not null").groupBy(fx.clean_path(F.col("path")).alias("path")).agg(F.count_distinct("agent_id").alias("agents"), F.min("agent_id").alias("first_agent"), F.max("captured_at").alias("last_at")).where("agents > 1"), f"SELECT {_CLEAN} AS path, count(DISTINCT agent_id) AS agents, min(agent_id) AS first_agent, max(captured_at) AS last_at FROM in_flight_diff_file WHERE agent_id IS NOT NULL AND path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT agent_id) > 1")
 add("bug_fix_subjects", lambda t: t("documents").where("source = 'commit_log' and text is not null").groupBy(F.lower(F.substring_index("text", "\n", 1)).rlike(r"^(fix|bug|hotfix)\b|\b(fixes|bug)\b").alias("is_fix")).agg(F.count("*").alias("n")), r"SELECT regexp_matches(lower(string_split(text, chr(10))[1]), '^(fix|bug|hotfix)\b|\b(fixes|bug)\b') AS is_fix, count(*) AS n FROM documents WHERE source = 'commit_log' AND text IS NOT NULL GROUP BY 1")
@@ -87,7 +87,7 @@ def _route_drift(t):
 add("route_drift", _route_drift)
 add("field_drift", lambda t: t("cas_node").select("project_id", "snapshot_no", "id", F.explode("signature.parameters").alias("p")).select("project_id", "snapshot_no", "id", F.col("p.name").alias("field"), F.col("p.type").alias("type")).distinct().groupBy("project_id", "id", "field").agg(F.count_distinct("type").alias("types")).where("types > 1"), "SELECT project_id, id, p.name AS field, count(DISTINCT p.type) AS types FROM (SELECT project_id, id, unnest(signature.parameters) AS p FROM cas_node) GROUP BY 1, 2, 3 HAVING count(DISTINCT p.type) > 1")
 add("near_copies", lambda t: similar.similar_classes(t("documents"), "doc_id", "text"))
-add("er_diagram", lambda t: v.edges(t).where("type = 'depends_on' and target is not null").select("source", "target").distinct().groupBy("source").agg(F.concat_ws(", ", F.array_sort(F.collect_list("target"))).alias("relations")), sql("SELECT source, string_agg(target, ', ' ORDER BY target) AS relations FROM (SELECT DISTINCT source, target FROM edges WHERE type = 'depends_on' AND target IS NOT NULL) GROUP BY 1", "edges"))
+add("er_diagram", lambda t: v.edge_rows(t).where("type = 'depends_on' and target is not null").select("source", "target").distinct().groupBy("source").agg(F.concat_ws(", ", F.array_sort(F.collect_list("target"))).alias("relations")), sql("SELECT source, string_agg(target, ', ' ORDER BY target) AS relations FROM (SELECT DISTINCT source, target FROM edges WHERE type = 'depends_on' AND target IS NOT NULL) GROUP BY 1", "edges"))
 add("project_markdown", lambda t: v.nodes(t).groupBy("project_id", "type").agg(F.count("*").alias("n")).groupBy("project_id").agg(F.concat(F.lit("# "), F.col("project_id"), F.lit("\n"), F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("type"), F.lit(": "), F.col("n").cast("string")))))).alias("markdown")), sql("SELECT project_id, '# ' || project_id || chr(10) || string_agg('- ' || type || ': ' || n, chr(10) ORDER BY '- ' || type || ': ' || n) AS markdown FROM (SELECT project_id, type, count(*) AS n FROM nodes GROUP BY 1, 2) GROUP BY 1", "nodes"))
 add("system_overview", lambda t: t("analysis_entry").distinct().groupBy("system_type").agg(F.count_distinct("project_id").alias("projects"), F.max("node_count").alias("largest"), F.sum("edge_count").alias("edges")), "SELECT system_type, count(DISTINCT project_id) AS projects, max(node_count) AS largest, CAST(sum(edge_count) AS BIGINT) AS edges FROM (SELECT DISTINCT * FROM analysis_entry) GROUP BY 1")
 add("framework_counts", lambda t: t("analysis_entry").select("project_id", F.explode("frameworks").alias("framework")).distinct().groupBy("framework").agg(F.count("*").alias("projects")), "SELECT framework, count(*) AS projects FROM (SELECT DISTINCT project_id, unnest(frameworks) AS framework FROM analysis_entry) GROUP BY 1")

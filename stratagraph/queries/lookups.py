@@ -16,7 +16,7 @@ QUERIES, SQL = _r.queries, _r.sql
 add = _r.add
 
 # -- projections and filters ---------------------------------------------------
-add("node_detail", lambda t: select.neighbourhood(v.nodes(t).select("id", "name", "type", "file", "parent"), v.edges(t)),
+add("node_detail", lambda t: select.neighbourhood(v.nodes(t).select("id", "name", "type", "file", "parent"), v.edges(t, "source", "target")),
     sql("""SELECT n.id, n.name, n.type, n.file, n.parent, coalesce(i.edges_in, 0) AS edges_in, coalesce(i.sources, 0) AS sources, coalesce(o.edges_out, 0) AS edges_out, coalesce(o.targets, 0) AS targets FROM nodes n
         LEFT JOIN (SELECT target AS id, count(*) AS edges_in, count(DISTINCT source) AS sources FROM edges WHERE target IS NOT NULL GROUP BY 1) i USING (id)
         LEFT JOIN (SELECT source AS id, count(*) AS edges_out, count(DISTINCT target) AS targets FROM edges GROUP BY 1) o USING (id)""", "nodes", "edges"))
@@ -26,17 +26,17 @@ add("file_nodes", lambda t: v.nodes(t).where(F.endswith("file", F.lit("ledger.ts
 
 def _file_edges(t):
     inside = v.nodes(t).where("file is not null").select("id", "file")
-    e = v.edges(t).select(F.col("id").alias("edge_id"), "source", "target", "type")
+    e = v.edges(t, "source", "target", "type").select(F.col("id").alias("edge_id"), "source", "target", "type")
     a = e.join(inside.select(F.col("id").alias("source"), "file"), "source")
     return a.join(inside.select(F.col("id").alias("target"), "file"), ["target", "file"]).groupBy("file").agg(F.count("*").alias("edges"))
 
 
 add("file_internal_edges", _file_edges, sql("SELECT a.file, count(*) AS edges FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id AND a.file = b.file GROUP BY a.file", "nodes", "edges"))
 add("entry_points_page", lambda t: select.page(v.nodes(t).where("is_exported").select("id", "name", "type"), ["id"], 50, 10), sql("SELECT id, name, type FROM nodes WHERE is_exported ORDER BY id LIMIT 50 OFFSET 10", "nodes"))
-add("exit_points_page", lambda t: select.page_with_more(v.edges(t).where("category = 'data'").select("id", "source", "target"), ["id"], 50), sql("SELECT id, source, target, (SELECT count(*) FROM edges WHERE category = 'data') > 50 AS truncated FROM edges WHERE category = 'data' ORDER BY id LIMIT 50", "edges"))
+add("exit_points_page", lambda t: select.page_with_more(v.edges(t, "source", "target", "category").where("category = 'data'").select("id", "source", "target"), ["id"], 50), sql("SELECT id, source, target, (SELECT count(*) FROM edges WHERE category = 'data') > 50 AS truncated FROM edges WHERE category = 'data' ORDER BY id LIMIT 50", "edges"))
 add("route_table", lambda t: v.observations(t).where("path is not null and upper(method) = upper('get')").select(fx.normal_route(F.col("path")).alias("route")).groupBy("route").agg(F.count("*").alias("n")),
     sql(r"""SELECT route, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '[?#].*', ''), '/[0-9]+(/[0-9]+)(/|$)', '/:param\1\2', 'g'), '/[0-9]+(/|$)', '/:param\1', 'g'), '(.)/$', '\1') AS route FROM obs WHERE path IS NOT NULL AND upper(method) = 'GET') GROUP BY 1""", "obs"))
-add("seam_counts", lambda t: v.edges(t).groupBy("type").pivot("category", ["behaviour", "data", "structure"]).agg(F.count("id")).na.fill(0), sql("SELECT type, count(*) FILTER (WHERE category = 'behaviour') AS behaviour, count(*) FILTER (WHERE category = 'data') AS data, count(*) FILTER (WHERE category = 'structure') AS structure FROM edges GROUP BY type", "edges"))
+add("seam_counts", lambda t: v.edges(t, "type", "category").groupBy("type").pivot("category", ["behaviour", "data", "structure"]).agg(F.count("id")).na.fill(0), sql("SELECT type, count(*) FILTER (WHERE category = 'behaviour') AS behaviour, count(*) FILTER (WHERE category = 'data') AS data, count(*) FILTER (WHERE category = 'structure') AS structure FROM edges GROUP BY type", "edges"))
 add("analysis_facts", lambda t: v.nodes(t).where("type = 'function' and category = 'behaviour' and level = 3").select("id", "type", "category", "level"), sql("SELECT id, type, category, level FROM nodes WHERE type = 'function' AND category = 'behaviour' AND level = 3", "nodes"))
 add("invariant_filter", lambda t: v.nodes(t).where(F.contains(F.lower(F.concat_ws(" ", "name", "description", F.concat_ws(" ", "tags"))), F.lit("ledger"))).select("id"), sql("SELECT id FROM nodes WHERE contains(lower(concat_ws(' ', name, description, array_to_string(tags, ' '))), 'ledger')", "nodes"))
 add("role_breakdown", lambda t: select.breakdown(v.nodes(t), "category"), sql("SELECT coalesce(category, 'unknown') AS category, count(*) AS n FROM nodes GROUP BY 1", "nodes"))
@@ -51,7 +51,7 @@ add("best_status_per_entry", lambda t: v.observations(t).where("match_id is not
 
 def _level_slice(t):
     paged = select.page(v.nodes(t).where("level = 2").select("id"), ["id"], 200)
-    e = v.edges(t).where("target is not null").select("id", "source", "target")
+    e = v.edges(t, "source", "target").where("target is not null").select("id", "source", "target")
     return e.join(paged.select(F.col("id").alias("source")), "source", "left_semi").join(paged.select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target")
 
 
@@ -112,17 +112,7 @@ add("token_coverage", lambda t: v.nodes(t).select("id", fx.coverage(fx.search_to
 _dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _vector_top(t):
-    e = t("embeddings").select("vec_id", "embedding")
-    query = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    scored = e.join(query).withColumn("norms", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(_dot(F.col("q"), F.col("q")))).where("norms > 0")
-    return select.page(scored.select("vec_id", F.round(_dot(F.col("embedding"), F.col("q")) / F.col("norms"), 6).alias("score")), [F.col("score").desc(), "vec_id"], 20)
-
-
-add("vector_top_k", _vector_top, "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
-
-
-add("vector_top_k_all", lambda t: similar.cosine_top(t("embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE place <= 20")
+add("vector_top_k", lambda t: similar.cosine_top(t("embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20), "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)) WHERE place <= 20")
 
 
 def _quantised(t):
@@ -172,7 +162,7 @@ def _risk_rank(t):
 
 
 add("change_risk_rank", _risk_rank, sql("SELECT id, CASE WHEN cyclomatic > 20 THEN 400 WHEN cyclomatic > 10 THEN 300 WHEN cyclomatic > 5 THEN 200 ELSE 100 END + CASE WHEN parameters > 4 THEN 10 ELSE 0 END + CASE WHEN len(throws) > 0 THEN 5 ELSE 0 END + CASE WHEN NOT coalesce(is_test, true) THEN 15 ELSE 0 END AS rank FROM nodes ORDER BY rank DESC, id LIMIT 100", "nodes"))
-add("shared_components", lambda t: v.edges(t).where("target is not null").groupBy("target").agg(F.count_distinct("source").alias("usage_count")).where("usage_count >= 2").orderBy(F.col("usage_count").desc(), "target").limit(50), sql("SELECT target, count(DISTINCT source) AS usage_count FROM edges WHERE target IS NOT NULL GROUP BY target HAVING count(DISTINCT source) >= 2 ORDER BY usage_count DESC, target LIMIT 50", "edges"))
+add("shared_components", lambda t: v.edge_rows(t).where("target is not null").groupBy("target").agg(F.count_distinct("source").alias("usage_count")).where("usage_count >= 2").orderBy(F.col("usage_count").desc(), "target").limit(50), sql("SELECT target, count(DISTINCT source) AS usage_count FROM edges WHERE target IS NOT NULL GROUP BY target HAVING count(DISTINCT source) >= 2 ORDER BY usage_count DESC, target LIMIT 50", "edges"))
 
 # -- windows, sets, scalars ----------------------------------------------------
 add("percentile_below", lambda t: select.percentile_below(v.nodes(t).where("cyclomatic is not null").select("id", "cyclomatic"), "cyclomatic"), sql("SELECT id, cyclomatic, CAST(floor(100 * (rank() OVER (ORDER BY cyclomatic) - 1) / count(*) OVER ()) AS INTEGER) AS percentile FROM nodes WHERE cyclomatic IS NOT NULL", "nodes"))

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as fx
-from stratagraph.operators import history, select, shredding, snapshots
+from stratagraph.operators import graph, history, ordered, select, shredding, snapshots
+from stratagraph.session import durable
 from stratagraph.plans import views as v
 from stratagraph.plans.views import with_views as sql
 from stratagraph.queries.registry import Registry
@@ -16,14 +17,14 @@ QUERIES, SQL = _r.queries, _r.sql
 add = _r.add
 
 # -- joins ---------------------------------------------------------------------
-add("edge_node_join", lambda t: v.edges(t).join(v.nodes(t).select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source").join(v.nodes(t).select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target").groupBy("source_type", "type", "target_type").agg(F.count("*").alias("n")),
+add("edge_node_join", lambda t: v.edges(t, "source", "target", "type").join(v.nodes(t).select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source").join(v.nodes(t).select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target").groupBy("source_type", "type", "target_type").agg(F.count("*").alias("n")),
     sql("SELECT a.type AS source_type, e.type, b.type AS target_type, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target GROUP BY 1, 2, 3", "nodes", "edges"))
-add("scope_semi_join", lambda t: v.edges(t).join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("source")), "source", "left_semi").join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target"),
+add("scope_semi_join", lambda t: v.edges(t, "source", "target").join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("source")), "source", "left_semi").join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target"),
     sql("SELECT id, source, target FROM edges WHERE source IN (SELECT id FROM nodes WHERE category = 'behaviour') AND target IN (SELECT id FROM nodes WHERE category = 'behaviour')", "nodes", "edges"))
 
 
 def _dead(t):
-    used = v.edges(t).where("type in ('calls', 'uses', 'depends_on') and target is not null").select(F.col("target").alias("id"))
+    used = v.edge_rows(t).where("type in ('calls', 'uses', 'depends_on') and target is not null").select(F.col("target").alias("id"))
     units = v.nodes(t).where("type in ('function', 'method') and not coalesce(is_test, false) and not coalesce(is_exported, false)")
     return units.join(used, "id", "left_anti").select("id", "name", "file")
 
@@ -32,7 +33,7 @@ add("dead_code", _dead, sql("SELECT id, name, file FROM nodes n WHERE type IN ('
 
 
 def _dead_reasons(t):
-    inbound = v.edges(t).where("target is not null and type in ('calls', 'invokes')").join(v.nodes(t).select(F.col("id").alias("source"), F.coalesce("is_test", F.lit(False)).alias("from_test")), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"), F.count_if("from_test").alias("tests"))
+    inbound = v.edges(t, "source", "target", "type").where("target is not null and type in ('calls', 'invokes')").join(v.nodes(t).select(F.col("id").alias("source"), F.coalesce("is_test", F.lit(False)).alias("from_test")), "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"), F.count_if("from_test").alias("tests"))
     n = v.nodes(t).select("id", "is_exported").join(inbound, "id", "left")
     reason = F.when(F.col("inbound").isNull() & F.coalesce("is_exported", F.lit(False)), "exported-unused").when(F.col("inbound").isNull(), "no-inbound").when(F.col("inbound") == F.col("tests"), "only-from-tests")
     return n.select("id", reason.alias("reason")).where("reason is not null")
@@ -40,28 +41,16 @@ def _dead_reasons(t):
 
 add("dead_code_reasons", _dead_reasons, sql("""WITH i AS (SELECT target AS id, count(*) AS n, count(*) FILTER (WHERE coalesce(s.is_test, false)) AS tests FROM edges e JOIN nodes s ON s.id = e.source WHERE target IS NOT NULL AND e.type IN ('calls', 'invokes') GROUP BY 1)
     SELECT id, reason FROM (SELECT n.id, CASE WHEN i.n IS NULL AND coalesce(n.is_exported, false) THEN 'exported-unused' WHEN i.n IS NULL THEN 'no-inbound' WHEN i.n = i.tests THEN 'only-from-tests' END AS reason FROM nodes n LEFT JOIN i USING (id)) WHERE reason IS NOT NULL""", "nodes", "edges"))
-add("dangling_edges", lambda t: v.edges(t).where("target is not null").join(v.nodes(t).select(F.col("id").alias("target")).unionByName(t("shared_node").select(F.col("id").alias("target"))), "target", "left_anti").select("id", "target"), sql("SELECT id, target FROM edges WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM nodes UNION ALL SELECT id FROM shared_node)", "nodes", "edges"))
+add("dangling_edges", lambda t: v.edges(t, "target").where("target is not null").join(v.nodes(t).select(F.col("id").alias("target")).unionByName(t("shared_node").select(F.col("id").alias("target"))), "target", "left_anti").select("id", "target"), sql("SELECT id, target FROM edges WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM nodes UNION ALL SELECT id FROM shared_node)", "nodes", "edges"))
 add("duplicate_ids", lambda t: t("cas_edge").groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "SELECT id, count(*) AS n FROM cas_edge GROUP BY id HAVING count(*) > 1")
 
 
-def _snapshot_sets(t):
-    flat = t("cas_node").select("project_id", "snapshot_no", "id").distinct()
-    a, b = flat.where("snapshot_no = 1"), flat.where("snapshot_no = 2")
-    gone = a.join(b.select("project_id", "id"), ["project_id", "id"], "left_anti").groupBy("project_id").agg(F.count("*").alias("n")).withColumn("change", F.lit("deleted"))
-    new = b.join(a.select("project_id", "id"), ["project_id", "id"], "left_anti").groupBy("project_id").agg(F.count("*").alias("n")).withColumn("change", F.lit("added"))
-    return gone.unionByName(new)
-
-
-add("snapshot_added_removed", _snapshot_sets, """WITH f AS (SELECT DISTINCT project_id, snapshot_no, id FROM cas_node), a AS (SELECT * FROM f WHERE snapshot_no = 1), b AS (SELECT * FROM f WHERE snapshot_no = 2)
-    SELECT project_id, count(*) AS n, 'deleted' AS change FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.project_id = a.project_id AND b.id = a.id) GROUP BY 1
-    UNION ALL SELECT project_id, count(*), 'added' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.project_id = a.project_id AND b.id = a.id) GROUP BY 1""")
-
-
 def _snapshot_pairs(t):
     """project_id, snapshot_no and before: each complete snapshot with the nearest earlier complete one."""
-    current = t("cas_node").select(F.col("project_id").alias("grp"), F.col("snapshot_no").alias("version"), F.col("id").alias("key")).dropna().distinct()
+    keys = t("cas_node").select(F.col("project_id").alias("grp"), F.col("snapshot_no").alias("version"), F.col("id").alias("key")).dropna().distinct()
+    sizes = keys.groupBy("grp", "version").agg(F.count("*").alias("size"))
     announced = t("analysis_entry").select(F.col("project_id").alias("grp"), F.col("snapshot_no").alias("version"), F.col("node_count").alias("size"))
-    return snapshots.consecutive(current, announced).where("before is not null").toDF(*_PAIR)
+    return snapshots.consecutive(sizes, announced).where("before is not null").toDF(*_PAIR)
 
 
 _PAIR = ["project_id", "snapshot_no", "before"]
@@ -75,33 +64,18 @@ def _both_sides(t, flat):
     return flat.withColumnRenamed("snapshot_no", "before").join(pairs, ["project_id", "before"]), flat.join(pairs, ["project_id", "snapshot_no"])
 
 
-def _all_snapshot_sets(t):
+def _snapshot_sets(t):
     a, b = _both_sides(t, t("cas_node").select("project_id", "snapshot_no", "id").dropna().distinct())
     only = lambda x, y, change: x.join(y.select(*_PAIR, "id"), [*_PAIR, "id"], "left_anti").groupBy(*_PAIR).agg(F.count("*").alias("n")).withColumn("change", F.lit(change))
     return only(a, b, "deleted").unionByName(only(b, a, "added"))
 
 
-add("snapshot_added_removed_all", _all_snapshot_sets, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id FROM cas_node WHERE id IS NOT NULL)
+add("snapshot_added_removed", _snapshot_sets, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id FROM cas_node WHERE id IS NOT NULL)
     SELECT p.project_id, p.snapshot_no, p.before, count(*) AS n, 'deleted' AS change FROM pairs p JOIN f a ON a.project_id = p.project_id AND a.snapshot_no = p.before WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no AND b.id = a.id) GROUP BY ALL
     UNION ALL SELECT p.project_id, p.snapshot_no, p.before, count(*), 'added' FROM pairs p JOIN f b ON b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.project_id = p.project_id AND a.snapshot_no = p.before AND a.id = b.id) GROUP BY ALL""")
 
 
 def _renames(t):
-    flat = t("cas_node").select("project_id", "snapshot_no", "id", "name", "type", F.col("source.file").alias("file"), F.size("signature.parameters").alias("parameters")).distinct()
-    a, b = flat.where("snapshot_no = 1"), flat.where("snapshot_no = 2")
-    keys = ["project_id", "type", "file", "parameters"]
-    only = lambda x, y: x.join(y.select("project_id", "id"), ["project_id", "id"], "left_anti")
-    unique = lambda x, name: x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias(name)).where("n = 1").drop("n")
-    return unique(only(a, b), "old_id").join(unique(only(b, a), "new_id"), keys).select("project_id", "old_id", "new_id")
-
-
-add("rename_match", _renames, """WITH f AS (SELECT DISTINCT project_id, snapshot_no, id, name, type, source.file AS file, len(signature.parameters) AS parameters FROM cas_node), a AS (SELECT * FROM f WHERE snapshot_no = 1), b AS (SELECT * FROM f WHERE snapshot_no = 2),
-    x AS (SELECT project_id, type, file, parameters, min(id) AS old_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.project_id = a.project_id AND b.id = a.id) GROUP BY ALL HAVING count(*) = 1),
-    y AS (SELECT project_id, type, file, parameters, min(id) AS new_id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.project_id = a.project_id AND b.id = a.id) GROUP BY ALL HAVING count(*) = 1)
-    SELECT x.project_id, old_id, new_id FROM x JOIN y ON x.project_id = y.project_id AND x.type = y.type AND x.file = y.file AND x.parameters = y.parameters""")
-
-
-def _all_renames(t):
     a, b = _both_sides(t, t("cas_node").select("project_id", "snapshot_no", "id", "name", "type", F.col("source.file").alias("file"), F.size("signature.parameters").alias("parameters")).where("id is not null").distinct())
     keys = [*_PAIR, "type", "file", "parameters"]
     only = lambda x, y: x.join(y.select(*_PAIR, "id"), [*_PAIR, "id"], "left_anti")
@@ -109,7 +83,7 @@ def _all_renames(t):
     return unique(only(a, b), "old_id").join(unique(only(b, a), "new_id"), keys).select(*_PAIR, "old_id", "new_id")
 
 
-add("rename_match_all", _all_renames, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id, name, type, source.file AS file, len(signature.parameters) AS parameters FROM cas_node WHERE id IS NOT NULL),
+add("rename_match", _renames, f"""WITH {_PAIRS_SQL}, f AS (SELECT DISTINCT project_id, snapshot_no, id, name, type, source.file AS file, len(signature.parameters) AS parameters FROM cas_node WHERE id IS NOT NULL),
     x AS (SELECT p.project_id, p.snapshot_no, p.before, type, file, parameters, min(id) AS old_id FROM pairs p JOIN f a ON a.project_id = p.project_id AND a.snapshot_no = p.before WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no AND b.id = a.id) GROUP BY ALL HAVING count(*) = 1),
     y AS (SELECT p.project_id, p.snapshot_no, p.before, type, file, parameters, min(id) AS new_id FROM pairs p JOIN f b ON b.project_id = p.project_id AND b.snapshot_no = p.snapshot_no WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.project_id = p.project_id AND a.snapshot_no = p.before AND a.id = b.id) GROUP BY ALL HAVING count(*) = 1)
     SELECT project_id, snapshot_no, before, old_id, new_id FROM x JOIN y USING (project_id, snapshot_no, before, type, file, parameters)""")
@@ -221,18 +195,23 @@ add("path_overlaps", _collisions, sql("""WITH l AS (SELECT * FROM (SELECT * FROM
     SELECT a.claim_id AS first_claim, count(*) AS overlaps FROM l a JOIN l b ON a.claim_id < b.claim_id AND (a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/')) GROUP BY 1""", "claims"))
 
 
-def _tests_per_target(t):
-    e = v.edges(t).where("type in ('calls', 'instantiates') and target is not null").select("source", "target")
-    tests = v.nodes(t).where("is_test").select(F.col("id").alias("source"), F.col("file").alias("test_file"))
-    return e.join(tests, "source").groupBy("target").agg(F.count_distinct("test_file").alias("test_files"), F.min("test_file").alias("first_file"))
+def _tests_per_target(t, depth=12):
+    """Test files that reach a target through calls and creations of up to ``depth`` steps."""
+    pairs = durable(graph.pairs_of(v.edge_rows(t).where("type in ('calls', 'instantiates')")))
+    tests = durable(v.nodes(t, "id", "file", "is_test").where("is_test").select("id", F.col("file").alias("test_file")))
+    reached = graph.reach_per_seed(pairs, tests.select("id"), depth).where("depth > 0")
+    return reached.join(tests.withColumnRenamed("id", "seed"), "seed").groupBy(F.col("id").alias("target")).agg(F.count_distinct("test_file").alias("test_files"), F.min("test_file").alias("first_file"))
 
 
-add("tests_of_target", _tests_per_target, sql("SELECT target, count(DISTINCT n.file) AS test_files, min(n.file) AS first_file FROM edges e JOIN nodes n ON n.id = e.source AND n.is_test WHERE e.type IN ('calls', 'instantiates') AND target IS NOT NULL GROUP BY target", "nodes", "edges"))
+_TESTS = """steps AS (SELECT DISTINCT source, target FROM cas_edge WHERE type IN ('calls', 'instantiates') AND target IS NOT NULL AND source <> target),
+    walk(seed, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE is_test UNION SELECT w.seed, s.target, w.depth + 1 FROM walk w JOIN steps s ON s.source = w.id WHERE w.depth < 12),
+    tested AS (SELECT w.id AS target, count(DISTINCT n.file) AS test_files, min(n.file) AS first_file FROM (SELECT DISTINCT seed, id FROM walk WHERE id <> seed) w JOIN nodes n ON n.id = w.seed GROUP BY 1)"""
+add("tests_of_target", _tests_per_target, sql(f"WITH {_TESTS} SELECT * FROM tested", "nodes", recursive=True))
 
 
 def _accessors(t):
     way = F.when(F.col("type") == "uses", "read").when(F.col("type") == "instantiates", "write")
-    e = v.edges(t).where("target is not null").select("source", "target", "id", way.alias("way")).where("way is not null")
+    e = v.edge_rows(t).where("target is not null").select("source", "target", "id", way.alias("way")).where("way is not null")
     return e.groupBy("target", "source").agg(F.min_by("way", "id").alias("first_way")).groupBy("target").pivot("first_way", ["read", "write"]).agg(F.count("source")).na.fill(0)
 
 
@@ -240,8 +219,8 @@ add("entity_accessors", _accessors, sql("SELECT target, count(*) FILTER (WHERE w
 
 # -- aggregations --------------------------------------------------------------
 add("summary_counts", lambda t: v.nodes(t).groupBy("project_id").agg(F.count("*").alias("nodes"), F.count_distinct("type").alias("types"), F.count_distinct("file").alias("files"), F.count_if("is_test").alias("tests"), F.count_if("is_exported").alias("exported")), sql("SELECT project_id, count(*) AS nodes, count(DISTINCT type) AS types, count(DISTINCT file) AS files, count(*) FILTER (WHERE is_test) AS tests, count(*) FILTER (WHERE is_exported) AS exported FROM nodes GROUP BY 1", "nodes"))
-add("fan_in_out", lambda t: v.edges(t).where("type in ('calls', 'instantiates')").select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).where("x.id is not null").groupBy("x.id").agg(F.sum("x.i").alias("fan_in"), F.sum("x.o").alias("fan_out")), sql("SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges WHERE type IN ('calls', 'instantiates') AND target IS NOT NULL UNION ALL SELECT source, 0, 1 FROM edges WHERE type IN ('calls', 'instantiates')) GROUP BY id", "edges"))
-add("reference_counts", lambda t: v.edges(t).where("type <> 'contains' and target is not null and source <> target").groupBy("target").agg(F.count_distinct("source").alias("callers")), sql("SELECT target, count(DISTINCT source) AS callers FROM edges WHERE type <> 'contains' AND target IS NOT NULL AND source <> target GROUP BY 1", "edges"))
+add("fan_in_out", lambda t: v.edges(t, "source", "target", "type").where("type in ('calls', 'instantiates')").select(F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x")).where("x.id is not null").groupBy("x.id").agg(F.sum("x.i").alias("fan_in"), F.sum("x.o").alias("fan_out")), sql("SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges WHERE type IN ('calls', 'instantiates') AND target IS NOT NULL UNION ALL SELECT source, 0, 1 FROM edges WHERE type IN ('calls', 'instantiates')) GROUP BY id", "edges"))
+add("reference_counts", lambda t: v.edge_rows(t).where("type <> 'contains' and target is not null and source <> target").groupBy("target").agg(F.count_distinct("source").alias("callers")), sql("SELECT target, count(DISTINCT source) AS callers FROM edges WHERE type <> 'contains' AND target IS NOT NULL AND source <> target GROUP BY 1", "edges"))
 _RISK = "CASE risk WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 0 END"
 
 
@@ -277,13 +256,22 @@ def _hot_spots(t):
 
 
 add("hot_spots", _hot_spots, sql("WITH r AS (SELECT path, CAST(sum(added + removed) AS BIGINT) AS raw FROM commit_files GROUP BY 1) SELECT path, raw, round((raw - (SELECT min(raw) FROM r)) / ((SELECT max(raw) FROM r) - (SELECT min(raw) FROM r))::DOUBLE, 6) AS value FROM r ORDER BY raw DESC, path LIMIT 20", "commit_files"))
-add("project_health", lambda t: v.nodes(t).join(_tests_per_target(t).withColumnRenamed("target", "id"), "id", "left").groupBy("project_id").agg(F.count("*").alias("units"), F.count_if(F.col("test_files") > 0).alias("tested"), F.round(1 - F.count_if(F.col("test_files") > 0) / F.count("*"), 6).alias("untested_share")), sql("WITH x AS (SELECT target, count(DISTINCT n.file) AS test_files FROM edges e JOIN nodes n ON n.id = e.source AND n.is_test WHERE e.type IN ('calls', 'instantiates') AND target IS NOT NULL GROUP BY target) SELECT project_id, count(*) AS units, count(*) FILTER (WHERE test_files > 0) AS tested, round(1 - count(*) FILTER (WHERE test_files > 0) / count(*)::DOUBLE, 6) AS untested_share FROM nodes LEFT JOIN x ON x.target = nodes.id GROUP BY 1", "nodes", "edges"))
+add("project_health", lambda t: v.nodes(t, "project_id", "id").join(_tests_per_target(t).withColumnRenamed("target", "id"), "id", "left").groupBy("project_id").agg(F.count("*").alias("units"), F.count_if(F.col("test_files") > 0).alias("tested"), F.round(1 - F.count_if(F.col("test_files") > 0) / F.count("*"), 6).alias("untested_share")),
+    sql(f"WITH {_TESTS} SELECT project_id, count(*) AS units, count(*) FILTER (WHERE test_files > 0) AS tested, round(1 - count(*) FILTER (WHERE test_files > 0) / count(*)::DOUBLE, 6) AS untested_share FROM nodes LEFT JOIN tested ON tested.target = nodes.id GROUP BY 1", "nodes", recursive=True))
 add("conformance_shapes", lambda t: select.first_per_key(v.nodes(t).where("file is not null").select(F.coalesce(fx.language_of(F.col("file")), F.lit("?")).alias("language"), fx.naming_style(F.regexp_replace(fx.base_name(F.col("file")), r"\..*$", "")).alias("shape")).groupBy("language", "shape").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("language")), 6)), ["language"], [F.col("n").desc(), F.col("shape")]))
-add("seam_inventory", lambda t: v.edges(t).where("target is not null").withColumns({"a": F.substring_index("source", ":", 1), "b": F.substring_index("target", ":", 1)}).groupBy("a", "b").agg(F.count("*").alias("total"), F.concat_ws(",", F.array_sort(F.collect_set("type"))).alias("types")), sql("SELECT string_split(source, ':')[1] AS a, string_split(target, ':')[1] AS b, count(*) AS total, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM edges WHERE target IS NOT NULL GROUP BY 1, 2", "edges"))
+add("seam_inventory", lambda t: v.edges(t, "source", "target", "type").where("target is not null").withColumns({"a": F.substring_index("source", ":", 1), "b": F.substring_index("target", ":", 1)}).groupBy("a", "b").agg(F.count("*").alias("total"), F.concat_ws(",", F.array_sort(F.collect_set("type"))).alias("types")), sql("SELECT string_split(source, ':')[1] AS a, string_split(target, ':')[1] AS b, count(*) AS total, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM edges WHERE target IS NOT NULL GROUP BY 1, 2", "edges"))
 _M = "coalesce(upper(trim(method)), '?')"
-add("route_metrics", lambda t: v.observations(t).where("coalesce(route, path) is not null").groupBy(F.expr(_M).alias("method"), F.coalesce("route", F.substring_index("path", "?", 1)).alias("route")).agg(
-    F.count("*").alias("count"), F.count_if(F.expr("coalesce(error_type is not null or status >= 500, false)")).alias("errors"), F.round(F.count_if(F.expr("coalesce(error_type is not null or status >= 500, false)")) / F.count("*"), 3).alias("error_rate"),
-    F.expr("percentile_disc(0.5) within group (order by duration_ms) filter (where duration_ms >= 0 and not isnan(duration_ms))").alias("p50"), F.expr("percentile_disc(0.95) within group (order by duration_ms) filter (where duration_ms >= 0 and not isnan(duration_ms))").alias("p95"), F.expr("max(duration_ms) filter (where duration_ms >= 0 and not isnan(duration_ms))").alias("max")),
+_FAILED = "coalesce(error_type is not null or status >= 500, false)"
+_COUNTED = "duration_ms >= 0 and not isnan(duration_ms)"
+
+
+def _route_metrics(t):
+    by = ["method", "route"]
+    o = v.observations(t).where("coalesce(route, path) is not null").select(F.expr(_M).alias("method"), F.coalesce("route", F.substring_index("path", "?", 1)).alias("route"), F.expr(f"case when {_COUNTED} then duration_ms end").alias("ms"), F.expr(_FAILED).alias("failed"))
+    return ordered.with_percentiles(o, by, "ms", {"p50": 0.5, "p95": 0.95}, {"count": F.count("*"), "errors": F.count_if("failed"), "error_rate": F.round(F.count_if("failed") / F.count("*"), 3), "max": F.max("ms")})
+
+
+add("route_metrics", _route_metrics,
     sql(f"SELECT {_M} AS method, coalesce(route, string_split(path, '?')[1]) AS route, count(*) AS count, count(*) FILTER (WHERE error_type IS NOT NULL OR status >= 500) AS errors, round(count(*) FILTER (WHERE error_type IS NOT NULL OR status >= 500) / count(*)::DOUBLE, 3) AS error_rate, quantile_disc(duration_ms, 0.5) FILTER (WHERE duration_ms >= 0 AND NOT isnan(duration_ms)) AS p50, quantile_disc(duration_ms, 0.95) FILTER (WHERE duration_ms >= 0 AND NOT isnan(duration_ms)) AS p95, max(duration_ms) FILTER (WHERE duration_ms >= 0 AND NOT isnan(duration_ms)) AS max FROM obs WHERE coalesce(route, path) IS NOT NULL GROUP BY 1, 2", "obs"))
 add("status_histogram", lambda t: v.observations(t).where("status is not null").groupBy("service_name", "status").agg(F.count("*").alias("n")), sql("SELECT service_name, status, count(*) AS n FROM obs WHERE status IS NOT NULL GROUP BY 1, 2", "obs"))
 _BAD = "coalesce(error_type is not null or status >= 500 or error_message <> '', false)"
@@ -291,17 +279,19 @@ _GOOD_D = "duration_ms > 0 and not isnan(duration_ms)"
 
 
 def _impact(t, key):
-    o = v.observations(t)
-    return o.groupBy(key).agg(F.count("*").alias("observations"), F.count_if(F.expr(_BAD)).alias("errors"), F.count_if(F.expr("coalesce(duration_ms >= 1000 and not isnan(duration_ms), false)")).alias("slow"), F.count_distinct("trace_id").alias("traces"), F.expr(f"percentile_disc(0.95) within group (order by duration_ms) filter (where {_GOOD_D})").alias("p95"), F.expr(f"max(duration_ms) filter (where {_GOOD_D})").alias("max_ms"), F.max("recorded_at").alias("last_seen"))
+    """Counts, sums and the exact 95th percentile of the durations of observations, per ``key`` (a column)."""
+    o = v.observations(t).select(key.alias("key"), "trace_id", "recorded_at", "duration_ms", F.expr(_BAD).alias("bad"), F.expr(f"case when {_GOOD_D} then duration_ms end").alias("ms"))
+    slow = F.count_if(F.expr("coalesce(duration_ms >= 1000 and not isnan(duration_ms), false)"))
+    return ordered.with_percentiles(o, ["key"], "ms", {"p95": 0.95}, {"observations": F.count("*"), "errors": F.count_if("bad"), "slow": slow, "traces": F.count_distinct("trace_id"), "max_ms": F.max("ms"), "last_seen": F.max("recorded_at")})
 
 
 _IMPACT = f"count(*) AS observations, count(*) FILTER (WHERE {_BAD}) AS errors, count(*) FILTER (WHERE duration_ms >= 1000 AND NOT isnan(duration_ms)) AS slow, count(DISTINCT trace_id) AS traces, quantile_disc(duration_ms, 0.95) FILTER (WHERE {_GOOD_D}) AS p95, max(duration_ms) FILTER (WHERE {_GOOD_D}) AS max_ms, max(recorded_at) AS last_seen"
-add("impact_stats", lambda t: _impact(t, "service_name"), sql(f"SELECT service_name, {_IMPACT} FROM obs GROUP BY 1", "obs"))
-add("node_runtime_metrics", lambda t: _impact(t, "match_id").where("match_id is not null"), sql(f"SELECT match_id, {_IMPACT} FROM obs WHERE match_id IS NOT NULL GROUP BY 1", "obs"))
+add("impact_stats", lambda t: _impact(t, F.col("service_name")).withColumnRenamed("key", "service_name"), sql(f"SELECT service_name, {_IMPACT} FROM obs GROUP BY 1", "obs"))
+add("node_runtime_metrics", lambda t: _impact(t, F.col("match_id")).withColumnRenamed("key", "match_id").where("match_id is not null"), sql(f"SELECT match_id, {_IMPACT} FROM obs WHERE match_id IS NOT NULL GROUP BY 1", "obs"))
 
 
 def _priorities(t):
-    s = _impact(t, F.coalesce("match_id", "route", "path", F.lit("unmatched-runtime")).alias("key"))
+    s = _impact(t, F.coalesce("match_id", "route", "path", F.lit("unmatched-runtime")))
     rate = F.col("errors") / F.col("observations")
     score = F.col("errors") * 18 + F.col("slow") * 8 + F.log10(F.col("observations").cast("double")) * 12 + F.when(rate >= 0.05, 14).when(rate >= 0.01, 8).otherwise(0) + F.when(F.col("p95") >= 1000, 6).otherwise(0) + F.col("traces") * 3
     s = s.withColumn("score", F.least(F.lit(100), fx.half_up(score)).cast("int"))

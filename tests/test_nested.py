@@ -71,6 +71,61 @@ def test_steps_equal_plain_recursion(spark):
     assert shredding.flow_steps(df.limit(0)).count() == 0
 
 
+def test_documents_of_any_depth_and_length(spark):
+    """A step chain far beyond the recursion limit, and one object with very many steps, in linear time."""
+    depth, many = 3_000, 40_000
+    deep = '{"id": "d", "steps": ' + "".join(f'[{{"node_id": "n{i}", "steps": ' for i in range(depth)) + "[]" + "}]" * depth + "}"
+    wide = json.dumps({"entry": {"handler": {"node_id": "h"}}, "steps": [{"node_id": "p", "steps": [{"node_id": f"w{i}"} for i in range(many)]}]})
+    df = spark.createDataFrame([(1, deep), (2, wide), (3, deep[:-1])], "record_id long, payload string")
+    got = {(r.record, r.node_id): r for r in shredding.flow_steps(df).collect()}
+    assert len(got) == depth + many + 1
+    assert got[1, f"n{depth - 1}"].parent_node_id == f"n{depth - 2}" and got[1, f"n{depth - 1}"].step_path.count(".") == depth - 1
+    assert got[2, "p"].parent_node_id == "h" and all(got[2, f"w{i}"].parent_node_id == "p" for i in range(many))
+    assert [r.record_id for r in shredding.broken_documents(df).collect()] == [3]
+    objects = sum(1 for row in shredding.adjacency_rows('{"steps":[' * 50_000 + "]}" * 50_000, keep=frozenset()) if row[7] == "object")
+    assert objects == 50_000
+
+
+def test_the_deep_parser_equals_the_library():
+    rng = random.Random(12)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 5 else 6)
+        if kind >= 6:
+            return {f"k{rng.randrange(5)}\n": value(depth + 1) for _ in range(rng.randrange(4))} if kind == 6 else [value(depth + 1) for _ in range(rng.randrange(4))]
+        return [None, True, -1.5e3, 12345678901234567890, "ä\u2028\\\"", 0][kind]
+
+    for _ in range(300):
+        text = json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert shredding.parse_deep(f" {text}\n") == json.loads(text)
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", ",", "]", "}", ":", "x", '"'])
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            want = ValueError
+        try:
+            got = shredding.parse_deep(broken)
+        except ValueError:
+            got = ValueError
+        assert got == want, broken
+
+
+def test_node_numbers_do_not_depend_on_what_is_kept(spark):
+    text = json.dumps({"id": "f", "entry": {"x": 1, "handler": {"node_id": "h"}}, "steps": [{"node_id": "a", "note": [1, 2], "steps": [{"node_id": "b", "entities_read": ["e"]}]}], "terminal_effects": {"entities_written": ["t", "u"]}})
+    df = spark.createDataFrame([(1, text), (1, text)], "record_id long, payload string")
+    whole = shredding.flow_adjacency(df)
+    objects = {r.node: r.label for r in whole.where("kind = 'object'").collect()}
+    steps = {r.node: (r.node_id, r.owner) for r in shredding.flow_steps(df).collect()}
+    assert steps == {r.node: (r.node_id, r.owner) for r in shredding.steps_of(whole).collect()}
+    (a,) = [n for n, (x, _) in steps.items() if x == "a"]
+    (b,) = [n for n, (x, _) in steps.items() if x == "b"]
+    assert steps[b][1] == a and steps[a][1] == 0
+    owners = {(r.entity, r.owner) for r in shredding.flow_effects(df).collect()}
+    (effects,) = [n for n, label in objects.items() if label == "terminal_effects"]
+    assert owners == {("e", b), ("t", effects), ("u", effects)} == {(r.entity, r.owner) for r in shredding.effects_of(whole).collect()}
+    assert shredding.flows_of(whole).collect() == shredding.flow_table(df).collect()
+
+
 def test_deep_nesting_and_long_values(spark):
     deep = {"node_id": "leaf", "note": "y" * 200_000}
     for i in range(60):
@@ -122,13 +177,59 @@ def test_changes_equal_full_comparison(spark):
     assert snapshots.node_changes(df.limit(0), announced).count() == 0
 
 
+def test_chunks_depend_on_keys_alone(spark):
+    rng = random.Random(3)
+    keys = [f"k{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [("p", v, k, bytes([rng.randrange(256)])) for v in (1, 2) for k in set(keys)] + [("q", 1, k, b"x") for k in keys[:50]]
+    df = spark.createDataFrame(rows, "grp string, version int, key string, digest binary")
+    seen = []
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            seen.append({tuple(r) for r in snapshots.chunked(df, 16).select("grp", "version", "key", "chunk").collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert seen[0] == seen[1] and len(seen[0]) == len(set(rows)) and len({c for *_, c in seen[0]}) > 20
+
+
+def test_deliveries_against_a_store_equal_one_comparison(spark, tmp_path):
+    rng = random.Random(4)
+    state, rows, sizes = {f"k{i}": 0 for i in range(400)}, [], []
+    for version in (1, 2, 3, 5):
+        for _ in range(12):
+            state.pop(rng.choice(sorted(state)))
+            state[rng.choice(sorted(state))] = version
+            state[f"n{rng.randrange(10**6)}"] = version
+        rows += [("p", version, k, bytes([v])) for k, v in state.items()]
+        sizes.append(("p", version, len(state) + (version == 3)))
+    df = spark.createDataFrame(rows, "grp string, version int, key string, digest binary")
+    announced = spark.createDataFrame(sizes, "grp string, version int, size long")
+    store = snapshots.SnapshotStore(spark, f"{tmp_path}/store")
+    got = set()
+    for version in (1, 2, 3, 5, 5):
+        found = {tuple(r) for r in store.deliver(df.where(f"version = {version}"), announced, 16).collect()}
+        assert version != 3 or not found
+        got |= found
+    table = snapshots.chunked(df, 16)
+    pairs = snapshots.consecutive(df.groupBy("grp", "version").agg(F.count("*").alias("size")), announced).where("before is not null")
+    want = {tuple(r) for r in snapshots.classified(table, table, snapshots.unmatched_chunks(snapshots.chunk_digests(table), pairs)).collect()}
+    assert got == want and {c for *_, c in got} == {"added", "removed", "changed"}
+    kept = spark.read.parquet(f"{tmp_path}/store/rows")
+    assert kept.count() < 0.9 * len(rows) and kept.count() == kept.distinct().count()
+
+
 def test_callers_count_pairs_once(spark):
     edges = [("e1", "a", "t"), ("e1", "a", "t"), ("e2", "a", "t"), ("e3", "b", "t"), ("e4", "t", "t"), ("e5", None, "t"), ("e6", "a", None), (None, "c", "u"), (None, "c", "u")]
     df = spark.createDataFrame(edges, "id string, source string, target string").withColumn("edges", F.lit(9))
     got = {tuple(r) for r in skew.callers_of_target(df).collect()}
     assert got == {("t", 5, 2), ("u", 2, 1)}
-    assert {r.target for r in skew.heavy_targets(df, percent=50).collect()} == {"t"}
-    assert skew.heavy_targets(df.limit(0)).count() == 0
+    units = spark.createDataFrame([("t", "lib"), ("t", "lib"), (None, "x"), ("unused", "y")], "id string, library string").withColumn("edges", F.lit("clash"))
+    named = {r.target: tuple(r) for r in skew.named_callers(df, units).collect()}
+    assert {(k, e, n) for k, _, e, n in named.values()} == got and named["t"][1] == "lib" and {v[1] for k, v in named.items() if k != "t"} <= {None}
+    assert {r.target for r in skew.heavy_targets(df, units, percent=50).collect()} == {"t"}
+    assert skew.heavy_targets(df.limit(0), units).count() == 0
 
 
 def test_eager_counts_equal_the_joined_rows(spark):
