@@ -93,6 +93,13 @@ _PACKED = re.compile(r"[;{}][A-Za-z_$!(.#]")
 _BLOB = re.compile(r"[A-Za-z0-9+/_=-]{200,}")
 
 
+def _packed(line: str) -> bool:
+    if _COMMENT.match(line):
+        return False
+    bare = _LITERAL.sub("Q", line)
+    return len(bare) > 120 if len(line) > 200 else len(_PACKED.findall(bare)) >= 3
+
+
 def by_composition(text: str, encode) -> str | None:
     """'minified' or 'data' by what a text is made of: long dense lines, one row pattern all over, or blobs.
 
@@ -103,10 +110,9 @@ def by_composition(text: str, encode) -> str | None:
     if not lines:
         return None
     size = sum(map(len, lines))
-    solid = sum(len(x) - sum(map(x.count, " \t")) for x in lines)
+    spaces = sum(x.count(" ") + x.count("\t") for x in lines)
     # A long line that is but one literal is no code; a short one is packed if statements follow each other without a space.
-    packed = sum(len(x) for x in lines if not _COMMENT.match(x) and (len(_LITERAL.sub("Q", x)) > 120 if len(x) > 200 else len(_PACKED.findall(_LITERAL.sub("Q", x))) >= 3))
-    dense = packed >= 0.5 * size and solid >= 0.93 * size
+    dense = size - spaces >= 0.93 * size and sum(len(x) for x in lines if _packed(x)) >= 0.5 * size
     rows = Counter(_NUMBER.sub("0", _LITERAL.sub("Q", x.strip())) for x in lines)
     row, count = rows.most_common(1)[0]
     tabular = len(lines) >= 12 and count >= 0.6 * len(lines) and "0" in row
