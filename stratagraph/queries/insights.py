@@ -45,14 +45,6 @@ add("telemetry_fusion", lambda t: v.observations(t).where("match_id is not null"
     sql("SELECT match_id, fact, service_name, arg_max(id, (recorded_at, id)) AS last_id, count(*) AS n FROM (SELECT *, CASE WHEN coalesce(error_type IS NOT NULL OR status >= 500, false) THEN 'error' WHEN duration_ms >= 1000 AND NOT isnan(duration_ms) THEN 'slow' ELSE 'hot' END AS fact FROM obs WHERE match_id IS NOT NULL) GROUP BY 1, 2, 3", "obs"))
 
 
-def _capability(t):
-    n = v.nodes(t).select(F.col("id").alias("match_id"), F.coalesce("category", F.lit("none")).alias("capability"))
-    o = v.observations(t).where("match_id is not null").join(n, "match_id")
-    bad = F.expr("coalesce(error_type is not null or status >= 500, false)")
-    return o.groupBy("capability").agg(F.count("*").alias("requests"), F.round(F.count_if(bad) / F.count("*"), 6).alias("error_rate"), F.max("recorded_at").alias("last_seen"), F.when(F.count_distinct("feed") > 1, "mixed").otherwise(F.min("feed")).alias("feed"))
-
-
-add("capability_telemetry", _capability, sql("SELECT coalesce(category, 'none') AS capability, count(*) AS requests, round(count(*) FILTER (WHERE coalesce(error_type IS NOT NULL OR status >= 500, false)) / count(*)::DOUBLE, 6) AS error_rate, max(recorded_at) AS last_seen, CASE WHEN count(DISTINCT feed) > 1 THEN 'mixed' ELSE min(feed) END AS feed FROM obs JOIN nodes n ON n.id = match_id GROUP BY 1", "obs", "nodes"))
 add("matched_targets", lambda t: select.page(v.observations(t).where("match_id is not null").groupBy("match_id").agg(F.count_if(F.expr("coalesce(error_type is not null or status >= 500, false)")).alias("errors"), F.count("*").alias("volume")), [F.col("errors").desc(), F.col("volume").desc(), "match_id"], 50), sql("SELECT match_id, count(*) FILTER (WHERE coalesce(error_type IS NOT NULL OR status >= 500, false)) AS errors, count(*) AS volume FROM obs WHERE match_id IS NOT NULL GROUP BY 1 ORDER BY errors DESC, volume DESC, match_id LIMIT 50", "obs"))
 
 

@@ -20,8 +20,15 @@ add("node_detail", lambda t: select.neighbourhood(v.nodes(t).select("id", "name"
     sql("""SELECT n.id, n.name, n.type, n.file, n.parent, coalesce(i.edges_in, 0) AS edges_in, coalesce(i.sources, 0) AS sources, coalesce(o.edges_out, 0) AS edges_out, coalesce(o.targets, 0) AS targets FROM nodes n
         LEFT JOIN (SELECT target AS id, count(*) AS edges_in, count(DISTINCT source) AS sources FROM edges WHERE target IS NOT NULL GROUP BY 1) i USING (id)
         LEFT JOIN (SELECT source AS id, count(*) AS edges_out, count(DISTINCT target) AS targets FROM edges GROUP BY 1) o USING (id)""", "nodes", "edges"))
-add("file_nodes", lambda t: v.nodes(t).where(F.endswith("file", F.lit("ledger.ts"))).select("id", "name", "file", "line"),
-    sql("SELECT id, name, file, line FROM nodes WHERE ends_with(file, 'ledger.ts')", "nodes"))
+
+def _file_nodes(t):
+    """The nodes of the file that has most of them."""
+    n = v.nodes(t, "id", "name", "file", "line").where("file is not null")
+    largest = F.broadcast(n.groupBy("file").agg(F.count("*").alias("k")).orderBy(F.col("k").desc(), "file").limit(1).select("file"))  # one row
+    return n.join(largest, "file").select("id", "name", "file", "line")
+
+
+add("file_nodes", _file_nodes, sql("SELECT id, name, file, line FROM nodes WHERE file = (SELECT file FROM nodes WHERE file IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, file LIMIT 1)", "nodes"))
 
 
 def _file_edges(t):
@@ -37,7 +44,7 @@ add("exit_points_page", lambda t: select.page_with_more(v.edges(t, "source", "ta
 add("route_table", lambda t: v.observations(t).where("path is not null and upper(method) = upper('get')").select(fx.normal_route(F.col("path")).alias("route")).groupBy("route").agg(F.count("*").alias("n")),
     sql(r"""SELECT route, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '[?#].*', ''), '/[0-9]+(/[0-9]+)(/|$)', '/:param\1\2', 'g'), '/[0-9]+(/|$)', '/:param\1', 'g'), '(.)/$', '\1') AS route FROM obs WHERE path IS NOT NULL AND upper(method) = 'GET') GROUP BY 1""", "obs"))
 add("seam_counts", lambda t: v.edges(t, "type", "category").groupBy("type").pivot("category", ["behaviour", "data", "structure"]).agg(F.count("id")).na.fill(0), sql("SELECT type, count(*) FILTER (WHERE category = 'behaviour') AS behaviour, count(*) FILTER (WHERE category = 'data') AS data, count(*) FILTER (WHERE category = 'structure') AS structure FROM edges GROUP BY type", "edges"))
-add("analysis_facts", lambda t: v.nodes(t).where("type = 'function' and category = 'behaviour' and level = 3").select("id", "type", "category", "level"), sql("SELECT id, type, category, level FROM nodes WHERE type = 'function' AND category = 'behaviour' AND level = 3", "nodes"))
+add("analysis_facts", lambda t: v.nodes(t).where("type = 'function' and category = 'domain' and level >= 2").select("id", "type", "category", "level"), sql("SELECT id, type, category, level FROM nodes WHERE type = 'function' AND category = 'domain' AND level >= 2", "nodes"))
 add("invariant_filter", lambda t: v.nodes(t).where(F.contains(F.lower(F.concat_ws(" ", "name", "description", F.concat_ws(" ", "tags"))), F.lit("ledger"))).select("id"), sql("SELECT id FROM nodes WHERE contains(lower(concat_ws(' ', name, description, array_to_string(tags, ' '))), 'ledger')", "nodes"))
 add("role_breakdown", lambda t: select.breakdown(v.nodes(t), "category"), sql("SELECT coalesce(category, 'unknown') AS category, count(*) AS n FROM nodes GROUP BY 1", "nodes"))
 add("library_summary", lambda t: t("shared_node").where("lower(name) like '%er%' or lower(category) like '%data%'").groupBy("library").agg(F.count("*").alias("units"), F.count_distinct("category").alias("categories"), F.min("name").alias("first_name")),
@@ -60,7 +67,7 @@ add("level_definitions", lambda t: v.nodes(t).groupBy("level").agg(F.count("*").
 add("pattern_instances", lambda t: v.nodes(t).select("id", F.posexplode("tags").alias("pos", "tag")).groupBy("tag").agg(F.count("*").alias("instances"), F.min("id").alias("first_id")), sql("SELECT tag, count(*) AS instances, min(id) AS first_id FROM (SELECT id, unnest(tags) AS tag FROM nodes) GROUP BY tag", "nodes"))
 add("comments_by_scope", lambda t: v.nodes(t).where("description is not null and description <> ''").select("id", "file", "line", F.when(F.lower("description").rlike("todo|fixme|hack"), "todo").otherwise("note").alias("kind")), sql("SELECT id, file, line, CASE WHEN regexp_matches(lower(description), 'todo|fixme|hack') THEN 'todo' ELSE 'note' END AS kind FROM nodes WHERE description IS NOT NULL AND description <> ''", "nodes"))
 add("error_contracts", lambda t: v.nodes(t).select("id", F.explode("throws").alias("error")).groupBy("error").agg(F.count("*").alias("declared"), F.count_distinct("id").alias("nodes")), sql("SELECT error, count(*) AS declared, count(DISTINCT id) AS nodes FROM (SELECT id, unnest(throws) AS error FROM nodes) GROUP BY error", "nodes"))
-add("configuration_nodes", lambda t: v.nodes(t).where("contains(lower(name), 'config') or contains(lower(file), 'config')").select("id", "name", "file"), sql("SELECT id, name, file FROM nodes WHERE contains(lower(name), 'config') OR contains(lower(file), 'config')", "nodes"))
+add("configuration_nodes", lambda t: v.nodes(t).where("regexp_like(lower(name), 'config|registry|setting') or regexp_like(lower(file), 'config|registry|setting')").select("id", "name", "file"), sql("SELECT id, name, file FROM nodes WHERE regexp_matches(lower(name), 'config|registry|setting') OR regexp_matches(lower(file), 'config|registry|setting')", "nodes"))
 add("primary_product", lambda t: v.nodes(t).where(fx.in_primary_product(F.col("file"), F.col("name"), F.col("is_test"), F.col("is_generated"))).groupBy("project_id").agg(F.count("*").alias("n")),
     sql(rf"""SELECT project_id, count(*) AS n FROM (SELECT *, lower(replace(coalesce(nullif(file, ''), name, ''), '\', '/')) AS p FROM nodes) WHERE NOT (coalesce(is_test, false) OR coalesce(is_generated, false)
         OR regexp_matches(p, '(^|/)({fx.OUTSIDE_DIRECTORIES})(/|$)') OR regexp_matches(p, '\.({fx.OUTSIDE_SUFFIXES})\.[a-z0-9]+$') OR regexp_matches(p, '^legacy/')) GROUP BY project_id""", "nodes"))
@@ -69,14 +76,14 @@ add("tenant_visibility", lambda t: t("in_flight_diff_file").where(F.col("workspa
 
 
 def _path_compatible(t):
-    files = t("in_flight_diff_file").where("path is not null").select("diff_id", fx.clean_path(F.col("path")).alias("path"))
-    known = v.nodes(t).where("file is not null").select(fx.clean_path(F.col("file")).alias("file")).distinct()
-    joined = files.withColumn("base", fx.base_name(F.col("path"))).join(known.withColumn("base", fx.base_name(F.col("file"))), "base")
-    return joined.where(fx.paths_compatible(F.col("path"), F.col("file"))).select("diff_id", "file")
+    """Spellings of paths in flight beside the other paths that likely name the same file: equal when cleaned, or one the end of the other."""
+    paths = t("in_flight_diff_file").where("path is not null").select("path").distinct().withColumn("base", fx.base_name(F.col("path")))
+    pairs = paths.join(paths.withColumnRenamed("path", "other"), "base").where("path <> other")
+    return pairs.where(fx.paths_compatible(F.col("path"), F.col("other"))).select("path", "other")
 
 
-add("path_compatible_files", _path_compatible, sql(r"""SELECT DISTINCT d.diff_id, n.file FROM (SELECT diff_id, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS path FROM in_flight_diff_file WHERE path IS NOT NULL) d
-    JOIN (SELECT DISTINCT regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS file FROM nodes WHERE file IS NOT NULL) n ON d.path = n.file OR ends_with(d.path, '/' || n.file) OR ends_with(n.file, '/' || d.path)""", "nodes"))
+add("path_compatible_files", _path_compatible, r"""WITH p AS (SELECT DISTINCT path, regexp_replace(replace(path, '\', '/'), '^(\./)+', '') AS x FROM in_flight_diff_file WHERE path IS NOT NULL)
+    SELECT a.path, b.path AS other FROM p a JOIN p b ON a.path <> b.path AND (a.x = b.x OR ends_with(a.x, '/' || b.x) OR ends_with(b.x, '/' || a.x))""")
 
 # -- search --------------------------------------------------------------------
 _WORDS = ["ledger", "resolve"]

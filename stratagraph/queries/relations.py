@@ -19,8 +19,8 @@ add = _r.add
 # -- joins ---------------------------------------------------------------------
 add("edge_node_join", lambda t: v.edges(t, "source", "target", "type").join(v.nodes(t).select(F.col("id").alias("source"), F.col("type").alias("source_type")), "source").join(v.nodes(t).select(F.col("id").alias("target"), F.col("type").alias("target_type")), "target").groupBy("source_type", "type", "target_type").agg(F.count("*").alias("n")),
     sql("SELECT a.type AS source_type, e.type, b.type AS target_type, count(*) AS n FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target GROUP BY 1, 2, 3", "nodes", "edges"))
-add("scope_semi_join", lambda t: v.edges(t, "source", "target").join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("source")), "source", "left_semi").join(v.nodes(t).where("category = 'behaviour'").select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target"),
-    sql("SELECT id, source, target FROM edges WHERE source IN (SELECT id FROM nodes WHERE category = 'behaviour') AND target IN (SELECT id FROM nodes WHERE category = 'behaviour')", "nodes", "edges"))
+add("scope_semi_join", lambda t: v.edges(t, "source", "target").join(v.nodes(t).where("category = 'domain'").select(F.col("id").alias("source")), "source", "left_semi").join(v.nodes(t).where("category = 'domain'").select(F.col("id").alias("target")), "target", "left_semi").select("id", "source", "target"),
+    sql("SELECT id, source, target FROM edges WHERE source IN (SELECT id FROM nodes WHERE category = 'domain') AND target IN (SELECT id FROM nodes WHERE category = 'domain')", "nodes", "edges"))
 
 
 def _dead(t):
@@ -41,7 +41,16 @@ def _dead_reasons(t):
 
 add("dead_code_reasons", _dead_reasons, sql("""WITH i AS (SELECT target AS id, count(*) AS n, count(*) FILTER (WHERE coalesce(s.is_test, false)) AS tests FROM edges e JOIN nodes s ON s.id = e.source WHERE target IS NOT NULL AND e.type IN ('calls', 'invokes') GROUP BY 1)
     SELECT id, reason FROM (SELECT n.id, CASE WHEN i.n IS NULL AND coalesce(n.is_exported, false) THEN 'exported-unused' WHEN i.n IS NULL THEN 'no-inbound' WHEN i.n = i.tests THEN 'only-from-tests' END AS reason FROM nodes n LEFT JOIN i USING (id)) WHERE reason IS NOT NULL""", "nodes", "edges"))
-add("dangling_edges", lambda t: v.edges(t, "target").where("target is not null").join(v.nodes(t).select(F.col("id").alias("target")).unionByName(t("shared_node").select(F.col("id").alias("target"))), "target", "left_anti").select("id", "target"), sql("SELECT id, target FROM edges WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM nodes UNION ALL SELECT id FROM shared_node)", "nodes", "edges"))
+
+
+def _unresolved(t):
+    """Per type of edge: edges without a target, and edges whose target is no node."""
+    known = v.nodes(t, "id").unionByName(t("shared_node").select("id")).distinct().select(F.col("id").alias("target"), F.lit(True).alias("known"))
+    e = v.edges(t, "type", "target").join(known, "target", "left")
+    return e.groupBy("type").agg(F.count_if(F.col("target").isNull()).alias("unresolved"), F.count_if(F.col("target").isNotNull() & F.col("known").isNull()).alias("dangling"))
+
+
+add("dangling_edges", _unresolved, sql("SELECT type, count(*) FILTER (WHERE target IS NULL) AS unresolved, count(*) FILTER (WHERE target IS NOT NULL AND target NOT IN (SELECT id FROM nodes UNION ALL SELECT id FROM shared_node)) AS dangling FROM edges GROUP BY 1", "nodes", "edges"))
 add("duplicate_ids", lambda t: t("cas_edge").groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "SELECT id, count(*) AS n FROM cas_edge GROUP BY id HAVING count(*) > 1")
 
 
@@ -101,26 +110,27 @@ def _breaking(t):
 add("breaking_changes", _breaking)
 
 
-def _correlation(t):
-    known = v.nodes(t).select(F.col("id").alias("match_id"), F.col("type").alias("node_type"))
-    hits = v.observations(t).where("match_id is not null").join(known, "match_id")
-    return hits.groupBy("match_id", "node_type").agg(F.count("*").alias("events"), F.round(F.max("match_confidence"), 6).alias("confidence"))
-
-
-add("runtime_correlation", _correlation, sql("SELECT match_id, n.type AS node_type, count(*) AS events, round(max(match_confidence), 6) AS confidence FROM obs JOIN nodes n ON n.id = match_id GROUP BY 1, 2", "nodes", "obs"))
-
-
 def _stack_frames(t):
-    frames = t("observation").where("event.error is not null").select("id", F.posexplode(F.slice("event.error.frames", 1, 5)).alias("pos", "f")).select("id", "pos", fx.clean_path(F.col("f.file")).alias("frame_file"), F.col("f.line").alias("frame_line"))
-    spots = v.nodes(t).where("file is not null and line is not null").select(F.col("id").alias("node_id"), fx.clean_path(F.col("file")).alias("file"), "line", "end_line")
+    """The unit that each of the first five frames of an error ran in: the narrowest in a compatible file around its line, else the only one of its name.
+
+    Of units of one span functions and methods come before classes and others.
+    """
+    frames = t("observation").where("event.error is not null").select("id", F.posexplode(F.slice("event.error.frames", 1, 5)).alias("pos", "f")).select("id", "pos", fx.clean_path(F.col("f.file")).alias("frame_file"), F.col("f.line").alias("frame_line"), F.col("f.function").alias("function"))
+    units = v.nodes(t, "id", "name", "type", "file", "line", "end_line")
+    spots = units.where("file is not null and line is not null").select(F.col("id").alias("node_id"), fx.clean_path(F.col("file")).alias("file"), "line", "end_line", (~F.col("type").isin("function", "method")).cast("int").alias("later"))
     joined = frames.where("frame_file is not null").withColumn("base", fx.base_name(F.col("frame_file"))).join(spots.withColumn("base", fx.base_name(F.col("file"))), "base")
     inside = joined.where(fx.paths_compatible(F.col("frame_file"), F.col("file")) & F.col("frame_line").between(F.col("line"), F.col("end_line")))
-    return select.first_per_key(inside, ["id", "pos"], [F.col("end_line") - F.col("line"), F.col("node_id")]).select("id", "pos", "node_id")
+    around = select.first_per_key(inside, ["id", "pos"], [F.col("end_line") - F.col("line"), F.col("later"), F.col("node_id")]).select("id", "pos", F.col("node_id").alias("around"))
+    named = units.where("name is not null").groupBy(F.col("name").alias("function")).agg(F.count("*").alias("n"), F.min("id").alias("by_name")).where("n = 1").drop("n")
+    found = frames.join(around, ["id", "pos"], "left").join(named, "function", "left")
+    return found.select("id", "pos", F.coalesce("around", "by_name").alias("node_id"), F.when(F.col("around").isNotNull(), "line").otherwise("name").alias("via")).where("node_id is not null")
 
 
-add("stack_frame_match", _stack_frames, sql(r"""WITH f AS (SELECT id, pos - 1 AS pos, fr.file AS file, fr.line AS line FROM (SELECT id, unnest(event.error.frames[1:5]) AS fr, generate_subscripts(event.error.frames[1:5], 1) AS pos FROM observation WHERE event.error IS NOT NULL))
-    SELECT f.id, CAST(f.pos AS INTEGER) AS pos, n.id AS node_id FROM (SELECT id, pos, line, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS file FROM f) f JOIN (SELECT id, line, end_line, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS file FROM nodes) n
-      ON (f.file = n.file OR ends_with(f.file, '/' || n.file) OR ends_with(n.file, '/' || f.file)) AND f.line BETWEEN n.line AND n.end_line QUALIFY row_number() OVER (PARTITION BY f.id, f.pos ORDER BY n.end_line - n.line, n.id) = 1""", "nodes"))
+add("stack_frame_match", _stack_frames, sql(r"""WITH f AS (SELECT id, CAST(pos - 1 AS INTEGER) AS pos, regexp_replace(replace(fr.file, '\', '/'), '^(\./)+', '') AS file, fr.line AS line, fr.function AS function FROM (SELECT id, unnest(event.error.frames[1:5]) AS fr, generate_subscripts(event.error.frames[1:5], 1) AS pos FROM observation WHERE event.error IS NOT NULL)),
+    n AS (SELECT id, type, line, end_line, regexp_replace(replace(file, '\', '/'), '^(\./)+', '') AS file FROM nodes),
+    a AS (SELECT f.id, f.pos, n.id AS around FROM f JOIN n ON (f.file = n.file OR ends_with(f.file, '/' || n.file) OR ends_with(n.file, '/' || f.file)) AND f.line BETWEEN n.line AND n.end_line QUALIFY row_number() OVER (PARTITION BY f.id, f.pos ORDER BY n.end_line - n.line, n.type NOT IN ('function', 'method'), n.id) = 1),
+    u AS (SELECT name AS function, min(id) AS by_name FROM nodes WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) = 1)
+    SELECT f.id, f.pos, coalesce(around, by_name) AS node_id, CASE WHEN around IS NOT NULL THEN 'line' ELSE 'name' END AS via FROM f LEFT JOIN a USING (id, pos) LEFT JOIN u ON u.function = f.function WHERE coalesce(around, by_name) IS NOT NULL""", "nodes"))
 
 
 def _resources(t):

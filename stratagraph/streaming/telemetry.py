@@ -95,3 +95,31 @@ def latest_claims(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
 
     timed = stream.withColumn("heartbeat", F.col("heartbeat").cast("timestamp")).withWatermark("heartbeat", "0 seconds")
     return timed.groupBy("claim_id").applyInPandasWithState(step, schema, "seq long, status string, at long", "append", "EventTimeTimeout")
+
+
+def push(stream: DataFrame, send, checkpoint: str, journal: str):
+    """Sends every batch of a stream by ``send(batch, number)`` once: a batch whose number the journal holds is not sent again.
+
+    The number is noted after the sending, so a batch that broke off is sent again as a whole with the same
+    number, by which the receiver can tell it (``send`` is given the number for that).
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{journal}/{number}")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(path):
+            return
+        send(batch, number)
+        files.mkdirs(path)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def correlated_again(journal: DataFrame, routes: DataFrame, today: date, days: int = 30) -> DataFrame:
+    """Unmatched rows of the last ``days`` days that a new analysis's routes (shape, entry_point_id) now fit; ``journal`` has day, id, path, match_status."""
+    from stratagraph.functions.text import route_shape
+
+    recent = journal.where((F.col("day") > F.lit(today - timedelta(days=days))) & (F.coalesce("match_status", F.lit("unmatched")) == "unmatched"))
+    one = routes.groupBy("shape").agg(F.min("entry_point_id").alias("entry_point_id"))
+    return recent.withColumn("shape", route_shape(F.col("path"))).join(one, "shape").drop("shape")
