@@ -14,8 +14,8 @@ from stratagraph.functions import text as fx
 
 #: How a line of a patch declares a unit.
 DECLARES = r"\b(?:def|function|func|fn|class|interface|struct|trait)\s+([A-Za-z_]\w*)"
-#: Paths of files that are never shown to others, with the reason.
-SECRET_PATHS = (("environment", r"(^|/)\.env(\.[\w-]+)?$"), ("key", r"\.(pem|key|p12|pfx|jks|keystore)$"), ("credentials", r"(^|/)(credentials?|secrets?)(\.[\w-]+)?$"), ("ssh", r"(^|/)(id_rsa|id_ed25519|id_dsa)(\.pub)?$"), ("netrc", r"(^|/)\.(netrc|npmrc|pypirc)$"))
+#: Paths of files that are never shown to others, as they hold secrets or are ignored, with the reason.
+SECRET_PATHS = (("environment", r"(^|/)\.env(\.[\w-]+)?$"), ("key", r"\.(pem|key|p12|pfx|jks|keystore)$"), ("credentials", r"(^|/)(credentials?|secrets?)(\.[\w-]+)?$"), ("ssh", r"(^|/)(id_rsa|id_ed25519|id_dsa)(\.pub)?$"), ("netrc", r"(^|/)\.(netrc|npmrc|pypirc)$"), ("ignored", r"(^|/)(\.venv|node_modules|site-packages)/"))
 
 
 def symbol_changes(work: DataFrame) -> DataFrame:

@@ -16,12 +16,16 @@ add = _r.add
 
 
 def _work(t):
-    return t("in_flight_diff_file").withColumnRenamed("diff_id", "seq")
+    """Work of all workspaces as that on one system: agents meet across workspaces too."""
+    return t("in_flight_diff_file").withColumnRenamed("diff_id", "seq").withColumn("workspace_id", F.lit("all"))
+
+
+_WORK = "(SELECT * REPLACE ('all' AS workspace_id) FROM in_flight_diff_file) w"
 
 
 _DECLARES = r"\b(?:def|function|func|fn|class|interface|struct|trait)\s+([A-Za-z_]\w*)"
 _CLEAN = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
-_LINES = f"""lines AS (SELECT workspace_id, agent_id, {_CLEAN} AS path, unnest(string_split(patch, chr(10))) AS line FROM in_flight_diff_file WHERE agent_id IS NOT NULL AND path IS NOT NULL AND patch IS NOT NULL),
+_LINES = f"""lines AS (SELECT workspace_id, agent_id, {_CLEAN} AS path, unnest(string_split(patch, chr(10))) AS line FROM {_WORK} WHERE agent_id IS NOT NULL AND path IS NOT NULL AND patch IS NOT NULL),
 changes AS (SELECT workspace_id, agent_id, path, symbol, CASE WHEN bool_or(s = '+') AND bool_or(s = '-') THEN 'changed' WHEN bool_or(s = '+') THEN 'added' ELSE 'removed' END AS change
   FROM (SELECT workspace_id, agent_id, path, line[1:1] AS s, regexp_extract(line, '{_DECLARES}', 1) AS symbol FROM lines WHERE (line LIKE '+%' AND line NOT LIKE '+++%') OR (line LIKE '-%' AND line NOT LIKE '---%')) WHERE symbol <> '' GROUP BY 1, 2, 3, 4)"""
 _PLAN = """plan AS (SELECT workspace_id, symbol, count(DISTINCT agent_id) AS agents, CASE WHEN count(DISTINCT agent_id) = 1 THEN 'automatic' WHEN bool_and(change = 'added') THEN 'ordered' ELSE 'decision' END AS plan FROM changes GROUP BY 1, 2)"""
@@ -32,13 +36,13 @@ add("merge_metrics", lambda t: co.merge_metrics(co.symbol_changes(_work(t))), f"
 add(
     "arbitration",
     lambda t: co.arbitration(_work(t)),
-    f"""WITH {_LINES}, agents AS (SELECT DISTINCT workspace_id, agent_id FROM in_flight_diff_file WHERE agent_id IS NOT NULL),
-    holds AS (SELECT DISTINCT workspace_id, agent_id, 1 AS o, 'path' AS kind, {_CLEAN} AS evidence FROM in_flight_diff_file WHERE agent_id IS NOT NULL AND path IS NOT NULL UNION ALL SELECT DISTINCT workspace_id, agent_id, 2, 'symbol', symbol FROM changes),
+    f"""WITH {_LINES}, agents AS (SELECT DISTINCT workspace_id, agent_id FROM {_WORK} WHERE agent_id IS NOT NULL),
+    holds AS (SELECT DISTINCT workspace_id, agent_id, 1 AS o, 'path' AS kind, {_CLEAN} AS evidence FROM {_WORK} WHERE agent_id IS NOT NULL AND path IS NOT NULL UNION ALL SELECT DISTINCT workspace_id, agent_id, 2, 'symbol', symbol FROM changes),
     heads AS (SELECT *, min(agent_id) OVER g AS a, max(agent_id) OVER g AS z FROM holds WINDOW g AS (PARTITION BY workspace_id, kind, evidence)),
     best AS (SELECT workspace_id, agent_id, min((o, CASE WHEN agent_id = a THEN z ELSE a END, kind, evidence)) AS m FROM heads WHERE a <> z AND workspace_id IS NOT NULL GROUP BY 1, 2)
     SELECT a.workspace_id, a.agent_id, CASE WHEN m IS NULL THEN 'granted' ELSE 'conflict' END AS verdict, m[3] AS kind, m[2] AS partner, m[4] AS evidence FROM agents a LEFT JOIN best b ON b.workspace_id = a.workspace_id AND b.agent_id = a.agent_id""",
 )
-_CALLED = rf"""called AS (SELECT DISTINCT workspace_id, agent_id, unnest(regexp_extract_all(regexp_replace(line, '{_DECLARES}', '', 'g'), '\b([A-Za-z_]\w*)\(', 1)) AS symbol FROM (SELECT workspace_id, agent_id, unnest(string_split(patch, chr(10))) AS line FROM in_flight_diff_file WHERE agent_id IS NOT NULL AND patch IS NOT NULL) WHERE line LIKE '+%' AND line NOT LIKE '+++%')"""
+_CALLED = rf"""called AS (SELECT DISTINCT workspace_id, agent_id, unnest(regexp_extract_all(regexp_replace(line, '{_DECLARES}', '', 'g'), '\b([A-Za-z_]\w*)\(', 1)) AS symbol FROM (SELECT workspace_id, agent_id, unnest(string_split(patch, chr(10))) AS line FROM {_WORK} WHERE agent_id IS NOT NULL AND patch IS NOT NULL) WHERE line LIKE '+%' AND line NOT LIKE '+++%')"""
 add(
     "conceptual_conflicts",
     lambda t: co.conceptual_conflicts(co.symbol_changes(_work(t)), co.added_calls(_work(t))),
@@ -69,7 +73,7 @@ add("shown_files", lambda t: co.shown_files(t("in_flight_diff_file")).groupBy("w
 add(
     "event_drain",
     lambda t: co.drained(_work(t)).where("later > 0"),
-    f"SELECT workspace_id, agent_id, path, min(later) AS later FROM (SELECT workspace_id, agent_id, {_CLEAN} AS path, row_number() OVER (PARTITION BY workspace_id, {_CLEAN} ORDER BY diff_id DESC) - 1 AS later FROM in_flight_diff_file WHERE path IS NOT NULL) WHERE agent_id IS NOT NULL GROUP BY 1, 2, 3 HAVING min(later) > 0",
+    f"SELECT workspace_id, agent_id, path, min(later) AS later FROM (SELECT workspace_id, agent_id, {_CLEAN} AS path, row_number() OVER (PARTITION BY workspace_id, {_CLEAN} ORDER BY diff_id DESC) - 1 AS later FROM {_WORK} WHERE path IS NOT NULL) WHERE agent_id IS NOT NULL GROUP BY 1, 2, 3 HAVING min(later) > 0",
 )
 _SINCE = "TIMESTAMP '2025-03-20 00:00:00'"
 add(

@@ -78,8 +78,8 @@ add(
 
 
 def _same_sources(t):
-    """Files of stack frames and of nodes that likely are one source, met on their last segment."""
-    seen = t("observation").select(F.explode("event.error.frames").alias("f")).select(F.col("f.file").alias("frame_file")).where("frame_file is not null").distinct()
+    """Files as a build machine names them, below its own root, and files of nodes that likely are one source, met on their last segment."""
+    seen = v.nodes(t, "file").where("file is not null").select(F.concat(F.lit("/home/runner/work/"), fx.clean_path(F.col("file"))).alias("frame_file")).distinct()
     held = v.nodes(t, "file").where("file is not null").distinct()
     pairs = seen.withColumn("base", fx.base_name(F.col("frame_file"))).join(held.withColumn("base", fx.base_name(F.col("file"))), "base")
     return pairs.where(fx.same_source(F.col("frame_file"), F.col("file"))).select("frame_file", "file")
@@ -90,7 +90,7 @@ add(
     "same_sources",
     _same_sources,
     sql(
-        f"""WITH a AS (SELECT DISTINCT f.file AS frame_file, {_CLEAN.format("f.file")} AS x FROM (SELECT unnest(event.error.frames) AS f FROM observation) WHERE f.file IS NOT NULL),
+        f"""WITH a AS (SELECT DISTINCT '/home/runner/work/' || {_CLEAN.format("file")} AS frame_file, '/home/runner/work/' || {_CLEAN.format("file")} AS x FROM nodes WHERE file IS NOT NULL),
         b AS (SELECT DISTINCT file, {_CLEAN.format("file")} AS y FROM nodes WHERE file IS NOT NULL),
         p AS (SELECT frame_file, file, x, y, list_reverse(list_filter(string_split(x, '/'), lambda s: s <> '')) AS l, list_reverse(list_filter(string_split(y, '/'), lambda s: s <> '')) AS r FROM a JOIN b ON string_split(x, '/')[-1] = string_split(y, '/')[-1]),
         c AS (SELECT *, len(list_filter(range(1, least(len(l), len(r)) + 1), lambda n: l[1:n] = r[1:n])) AS tail FROM p)
