@@ -64,11 +64,8 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     rows nobody needs any more, is deleted. All tables go when the application ends, or by ``release``.
     """
     spark = df.sparkSession
-    path, files = _work(spark)
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    table = f"{path}/{uuid.uuid4().hex}"
+    _, files = _work(spark)
+    table = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(table)
     if replaces is not None and (old := _TABLES.pop(id(replaces), None)):
         files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old), True)
@@ -81,6 +78,15 @@ def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
 _TABLES: dict[int, str] = {}
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder below the shared one, for tables that a query writes and reads again."""
+    path, files = _work(spark)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return str(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables of all queries so far; their results must have been read."""
     path, files = _work(spark)

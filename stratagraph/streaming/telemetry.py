@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 
 def read_observations(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Observations as a stream of Parquet files, with the schema of the files that are there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Observations as a stream of the Parquet files of a folder, or of one file, with the schema of the files that are there."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(str(place.getParent()))
+    return reader.parquet(path)
 
 
 def once(stream: DataFrame, key: str = "event_id", at: str = "recorded_at", kept: str = "14 days") -> DataFrame:
