@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector, by cells and randomly rotated one-bit codes.
 
-Unit vectors are assigned to cells around centroids that are fitted on a bounded sample. Within a cell
-a vector is kept as the signs of its rotated difference from the centroid (packed bits) with two
+Unit vectors are assigned to cells around centroids that are fitted on a bounded sample. Cells that hold
+many vectors are split around centroids of their own, fitted where their vectors are, so that a cell's size
+doesn't grow with the collection. Within a cell a vector is kept as the signs of its rotated difference from the centroid (packed bits) with two
 scalars: the length of the difference and how well the signs stand for its direction. A query looks at
 its nearest cells, estimates all inner products from bits and scalars, and computes only those exactly
 whose upper error bound reaches the k-th of the exact values of its best estimates.
@@ -109,13 +110,68 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return rows.withColumn("__rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= k).drop("__rank")
 
 
-def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100, most_cells: int = 4096, probes: int = 6, sample: int = 32_768, block: int = 4096, bound: float = 3.0) -> DataFrame:
+def split_cells(index: DataFrame, asked: DataFrame, per_cell: int, largest: int, probes: int, sample: int, width: int, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Rows and queries with ``part``: cells of more than ``largest`` rows in parts of about ``per_cell``, others as part 0.
+
+    ``index`` has model, home, key and embedding, ``asked`` model, cell, key, embedding and likeness of each cell that a
+    query looks at. A cell's parts are fitted on at most 32 of its rows per part and ``sample`` in all. A query
+    is given the ``probes`` parts nearest to it of each of its split cells, and of all these the nearest
+    ``probes``. Rows and queries meet the centroids of their cell in ``salts`` portions.
+    """
+    crowded = index.groupBy("model", F.col("home").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > largest).withColumn("parts", F.ceil(F.col("n") / per_cell))
+    crowded = durable(crowded.select("model", "cell", F.least("parts", F.lit(sample // 4)).cast("int").alias("parts")))
+    if crowded.isEmpty():
+        return index.withColumn("part", F.lit(0)), asked.withColumn("part", F.lit(0)).drop("likeness")
+    small = F.broadcast(crowded)  # one row per cell, of which the driver fitted at most most_cells per model
+    members = index.select("model", F.col("home").alias("cell"), "key", "embedding").join(small, ["model", "cell"])
+    place = F.row_number().over(W.partitionBy("model", "cell").orderBy(F.xxhash64("key", F.lit(3))))
+    drawn = members.withColumn("place", place).where(F.col("place") <= F.least(F.lit(32) * F.col("parts"), F.lit(sample))).select("model", "cell", "parts", "embedding")
+
+    def fit(table: pa.Table) -> pa.Table:
+        centres = fit_cells(unit(matrix(table.column("embedding").combine_chunks(), width)), table.column("parts")[0].as_py())
+        return pa.table({"model": table.column("model")[:1], "cell": table.column("cell")[:1], "centres": pa.array([centres.astype(np.float32).ravel().tolist()], pa.list_(pa.float32()))})
+
+    centres = drawn.groupBy("model", "cell").applyInArrow(fit, "model string, cell int, centres array<float>")
+    centres = durable(centres).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("key", F.lit(4)), F.lit(salts)).cast("int").alias("salt")
+
+    def parts_of(most: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"model": pa.array([], pa.string()), "cell": pa.array([], pa.int32()), "key": pa.array([], pa.string()), "part": pa.array([], pa.int32()), "near": pa.array([], pa.float64())})
+            own = matrix(left.column("centres").combine_chunks(), width).astype(np.float64)
+            asks = unit(matrix(right.column("embedding").combine_chunks(), width))
+            count = min(most, len(own))
+            out = []
+            for start in range(0, len(asks), 4096):
+                likeness = asks[start : start + 4096] @ own.T
+                first = np.argpartition(-likeness, count - 1, axis=1)[:, :count]
+                out.append((np.repeat(np.arange(start, start + len(likeness)), count), first.ravel(), np.take_along_axis(likeness, first, axis=1).ravel()))
+            at, part, near = (np.concatenate(x) for x in zip(*out))
+            at = pa.array(at)
+            return pa.table({"model": right.column("model").combine_chunks().take(at), "cell": right.column("cell").combine_chunks().take(at), "key": right.column("key").combine_chunks().take(at), "part": pa.array(part, pa.int32()), "near": pa.array(near)})
+
+        return run
+
+    schema = "model string, cell int, key string, part int, near double"
+    by = ["model", "cell", "salt"]
+    homes = centres.groupBy(*by).cogroup(members.select("model", "cell", "key", "embedding", salt).groupBy(*by)).applyInArrow(parts_of(1), schema)
+    placed = index.join(homes.select("model", F.col("cell").alias("home"), "key", "part"), ["model", "home", "key"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    looked = asked.join(small.select("model", "cell"), ["model", "cell"], "left_semi").select("model", "cell", "key", "embedding", salt)
+    inner = centres.groupBy(*by).cogroup(looked.groupBy(*by)).applyInArrow(parts_of(probes), schema)
+    whole = asked.join(small.select("model", "cell"), ["model", "cell"], "left_anti").select("model", "cell", "key", F.lit(0).alias("part"), F.col("likeness").alias("near"))
+    best = top(inner.unionByName(whole), ["key"], [F.col("near").desc(), F.col("cell"), F.col("part")], probes).select("model", "cell", "key", "part")
+    return placed, best.join(asked.select("model", "cell", "key", "embedding"), ["model", "cell", "key"])
+
+
+def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100, most_cells: int = 4096, probes: int = 6, sample: int = 32_768, largest: int = 800, block: int = 4096, bound: float = 3.0) -> DataFrame:
     """id, neighbour and similarity (cosine, 6 decimals): the k nearest of each vector within its model.
 
     ``vectors`` has id, model, key and embedding (see ``usable``). Equal vectors are searched once: a key
     keeps its k + 1 smallest ids, which are all that any list can name of it. Cells are fitted on at most
     ``sample`` vectors, chosen by a hash and shared evenly among the models; their number grows with the
-    vectors up to ``most_cells`` per model. A cell with more than ``block`` vectors or queries is cut into
+    vectors up to ``most_cells`` per model, and cells of more than ``largest`` vectors are split (see
+    ``split_cells``), so what a query looks at does not grow with the collection. A part with more than ``block`` vectors or queries is cut into
     blocks, all of which are searched, so no task holds more than one block of each. Ties go to the
     smaller id. Fewer than k other vectors in a model give fewer rows. Recall against brute force is
     tested to be at least 0.9 and is near 0.99 for the default parameters.
@@ -141,7 +197,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100
             names = batch.column("model").to_pylist()
             units = unit(matrix(batch.column("embedding"), width))
             n = len(units)
-            home, near, bits, lengths, fits = np.zeros(n, np.int32), [None] * n, np.zeros((n, (width + 7) // 8), np.uint8), np.zeros(n), np.ones(n)
+            home, near, likely, bits, lengths, fits = np.zeros(n, np.int32), [None] * n, [None] * n, np.zeros((n, (width + 7) // 8), np.uint8), np.zeros(n), np.ones(n)
             for model in set(names):
                 at = np.flatnonzero(np.array([m == model for m in names]))
                 own = centres[model]
@@ -149,27 +205,29 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100
                 count = min(probes, len(own))
                 first = np.argpartition(-likeness, count - 1, axis=1)[:, :count]
                 home[at] = likeness.argmax(axis=1)
-                for i, cells in zip(at, first):
-                    near[i] = cells
+                for i, cells, how in zip(at, first, np.take_along_axis(likeness, first, axis=1)):
+                    near[i], likely[i] = cells, how
                 bits[at], lengths[at], fits[at] = codes(units[at], own[home[at]], turn)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("model"), batch.column("key"), batch.column("ids"), batch.column("embedding"), pa.array(home), pa.array(near, pa.list_(pa.int32())), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(lengths), pa.array(fits)],
-                names=["model", "key", "ids", "embedding", "home", "near", "bits", "length", "fit"],
+                [batch.column("model"), batch.column("key"), batch.column("ids"), batch.column("embedding"), pa.array(home), pa.array(near, pa.list_(pa.int32())), pa.array(likely, pa.list_(pa.float64())), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(lengths), pa.array(fits)],
+                names=["model", "key", "ids", "embedding", "home", "near", "likely", "bits", "length", "fit"],
             )
 
     # The index is written once; rows, queries and their counts per cell are read from it.
-    index = durable(distinct.mapInArrow(assign, "model string, key string, ids array<bigint>, embedding array<float>, home int, near array<int>, bits binary, length double, fit double"))
-    asked = index.select("model", "key", "embedding", F.explode("near").alias("cell"))
-    # Rows and queries per cell decide into how many blocks they are cut.
-    rows_in = index.groupBy("model", F.col("home").alias("cell")).agg(F.count("*").alias("rows"))
-    asks_in = asked.groupBy("model", "cell").agg(F.count("*").alias("asks"))
-    cuts = rows_in.join(asks_in, ["model", "cell"]).select("model", "cell", F.ceil(F.col("rows") / block).cast("int").alias("row_cuts"), F.ceil(F.col("asks") / (4 * block)).cast("int").alias("ask_cuts"))
-    cuts = F.broadcast(cuts)  # one row per cell, at most most_cells per model
+    index = durable(distinct.mapInArrow(assign, "model string, key string, ids array<bigint>, embedding array<float>, home int, near array<int>, likely array<double>, bits binary, length double, fit double"))
+    asked = index.select("model", "key", "embedding", F.inline(F.arrays_zip(F.col("near").alias("cell"), F.col("likely").alias("likeness"))))
+    index, asked = split_cells(index, asked, per_cell, largest, probes, sample, width)
+    # Rows and queries per part of a cell decide into how many blocks they are cut.
+    rows_in = index.groupBy("model", F.col("home").alias("cell"), "part").agg(F.count("*").alias("rows"))
+    asks_in = asked.groupBy("model", "cell", "part").agg(F.count("*").alias("asks"))
+    place_of = ["model", "cell", "part"]
+    cuts = rows_in.join(asks_in, place_of).select(*place_of, F.ceil(F.col("rows") / block).cast("int").alias("row_cuts"), F.ceil(F.col("asks") / (4 * block)).cast("int").alias("ask_cuts"))
+    # Cuts are compact: one row per part, far fewer than vectors. The plan may broadcast them by their size.
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
-    base = index.withColumnRenamed("home", "cell").join(cuts, ["model", "cell"]).withColumn("row_cut", place("row_cuts", 1)).withColumn("ask_cut", every("ask_cuts"))
-    queries = asked.join(cuts, ["model", "cell"]).withColumn("ask_cut", place("ask_cuts", 2)).withColumn("row_cut", every("row_cuts"))
-    by = ["model", "cell", "row_cut", "ask_cut"]
+    base = index.withColumnRenamed("home", "cell").join(cuts, place_of).withColumn("row_cut", place("row_cuts", 1)).withColumn("ask_cut", every("ask_cuts"))
+    queries = asked.join(cuts, place_of).withColumn("ask_cut", place("ask_cuts", 2)).withColumn("row_cut", every("row_cuts"))
+    by = ["model", "cell", "part", "row_cut", "ask_cut"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"key": pa.array([], pa.string()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})

@@ -69,3 +69,13 @@ def test_bounds_keep_the_best():
     kept = set(zip(qi.tolist(), vi.tolist()))
     best = np.argsort(-exact, axis=1)[:, :6]
     assert np.mean([(q, int(v)) in kept for q, row in enumerate(best) for v in row]) > 0.99
+
+
+def test_crowded_cells_are_split(spark):
+    """The number of fitted cells is bound here far below what the vectors need, so each is split where its vectors are."""
+    rows = rows_of(1500, 5, copies=300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = nb.nearest_pairs(df, per_cell=40, most_cells=3, largest=80, block=64).collect()
+    found = {tuple(r) for r in got}
+    reached, precise = recall(found, brute(rows))
+    assert len(found) == len(got) and reached >= 0.9 and precise >= 0.9
