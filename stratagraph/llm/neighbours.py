@@ -183,7 +183,7 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100
     members = vectors.select("model", "key", "id", "embedding")
     smallest = top(members, ["key"], [F.col("id")], k + 1)
     distinct = smallest.groupBy("key").agg(F.first("model").alias("model"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding"))
-    share = max(64, sample // len(sizes))
+    share = max(1, sample // len(sizes))
     picked = top(distinct.select("model", "key", "embedding"), ["model"], [F.xxhash64("key")], share).toArrow()
     models = np.array(picked.column("model").to_pylist(), object)
     values = unit(matrix(picked.column("embedding").combine_chunks(), width))
