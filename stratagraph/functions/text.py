@@ -232,3 +232,28 @@ def signature_text(name: Column, parameters: Column, returns: Column) -> Column:
     """name(parameter: type, other?: type) -> type; unknown types are 'any', and nothing is returned as 'void'."""
     shown = F.transform(parameters, lambda p: F.concat(F.coalesce(p["name"], F.lit("_")), F.when(p["optional"], "?").otherwise(""), F.lit(": "), F.coalesce(p["type"], F.lit("any"))))
     return F.concat(name, F.lit("("), F.coalesce(F.concat_ws(", ", shown), F.lit("")), F.lit(") -> "), F.coalesce(returns, F.lit("void")))
+
+
+#: What the words of an operation's name say it does. A whole name counts first, then its first word, then any word in this order.
+EFFECT_WORDS = {
+    "whole": {"prepare": "addparameter addwithvalue createcommand existssync pathexists pathexistssync", "read": "executereader executescalar exists keyexists stringgetlease", "write": "executenonquery"},
+    "first": {"prepare": "access begin canonicalize close connect dispose ensure lstat metadata mkdir mkdtemp open prepare realpath stat"},
+    "word": {
+        "delete": "clear del delete destroy drop evict expire flush purge remove rm rmdir truncate unlink",
+        "send": "dispatch emit enqueue notify publish send",
+        "write": "add append commit copy create decrement increment insert merge mkdir move patch persist post push put register rename replace save set store update upsert write",
+    },
+}
+
+
+def effect_of(operation: Column) -> Column:
+    """What an operation does by its name: delete, send, write, prepare or read, which is also what is left."""
+    bare = F.regexp_replace(F.element_at(F.split(operation, "[.:]"), -1), "Async$", "")
+    words = F.filter(F.split(F.lower(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2")), "[ _!?-]+"), lambda w: w != "")
+    out = None
+    for stage, rules in EFFECT_WORDS.items():
+        for does, listed in rules.items():
+            known = listed.split()
+            fits = F.concat_ws("", words).isin(known) if stage == "whole" else F.element_at(F.concat(words, F.array(F.lit(""))), 1).isin(known) if stage == "first" else F.arrays_overlap(words, F.array(*map(F.lit, known)))
+            out = F.when(fits, does) if out is None else out.when(fits, does)
+    return out.otherwise("read")

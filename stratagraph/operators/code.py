@@ -86,7 +86,7 @@ def clones(units: DataFrame, key: str, text: str, threshold: float = 0.8) -> Dat
 
     schema = f"key {units.schema[key].dataType.simpleString()}, runs array<string>"
     runs = units.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).where("runs is not null")
-    shaped = durable(runs.select("key", F.xxhash64("runs").alias("text_hash"), F.transform("runs", lambda r: F.xxhash64(r)).alias("shingles")))
+    shaped = durable(runs.select("key", F.md5(F.concat_ws("\n", "runs")).alias("text_hash"), F.transform("runs", lambda r: F.xxhash64(r)).alias("shingles")))
     distinct = durable(shaped.select("text_hash", "shingles").dropDuplicates(["text_hash"]))
     pairs = durable(similar.similar_pairs(distinct, threshold))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).groupBy("text_hash").agg(F.count("*").alias("links"))

@@ -63,6 +63,13 @@ def reach_per_seed(pairs: DataFrame, seeds: DataFrame, depth: int | None = None)
     return seen
 
 
+def _with_least(both: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """Rows (u, w) with m of their u. Nodes with more than a thousandth of the ``rows``, at most 1,000, are looked up by broadcast, so no task is sent a hub's rows."""
+    hubs = durable(least.where(F.col("n") > max(1000, rows // 1000)).select("u", "m"))
+    small = F.broadcast(hubs)
+    return both.join(small.select("u"), "u", "left_anti").join(least.select("u", "m"), "u").unionByName(both.join(small, "u"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component) of the undirected graph, the component named by its least id.
 
@@ -71,14 +78,16 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     links = durable(pairs.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("w")).distinct())
     ids = links.select(F.col("u").alias("id")).union(links.select("w")).distinct()
+    count = links.count()
     while True:
         both = links.union(links.select("w", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct()
-        least = large.groupBy("u").agg(F.min("w").alias("m"))
-        small = large.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).union(least.select("u", F.col("m").alias("w"))).where("u <> w")
+        least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = durable(_with_least(both, least, 2 * count).where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct())
+        least = large.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, count).select(F.col("w").alias("u"), F.col("m").alias("w")).union(least.select("u", F.col("m").alias("w"))).where("u <> w")
         new = durable(small.select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).distinct())
-        if new.count() == links.count() and new.exceptAll(links).isEmpty():
+        before, count = count, new.count()
+        if count == before and new.exceptAll(links).isEmpty():
             break
         links = new
     root = links.groupBy(F.col("u").alias("id")).agg(F.min("w").alias("component"))

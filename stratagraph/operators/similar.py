@@ -13,9 +13,9 @@ from stratagraph.session import durable
 
 
 def word_shingles(texts: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
-    """(text_hash, shingles): distinct word sequences of each distinct text; shorter texts are one shingle, blank ones none."""
+    """(text_hash, shingles): 128-bit names and distinct word sequences of each distinct text; shorter texts are one shingle, blank ones none."""
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    kept = texts.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_hash"), tokens.alias("w")).dropDuplicates(["text_hash"]).where(F.size("w") > 0)
+    kept = texts.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_hash"), tokens.alias("w")).dropDuplicates(["text_hash"]).where(F.size("w") > 0)
     grams = F.when(F.size("w") < words, F.array(F.concat_ws(" ", "w"))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(words)))))
     return kept.select("text_hash", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))).alias("shingles"))
 
@@ -52,7 +52,7 @@ def similar_classes(texts: DataFrame, key: str, text: str, threshold: float = 0.
     pairs = durable(similar_pairs(shingled, threshold))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).groupBy("text_hash").agg(F.count("*").alias("links"))
     named = components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))).withColumnsRenamed({"id": "text_hash", "component": "class_id"})
-    own = texts.where(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("text_hash")).join(shingled.select("text_hash"), "text_hash")
+    own = texts.where(F.col(text).isNotNull()).select(key, F.md5(text).alias("text_hash")).join(shingled.select("text_hash"), "text_hash")
     joined = own.join(named, "text_hash", "left").join(ends, "text_hash", "left")
     return joined.select(key, F.coalesce("class_id", "text_hash").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 

@@ -116,3 +116,18 @@ add(
     far AS (SELECT project_id AS target_repo, contract, count(DISTINCT record_id) AS flows, array_to_string(list_sort(list(DISTINCT entity)), ',') AS entities FROM s JOIN effects USING (record_id) WHERE effect = 'entities_written' GROUP BY 1, 2)
     SELECT DISTINCT s.record_id AS from_flow, l.source_repo, l.target_repo, l.contract, far.flows, far.entities FROM l JOIN s ON s.project_id = l.source_repo AND s.contract = l.contract JOIN far ON far.target_repo = l.target_repo AND far.contract = l.contract"""),
 )
+
+
+def _topics(x):
+    """Topics of messages with the repositories that emit them and those whose flows write the entity of that name."""
+    homes = x["flows"].select("record_id", "project_id").distinct()
+    of = lambda effect, name: x["effects"].where(F.col("effect") == effect).join(homes, "record_id").groupBy(F.lower("entity").alias("topic")).agg(F.count_distinct("project_id").alias(name))
+    return of("messages_emitted", "producers").join(of("entities_written", "consumers"), "topic", "left").select("topic", "producers", F.coalesce("consumers", F.lit(0)).alias("consumers"))
+
+
+add(
+    "messages_by_topic",
+    lambda t: _topics(fl.tables(t)),
+    fsql("""WITH e AS (SELECT lower(entity) AS topic, effect, project_id FROM effects JOIN flows USING (record_id))
+    SELECT p.topic, count(DISTINCT p.project_id) AS producers, (SELECT count(DISTINCT c.project_id) FROM e c WHERE c.topic = p.topic AND c.effect = 'entities_written') AS consumers FROM e p WHERE effect = 'messages_emitted' GROUP BY 1"""),
+)

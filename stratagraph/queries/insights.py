@@ -59,9 +59,20 @@ add("link_coverage", lambda t: v.edges(t, "project_id", "target").groupBy("proje
 _CLEAN = r"regexp_replace(replace(path, '\', '/'), '^(\./)+', '')"
 add("contended_paths", lambda t: t("in_flight_diff_file").where("agent_id is not null and path is not null").groupBy(fx.clean_path(F.col("path")).alias("path")).agg(F.count_distinct("agent_id").alias("agents"), F.min("agent_id").alias("first_agent"), F.max("captured_at").alias("last_at")).where("agents > 1"), f"SELECT {_CLEAN} AS path, count(DISTINCT agent_id) AS agents, min(agent_id) AS first_agent, max(captured_at) AS last_at FROM in_flight_diff_file WHERE agent_id IS NOT NULL AND path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT agent_id) > 1")
 add("bug_fix_subjects", lambda t: t("documents").where("source = 'commit_log' and text is not null").groupBy(F.lower(F.substring_index("text", "\n", 1)).rlike(r"^(fix|bug|hotfix)\b|\b(fixes|bug)\b").alias("is_fix")).agg(F.count("*").alias("n")), r"SELECT regexp_matches(lower(string_split(text, chr(10))[1]), '^(fix|bug|hotfix)\b|\b(fixes|bug)\b') AS is_fix, count(*) AS n FROM documents WHERE source = 'commit_log' AND text IS NOT NULL GROUP BY 1")
-#: First word of an operation's name to its effect.
-EFFECTS = {"create": "write", "save": "write", "update": "write", "assign": "write", "attach": "write", "archive": "write", "delete": "delete", "drop": "delete", "cancel": "delete", "trim": "delete", "expire": "delete", "publish": "send", "notify": "send", "dispatch": "send", "get": "read", "find": "read", "load": "read", "resolve": "read", "observe": "read"}
-add("effect_verbs", lambda t: v.nodes(t).groupBy(F.coalesce(F.create_map(*(F.lit(x) for p in EFFECTS.items() for x in p))[F.element_at(fx.search_tokens(F.concat("name", F.lit(" x"))), 1)], F.lit("none")).alias("effect")).agg(F.count("*").alias("n")), sql("SELECT coalesce(map_extract(MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in EFFECTS.items()) + r"}, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name || ' x', '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-./]', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '')[1])[1], 'none') AS effect, count(*) AS n FROM nodes GROUP BY 1", "nodes"))
+_WORDS_OF = "list_filter(string_split_regex(lower(regexp_replace(regexp_replace(string_split_regex(name, '[.:]')[-1], 'Async$', ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[ _!?-]+'), lambda w: w <> '')"
+
+
+def _effect_sql() -> str:
+    cases = []
+    for stage, rules in fx.EFFECT_WORDS.items():
+        for does, listed in rules.items():
+            known = ", ".join(f"'{w}'" for w in listed.split())
+            fits = f"array_to_string(w, '') IN ({known})" if stage == "whole" else f"w[1] IN ({known})" if stage == "first" else f"len(list_intersect(w, [{known}])) > 0"
+            cases.append(f"WHEN {fits} THEN '{does}'")
+    return f"SELECT CASE {' '.join(cases)} ELSE 'read' END AS effect, count(*) AS n FROM (SELECT {_WORDS_OF} AS w FROM nodes WHERE name IS NOT NULL) GROUP BY 1"
+
+
+add("effect_verbs", lambda t: v.nodes(t, "id", "name").where("name is not null").groupBy(fx.effect_of(F.col("name")).alias("effect")).agg(F.count("*").alias("n")), sql(_effect_sql(), "nodes"))
 
 
 def _route_drift(t):

@@ -90,10 +90,10 @@ _WORDS = ["ledger", "resolve"]
 _SEARCH_SQL = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_\-./]', ' ', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
-def _lexical(t):
+def _lexical(t, text: str = _WORDS[0]):
     n = v.nodes(t).select("id", "name", "qualified_name", "description", "type")
     words = fx.search_tokens(F.col("name"))
-    query = F.lit("ledger")
+    query = F.lit(text)
     hit = F.contains(F.lower("name"), query) | F.coalesce(F.contains(F.lower("qualified_name"), query), F.lit(False)) | F.coalesce(F.contains(F.lower("description"), query), F.lit(False))
     rank = F.when(F.lower("name") == query, 0).when(F.startswith(F.lower("name"), query), 1).when(F.contains(F.lower("name"), query), 2).otherwise(3)
     overlap = F.size(F.array_intersect(words, F.array(*map(F.lit, _WORDS))))
@@ -103,7 +103,14 @@ def _lexical(t):
 
 add("lexical_search", _lexical, sql("SELECT id, name, tier, CASE WHEN tier = 0 THEN r ELSE -overlap END AS rank, overlap FROM (SELECT id, name, CASE WHEN contains(lower(name), 'ledger') OR coalesce(contains(lower(qualified_name), 'ledger'), false) OR coalesce(contains(lower(description), 'ledger'), false) THEN 0 ELSE 1 END AS tier, CASE WHEN lower(name) = 'ledger' THEN 0 WHEN starts_with(lower(name), 'ledger') THEN 1 WHEN contains(lower(name), 'ledger') THEN 2 ELSE 3 END AS r, len(list_intersect(" + _SEARCH_SQL.format("name") + ", ['ledger', 'resolve'])) AS overlap FROM nodes) WHERE tier = 0 OR overlap > 0 ORDER BY tier, rank, id LIMIT 100", "nodes"))
 add("search_tokens", lambda t: v.nodes(t).select(F.explode(fx.search_tokens(F.col("name"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), sql("SELECT token, count(*) AS n FROM (SELECT unnest(" + _SEARCH_SQL.format("name") + ") AS token FROM nodes) GROUP BY token", "nodes"))
-add("word_boundary_match", lambda t: v.nodes(t).where(fx.words_in_name(fx.camel_words(F.col("name")), ["ledg"])).select("id"), sql("SELECT id FROM nodes WHERE len(list_filter(regexp_extract_all(name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: contains(lower(w), 'ledg'))) > 0", "nodes"))
+
+
+def word_boundary(t, *words: str):
+    """Nodes with words that hold all given ones."""
+    return v.nodes(t, "id", "name").where(fx.words_in_name(fx.camel_words(F.col("name")), list(words))).select("id")
+
+
+add("word_boundary_match", lambda t: word_boundary(t, "ledg"), sql("SELECT id FROM nodes WHERE len(list_filter(regexp_extract_all(name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda w: contains(lower(w), 'ledg'))) > 0", "nodes"))
 
 
 def _postings(t):
@@ -112,9 +119,32 @@ def _postings(t):
 
 
 add("trigram_postings", lambda t: _postings(t).groupBy("gram").agg(F.count("*").alias("postings"), F.min("id").alias("first_id")), sql("SELECT gram, count(*) AS postings, min(id) AS first_id FROM (SELECT id, unnest(list_distinct(list_transform(range(1, len(name) - 1), lambda i: lower(substring(name, i, 3))))) AS gram FROM nodes WHERE len(name) >= 3) GROUP BY gram", "nodes"))
-add("trigram_search", lambda t: _postings(t).where(F.col("gram").isin("led", "edg", "dge", "ger")).groupBy("id").agg(F.count_distinct("gram").alias("n")).where("n = 4").join(v.nodes(t).select("id", "name"), "id").where("contains(lower(name), 'ledger')").select("id", "name"), sql("SELECT id, name FROM nodes WHERE contains(lower(name), 'ledger')", "nodes"))
+
+
+def trigram_search(t, query: str):
+    """Nodes whose names hold a text, found by the postings of all its runs of three signs; shorter texts have none and are compared directly."""
+    text = query.lower()
+    grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    names = v.nodes(t, "id", "name")
+    held = names.where(F.contains(F.lower("name"), F.lit(text)))
+    if not grams:
+        return held
+    hits = _postings(t).where(F.col("gram").isin(grams)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+    return held.join(hits.select("id"), "id", "left_semi").select("id", "name")
+
+
+add("trigram_search", lambda t: trigram_search(t, "ledger"), sql("SELECT id, name FROM nodes WHERE contains(lower(name), 'ledger')", "nodes"))
 add("posting_shards", lambda t: v.nodes(t).select(F.pmod(fx.fnv1a(F.lower("name")), F.lit(64)).cast("int").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")))
-add("name_tier", lambda t: v.nodes(t).select("id", F.when(F.lower("name") == "ledger", 3).when(F.contains(F.lower("name"), F.lit("ledger")), 2).when(F.array_contains(fx.search_tokens(F.col("name")), "resolve"), 1).otherwise(0).alias("tier")), sql("SELECT id, CASE WHEN lower(name) = 'ledger' THEN 3 WHEN contains(lower(name), 'ledger') THEN 2 WHEN list_contains(" + _SEARCH_SQL.format("name") + ", 'resolve') THEN 1 ELSE 0 END AS tier FROM nodes", "nodes"))
+
+
+def name_tiers(t, query: str, word: str):
+    """3 for the name itself, 2 for names that hold it, 1 for names with a word, else 0."""
+    name = F.lower("name")
+    tier = F.when(name == query, 3).when(F.contains(name, F.lit(query)), 2).when(F.array_contains(fx.search_tokens(F.col("name")), word), 1).otherwise(0)
+    return v.nodes(t, "id", "name").select("id", tier.alias("tier"))
+
+
+add("name_tier", lambda t: name_tiers(t, "ledger", "resolve"), sql("SELECT id, CASE WHEN lower(name) = 'ledger' THEN 3 WHEN contains(lower(name), 'ledger') THEN 2 WHEN list_contains(" + _SEARCH_SQL.format("name") + ", 'resolve') THEN 1 ELSE 0 END AS tier FROM nodes", "nodes"))
 add("token_coverage", lambda t: v.nodes(t).select("id", fx.coverage(fx.search_tokens(F.col("name")), _WORDS).alias("coverage")), sql("SELECT id, len(list_intersect(" + _SEARCH_SQL.format("name") + ", ['ledger', 'resolve'])) / 2.0 AS coverage FROM nodes", "nodes"))
 _dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -162,6 +192,7 @@ add("pattern_examples", lambda t: select.top_per_key(v.nodes(t).select("id", F.e
 
 
 def _risk_rank(t):
+    """Units by the risk of changing them. 400, 300, 200, 100 by complexity over 20, 10, 5; 10 for many parameters, 5 for errors thrown, 15 for what is no test."""
     level = F.when(F.col("cyclomatic") > 20, 400).when(F.col("cyclomatic") > 10, 300).when(F.col("cyclomatic") > 5, 200).otherwise(100)
     factors = F.array(F.when(F.col("parameters") > 4, 10).otherwise(0), F.when(F.size("throws") > 0, 5).otherwise(0))
     score = level + F.aggregate(factors, F.lit(0), lambda a, x: a + x) + F.when(~F.coalesce("is_test", F.lit(True)), 15).otherwise(0)

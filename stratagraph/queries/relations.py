@@ -173,16 +173,18 @@ def _route_match(t):
 
 
 add("route_compatibility", _route_match)
-add("messages_by_topic", lambda t: v.observations(t).where("service_name is not null").groupBy("service_name", F.lower("environment").alias("environment")).agg(F.count_distinct("trace_id").alias("traces")), sql("SELECT service_name, lower(environment) AS environment, count(DISTINCT trace_id) AS traces FROM obs WHERE service_name IS NOT NULL GROUP BY 1, 2", "obs"))
 add("shared_entities", lambda t: v.nodes(t).select(fx.entity_key(F.col("name")).alias("key"), "project_id").distinct().groupBy("key").agg(F.count("*").alias("projects")).where("projects > 1"), sql("SELECT key, count(*) AS projects FROM (SELECT DISTINCT regexp_replace(regexp_replace(lower(name), '^entity_', ''), '[^a-z0-9]', '', 'g') AS key, project_id FROM nodes) GROUP BY key HAVING count(*) > 1", "nodes"))
 
 
 def _as_of(t):
-    snaps = t("analysis_entry").select("project_id", F.col("analyzed_at").alias("at"), "analysis_id").distinct().withColumn("probe", F.lit(0))
-    probes = t("cas_node").select("project_id", F.col("recorded_at").alias("at")).distinct().withColumns({"analysis_id": F.lit(None).cast("string"), "probe": F.lit(1)})
-    upto = W.partitionBy("project_id").orderBy("at", "probe", "analysis_id").rowsBetween(W.unboundedPreceding, 0)
-    both = snaps.unionByName(probes).withColumn("as_of", F.last("analysis_id", ignorenulls=True).over(upto))
-    return both.where("probe = 1").groupBy("project_id", "as_of").agg(F.count("*").alias("n"))
+    """For each instant at which a node was recorded the analysis that was the latest then, counted.
+
+    A project's analyses are one small row, which its instants meet; no task orders all instants of a project.
+    """
+    snaps = t("analysis_entry").where("analyzed_at is not null").select("project_id", F.struct(F.col("analyzed_at").alias("at"), "analysis_id").alias("s")).distinct().groupBy("project_id").agg(F.collect_list("s").alias("snaps"))
+    probes = t("cas_node").select("project_id", F.col("recorded_at").alias("at")).distinct()
+    latest = F.array_max(F.filter("snaps", lambda s: s["at"] <= F.col("at")))["analysis_id"]
+    return probes.join(snaps, "project_id", "left").groupBy("project_id", latest.alias("as_of")).agg(F.count("*").alias("n"))
 
 
 add("as_of_snapshot", _as_of, """SELECT p.project_id, (SELECT arg_max(e.analysis_id, (e.analyzed_at, e.analysis_id)) FROM analysis_entry e WHERE e.project_id = p.project_id AND e.analyzed_at <= p.at) AS as_of, count(*) AS n
@@ -301,6 +303,7 @@ add("node_runtime_metrics", lambda t: _impact(t, F.col("match_id")).withColumnRe
 
 
 def _priorities(t):
+    """Targets by urgency. 18 per error, 8 per slow call, 12 per power of ten of events, 14 or 8 for error rates, 6 for a slow p95, 3 per trace; bands at 85, 60 and 30."""
     s = _impact(t, F.coalesce("match_id", "route", "path", F.lit("unmatched-runtime")))
     rate = F.col("errors") / F.col("observations")
     score = F.col("errors") * 18 + F.col("slow") * 8 + F.log10(F.col("observations").cast("double")) * 12 + F.when(rate >= 0.05, 14).when(rate >= 0.01, 8).otherwise(0) + F.when(F.col("p95") >= 1000, 6).otherwise(0) + F.col("traces") * 3

@@ -86,7 +86,9 @@ def declared_tables(files: DataFrame) -> DataFrame:
 
     (table, column) with its type as left standing; statements of one table are folded by their last one.
     """
-    statements = files.select("path", F.posexplode(F.split("content", ";")).alias("pos", "s"))
+    # Comments and the insides of string literals hold no statements and no ends of statements.
+    plain = F.regexp_replace(F.regexp_replace("content", r"'(?:[^']|'')*'", "''"), r"--[^\n]*|(?s:/\*.*?\*/)", " ")
+    statements = files.select("path", F.posexplode(F.split(plain, ";")).alias("pos", "s"))
     made = statements.select("path", "pos", F.lower(F.regexp_extract("s", r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)", 1)).alias("table"), F.regexp_extract("s", r"(?is)\((.*)\)", 1).alias("body")).where("`table` <> ''")
     columns = made.select("path", "pos", "table", F.explode(F.split("body", r",(?![^(]*\))")).alias("c")).select("path", "pos", "table", F.lower(F.regexp_extract("c", r"^\s*[\"`]?(\w+)", 1)).alias("column"), F.lower(F.regexp_extract("c", r"^\s*[\"`]?\w+[\"`]?\s+(\w+(?:\([^)]*\))?)", 1)).alias("type"))
     columns = columns.where(~F.col("column").isin("primary", "foreign", "unique", "constraint", "check", "") & (F.col("type") != ""))

@@ -26,9 +26,9 @@ def test_tree_and_facts(spark, tmp_path):
 
 
 def test_declared_tables_manifests_reports(spark):
-    ddl = [("m/1.sql", "CREATE TABLE users (id int primary key, name varchar(20), PRIMARY KEY (id)); create table old (x int);"), ("m/2.sql", "ALTER TABLE users ADD COLUMN age int; DROP TABLE old; alter table users drop column name;")]
+    ddl = [("m/1.sql", "CREATE TABLE users (id int primary key, name varchar(20), PRIMARY KEY (id)); create table old (x int);"), ("m/2.sql", "ALTER TABLE users ADD COLUMN age int; DROP TABLE old; alter table users drop column name;"), ("m/3.sql", "-- create table no1 (id int);\n/* ; create table no2 (id int); */ insert into users values (1, 'it''s; create table no3 (id int);'); create table last (x int);")]
     got = {tuple(r) for r in src.declared_tables(spark.createDataFrame(ddl, "path string, content string")).collect()}
-    assert got == {("users", "id", "int"), ("users", "age", "int")}
+    assert got == {("users", "id", "int"), ("users", "age", "int"), ("last", "x", "int")}
     manifest = [("a/package.json", '{"dependencies": {"x": "1"}, "devDependencies": {"y": "2"}}'), ("b/package.json", "{"), ("c.json", "{}")]
     assert {tuple(r) for r in src.dependencies(spark.createDataFrame(manifest, "path string, content string")).collect()} == {("a/package.json", "x", "1", "production"), ("a/package.json", "y", "2", "dev")}
     report = spark.createDataFrame([("SF:a.py\nDA:1,2\nDA:2,0\nend_of_record\nSF:b.py\nDA:1,1\nend_of_record\n",)], "content string")
