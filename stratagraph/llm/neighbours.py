@@ -221,8 +221,8 @@ def nearest(vectors: DataFrame, k: int = 5, width: int = 64, per_cell: int = 100
     rows_in = index.groupBy("model", F.col("home").alias("cell"), "part").agg(F.count("*").alias("rows"))
     asks_in = asked.groupBy("model", "cell", "part").agg(F.count("*").alias("asks"))
     place_of = ["model", "cell", "part"]
-    cuts = rows_in.join(asks_in, place_of).select(*place_of, F.ceil(F.col("rows") / block).cast("int").alias("row_cuts"), F.ceil(F.col("asks") / (4 * block)).cast("int").alias("ask_cuts"))
-    # Cuts are compact: one row per part, far fewer than vectors. The plan may broadcast them by their size.
+    cuts = durable(rows_in.join(asks_in, place_of).select(*place_of, F.ceil(F.col("rows") / block).cast("int").alias("row_cuts"), F.ceil(F.col("asks") / (4 * block)).cast("int").alias("ask_cuts")))
+    # One row per part: written, its size is known, and the plan broadcasts it as long as it is small.
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
     base = index.withColumnRenamed("home", "cell").join(cuts, place_of).withColumn("row_cut", place("row_cuts", 1)).withColumn("ask_cut", every("ask_cuts"))
