@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,6 +94,14 @@ _PACKED = re.compile(r"[;{}][A-Za-z_$!(.#]")
 _BLOB = re.compile(r"[A-Za-z0-9+/_=-]{200,}")
 
 
+def _row_of(line: str) -> str:
+    """A line without what its literals and numbers say."""
+    return _NUMBER.sub("0", _LITERAL.sub("Q", line))
+
+
+_known_row = lru_cache(maxsize=1 << 17)(_row_of)
+
+
 def _packed(line: str) -> bool:
     if _COMMENT.match(line):
         return False
@@ -113,7 +122,7 @@ def by_composition(text: str, encode) -> str | None:
     spaces = sum(x.count(" ") + x.count("\t") for x in lines)
     # A long line that is but one literal is no code; a short one is packed if statements follow each other without a space.
     dense = size - spaces >= 0.93 * size and sum(len(x) for x in lines if _packed(x)) >= 0.5 * size
-    rows = Counter(_NUMBER.sub("0", _LITERAL.sub("Q", x.strip())) for x in lines)
+    rows = Counter(_known_row(x.strip()) if len(x) < 200 else _row_of(x.strip()) for x in lines)
     row, count = rows.most_common(1)[0]
     tabular = len(lines) >= 12 and count >= 0.6 * len(lines) and "0" in row
     blob = sum(len(m) for m in _BLOB.findall(text)) >= 0.75 * size
