@@ -63,6 +63,34 @@ def reach_per_seed(pairs: DataFrame, seeds: DataFrame, depth: int | None = None)
     return seen
 
 
+def reach_counts(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, reached): how many nodes each seed reaches, itself among them.
+
+    Seeds walk together: a node carries, per 64 seeds, one number whose bits are the seeds that reach it, and
+    each round sends only bits that are new to a node. So 64 pairs of seed and node are one row, also where
+    nearly every seed reaches nearly every node.
+    """
+    from stratagraph.operators.ordered import running_sum
+
+    numbered = durable(running_sum(seeds.select("id").where("id is not null").distinct().withColumn("one", F.lit(1)), "id", "one", "n", "all").select("id", "n"))
+    frontier = durable(numbered.select("id", F.expr("cast(floor(n / 64) as int)").alias("word"), F.expr("shiftleft(1L, cast(n % 64 as int))").alias("bits")))
+    parts, level = frontier, 0
+    while not frontier.isEmpty():
+        level += 1
+        step = frontier.withColumnRenamed("id", "source").join(pairs, "source").groupBy(F.col("target").alias("id"), "word").agg(F.bit_or("bits").alias("came"))
+        known = parts.groupBy("id", "word").agg(F.bit_or("bits").alias("known"))
+        new = F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("bigint"))))
+        frontier = durable(step.join(known, ["id", "word"], "left").select("id", "word", new.alias("bits")).where("bits <> 0"))
+        parts = parts.unionByName(frontier)
+        if level % 8 == 0:
+            parts = durable(parts.groupBy("id", "word").agg(F.bit_or("bits").alias("bits")))
+    seen = parts.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    sums = seen.groupBy("word").agg(*(F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1L")).alias(f"b{k}") for k in range(64)))
+    counts = sums.select("word", F.posexplode(F.array(*(f"b{k}" for k in range(64)))).alias("bit", "reached"))
+    place = counts.select((F.col("word") * F.lit(64).cast("bigint") + F.col("bit")).alias("n"), "reached")
+    return numbered.withColumn("n", F.col("n").cast("bigint")).join(place, "n").select(F.col("id").alias("seed"), "reached")
+
+
 def _with_least(both: DataFrame, least: DataFrame, rows: int) -> DataFrame:
     """Rows (u, w) with m of their u. Nodes with more than a thousandth of the ``rows``, at most 1,000, are looked up by broadcast, so no task is sent a hub's rows."""
     hubs = durable(least.where(F.col("n") > max(1000, rows // 1000)).select("u", "m"))

@@ -131,3 +131,33 @@ add(
     fsql("""WITH e AS (SELECT lower(entity) AS topic, effect, project_id FROM effects JOIN flows USING (record_id))
     SELECT p.topic, count(DISTINCT p.project_id) AS producers, (SELECT count(DISTINCT c.project_id) FROM e c WHERE c.topic = p.topic AND c.effect = 'entities_written') AS consumers FROM e p WHERE effect = 'messages_emitted' GROUP BY 1"""),
 )
+
+_READS = r"(?:process\.env\.|environ\[[\"']|environ\.get\([\"']|[Gg]etenv\([\"'])([A-Z][A-Z0-9_]*)"
+
+
+def _environment(t):
+    """Names that files read from their environment: in how many files and workspaces, and whether the name speaks of an endpoint."""
+    read = t("in_flight_diff_file").where("content is not null").select("diff_id", "workspace_id", F.explode(F.regexp_extract_all("content", F.lit(_READS), F.lit(1))).alias("name"))
+    sums = read.groupBy("name").agg(F.count_distinct("diff_id").alias("files"), F.count_distinct("workspace_id").alias("workspaces"))
+    return sums.withColumn("endpoint", F.lower("name").rlike("url|uri|endpoint|base|host|graphql|grpc|webhook"))
+
+
+add("environment_contracts", _environment, "WITH r AS (SELECT diff_id, workspace_id, unnest(regexp_extract_all(content, '" + _READS.replace("'", "''") + "', 1)) AS name FROM in_flight_diff_file WHERE content IS NOT NULL) SELECT name, count(DISTINCT diff_id) AS files, count(DISTINCT workspace_id) AS workspaces, regexp_matches(lower(name), 'url|uri|endpoint|base|host|graphql|grpc|webhook') AS endpoint FROM r GROUP BY 1")
+
+
+def _composed(t):
+    """The whole made of all projects' latest analyses: projects, nodes and edges as announced, links between projects and shared units they reach."""
+    latest = t("analysis_entry").where("project_id is not null").groupBy("project_id").agg(F.max_by(F.struct("node_count", "edge_count"), F.struct("snapshot_no", "analyzed_at", "node_count", "edge_count")).alias("r"))
+    parts = latest.agg(F.count("*").alias("projects"), F.sum("r.node_count").alias("nodes"), F.sum("r.edge_count").alias("edges"))
+    e = v.edge_rows(t).where("target is not null").select(F.substring_index("source", ":", 1).alias("a"), F.substring_index("target", ":", 1).alias("b"), "target").distinct()
+    links = e.where("a <> b").agg(F.count_distinct(F.when(F.col("b") != "lib", F.struct("a", "b"))).alias("project_links"), F.count_distinct(F.when(F.col("b") == "lib", F.col("target"))).alias("shared_units"))
+    return parts.join(F.broadcast(links))  # one row each
+
+
+add(
+    "composed_analysis",
+    _composed,
+    """WITH l AS (SELECT project_id, node_count, edge_count FROM analysis_entry WHERE project_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY snapshot_no DESC NULLS LAST, analyzed_at DESC NULLS LAST, node_count DESC NULLS LAST, edge_count DESC NULLS LAST) = 1),
+    e AS (SELECT DISTINCT string_split(source, ':')[1] AS a, string_split(target, ':')[1] AS b, target FROM cas_edge WHERE target IS NOT NULL)
+    SELECT count(*) AS projects, CAST(sum(node_count) AS BIGINT) AS nodes, CAST(sum(edge_count) AS BIGINT) AS edges, (SELECT count(DISTINCT (a, b)) FROM e WHERE a <> b AND b <> 'lib') AS project_links, (SELECT count(DISTINCT target) FROM e WHERE b = 'lib' AND a <> b) AS shared_units FROM l""",
+)

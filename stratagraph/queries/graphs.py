@@ -90,7 +90,7 @@ def _entries(t):
     return objects.where("label in ('entry', 'handler') and list_label is null").select(F.coalesce("handler_node_id", F.when(F.col("label") == "handler", F.col("node_id"))).alias("id")).where("id is not null").distinct()
 
 
-add("entry_reach", lambda t: graph.reach_per_seed(_calls(t), _entries(t)).groupBy("seed").agg(F.count("*").alias("reached")),
+add("entry_reach", lambda t: graph.reach_counts(_calls(t), _entries(t)),
     sql(f"WITH s AS ({nested.HANDLERS_SQL}), walk(seed, id) AS (SELECT id, id FROM s UNION SELECT w.seed, c.target FROM walk w JOIN calls c ON c.source = w.id) SELECT seed, count(*) AS reached FROM walk GROUP BY 1", "calls", recursive=True))
 add("structural_context", lambda t: v.edges(t, "source", "target", "type").where("type = 'contains' and target is not null").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("children"), F.min("target").alias("first_child")), sql("SELECT source AS id, count(*) AS children, min(target) AS first_child FROM edges WHERE type = 'contains' AND target IS NOT NULL GROUP BY 1", "edges"))
 add("ancestors", lambda t: graph.ancestors(v.nodes(t).select("id", "parent")).groupBy("id").agg(F.count("*").alias("ancestors"), F.max("distance").alias("depth")), sql("WITH p AS (SELECT DISTINCT id, parent FROM nodes WHERE parent IS NOT NULL AND parent <> id), walk(id, ancestor, distance) AS (SELECT id, parent, 1 FROM p UNION SELECT w.id, p.parent, w.distance + 1 FROM walk w JOIN p ON p.id = w.ancestor WHERE w.distance < 64 AND p.parent <> w.id), least AS (SELECT id, ancestor, min(distance) AS d FROM walk GROUP BY 1, 2) SELECT id, count(*) AS ancestors, max(d) AS depth FROM least GROUP BY 1", "nodes", recursive=True))

@@ -157,3 +157,35 @@ def _manifests(t):
 
 
 add("manifest_dependencies", _manifests, "SELECT package, scope, count(*) AS n, max(version) AS version FROM (SELECT 'lib' || s_nationkey AS package, 'production' AS scope, '1.' || (s_suppkey % 7) AS version FROM supplier UNION ALL SELECT 'check', 'dev', '2' FROM supplier) GROUP BY 1, 2")
+
+
+def _coverage(t):
+    """A coverage report of all files as text, read back: each unit's first line, hit as often as the unit is complex."""
+    hits = v.nodes(t, "id", "file", "line", "cyclomatic").where("file is not null and line is not null").select("file", F.concat(F.lit("DA:"), F.col("line").cast("string"), F.lit(","), F.coalesce("cyclomatic", F.lit(0)).cast("string")).alias("hit"))
+    reports = hits.groupBy("file").agg(F.concat_ws("\n", F.concat(F.lit("SF:"), F.col("file")), F.concat_ws("\n", F.collect_list("hit")), F.lit("end_of_record")).alias("content"))
+    return src.line_coverage(reports)
+
+
+add("coverage_of_files", _coverage, sql("SELECT file, count(*) AS lines, count(*) FILTER (WHERE coalesce(cyclomatic, 0) <> 0) AS covered FROM nodes WHERE file IS NOT NULL AND line IS NOT NULL GROUP BY 1", "nodes"))
+
+
+def _log(t):
+    """The commits as a log's text, one per author, read back and counted by author and day."""
+    files = v.commit_files(t).groupBy("commit_id").agg(F.concat_ws("\n", F.collect_list("path")).alias("paths"))
+    entry = F.concat(F.lit("\x01"), F.col("commit_id").cast("string"), F.lit("\x02"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), F.lit("\x02a"), F.col("author").cast("string"), F.lit("\x02"), "intent", F.lit("\n\n"), "paths", F.lit("\n"))
+    logs = v.commits(t).join(files, "commit_id").groupBy("author").agg(F.concat_ws("", F.collect_list(entry)).alias("content"))
+    return src.commit_log(logs).groupBy("author").agg(F.count("*").alias("changes"), F.count_distinct("commit").alias("commits"), F.max("ts").alias("last_at"))
+
+
+add("commit_log_authors", _log, sql("SELECT 'a' || author AS author, count(*) AS changes, count(DISTINCT commit_id) AS commits, max(ts) AS last_at FROM commits JOIN commit_files USING (commit_id) GROUP BY 1", "commits", "commit_files"))
+
+
+def _jobs(t):
+    """A pipeline file per region with a job per nation, read back."""
+    name = F.lower(F.regexp_replace("n_name", "[^A-Za-z0-9]", "-"))
+    jobs = t("nation").select("n_regionkey", F.struct("n_nationkey", F.concat(F.lit("  j-"), name, F.lit(":\n    steps: []")).alias("text")).alias("j")).groupBy("n_regionkey").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("j")), lambda j: j["text"])).alias("jobs"))
+    files = jobs.select(F.concat(F.lit("ci/"), F.col("n_regionkey").cast("string"), F.lit(".yml")).alias("path"), F.concat(F.lit("on: push\njobs:\n"), "jobs", F.lit("\nend: 1\n")).alias("content"))
+    return src.pipelines(files)
+
+
+add("pipeline_jobs", _jobs, "SELECT 'ci/' || n_regionkey || '.yml' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS position, 'j-' || lower(regexp_replace(n_name, '[^A-Za-z0-9]', '-', 'g')) AS job FROM nation")

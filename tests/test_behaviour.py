@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as fx
-from stratagraph.operators import behaviour, code, coordination, crosslinks, ordered, packs, reachability
+from stratagraph.operators import behaviour, code, coordination, crosslinks, graph, ordered, packs, reachability
 from stratagraph.sources import stores
 from stratagraph.streaming import telemetry as tel
 
@@ -54,6 +54,9 @@ def test_reachability_equals_a_model(spark, seed):
     asked = [(f"n{i}", f"n{j}") for i in range(14) for j in range(0, 14, 5)] + [("?", "?"), ("?", "n1")]
     got = {(r.source, r.target): r.reaches for r in reachability.can_reach(df, spark.createDataFrame(asked, "source string, target string")).collect()}
     assert got == {(a, b): a == b or b in reach.get(a, ()) for a, b in asked}
+    many = [(x,) for x in sorted(reach)] + [(f"lone{i}",) for i in range(130)] + [(None,)]
+    assert {r.seed: r.reached for r in graph.reach_counts(df, spark.createDataFrame(many, "id string")).collect()} == {x: len(reach.get(x, {x})) for (x,) in many if x}
+    assert graph.reach_counts(df, spark.createDataFrame([], "id string")).count() == 0
     seeds = spark.createDataFrame([(pairs[0][1],)], "id string")
     assert {r.id for r in reachability.affected_components(df, seeds).collect()} == {x for x in reach if pairs[0][1] in reach[x]} - {pairs[0][1]}
     walk = reachability.bounded_walk(df, spark.createDataFrame([(pairs[0][0],)], "id string"), 9, 2).collect()
