@@ -222,7 +222,7 @@ def interchangeable(words: DataFrame, fillers: int = 12, most: int = 200_000) ->
     return frozenset(r.word for r in scored.where((F.col("n") >= max(5, total / most)) & (F.col("score") >= fillers)).select("word").collect())
 
 
-READ = "gram bigint, ended bigint, went_on bigint, last bigint, text binary, decided boolean, grams array<bigint>, subword string, route string"
+READ = "gram bigint, ended bigint, went_on bigint, last bigint, text binary, decided boolean, grams array<bigint>, befores array<bigint>, subword string, route string"
 
 
 def read_texts(texts: DataFrame, open_words) -> DataFrame:
@@ -230,15 +230,15 @@ def read_texts(texts: DataFrame, open_words) -> DataFrame:
 
     A gram row counts, for a sequence of up to GRAMS masked words, how often an end (``ended``), another word
     (``went_on``) or nothing (``last``) follows; counts are combined per batch. A text row says how the text
-    ends: ``decided`` by its structure, or else the hashes of its last words, its last subword and the end
-    of a route. Blank texts have neither.
+    ends: ``decided`` by its structure, or else the hashes of its last words (``grams``) and of those before
+    the last one (``befores``), its last subword and the end of a route. Blank texts have neither.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(open_words.value)
         hashes_of = Kept(lambda chunk: tuple(map(hasher.__getitem__, chunk_tokens(chunk)))).__getitem__
         ends = np.array(sorted(map(hasher.__getitem__, _ENDS)), np.uint64)
-        types = pa.schema([(n, t) for n, t in zip(re.findall(r"(\w+) [\w<>]+(?:,|$)", READ), (pa.int64(),) * 4 + (pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.string(), pa.string()))])
+        types = pa.schema([(n, t) for n, t in zip(re.findall(r"(\w+) [\w<>]+(?:,|$)", READ), (pa.int64(),) * 4 + (pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.string()))])
 
         def rows(at: int, columns: list) -> pa.RecordBatch:
             n = len(columns[0])
@@ -257,11 +257,12 @@ def read_texts(texts: DataFrame, open_words) -> DataFrame:
                     continue
                 decided = by_structure(base, marked)
                 if decided is not None:
-                    said.append((name, decided, None, None, None))
+                    said.append((name, decided, None, None, None, None))
                     continue
                 word = base[base.rfind(" ") + 1 :]
                 route = _ROUTE.search(word) if word.startswith("/") else None
-                said.append((name, None, tail_grams(ids[max(before, len(ids) - GRAMS) :]), last_subword(base), route and route["last"] or None))
+                tail = ids[max(before, len(ids) - GRAMS) :]
+                said.append((name, None, tail_grams(tail), tail_grams(tail[:-1]), last_subword(base), route and route["last"] or None))
             if said:
                 yield rows(4, list(zip(*said)))
             if not ids:
@@ -432,14 +433,22 @@ def piled_lengths(tail: DataFrame, least: int = 8, times: float = 6.0) -> DataFr
     return counts.withColumn("around", around).where((F.col("n") >= least) & (F.col("n") >= times * F.greatest("around", F.lit(0.3)))).select("source", "measure", "length")
 
 
-def judged_endings(read: DataFrame, words: DataFrame, went_on_share: float, seen: int) -> DataFrame:
-    """ending, subword_complete, cut and cut_at_limit of each distinct way in which texts end that their structure doesn't decide."""
+def judged_endings(read: DataFrame, words: DataFrame, went_on_share: float, seen: int, usual: float = 0.02) -> DataFrame:
+    """ending, subword_complete, cut and cut_at_limit of each distinct way in which texts end that their structure doesn't decide.
+
+    Other texts that end likewise speak for a whole text only if at least ``usual`` of what follows the words
+    before the last one ends there, as headings do. Else the more texts there are, the more of them are cut
+    at the same place, and they would speak for each other.
+    """
     vocabulary = words.where("kind = 1 and n >= 2").select("word")
     halves = vocabulary.where("length(word) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("subword")).distinct()
-    ends = read.where("text is not null and decided is null").select(F.expr(ENDING).alias("ending"), "grams", "subword", "route").dropDuplicates(["ending"])
+    ends = read.where("text is not null and decided is null").select(F.expr(ENDING).alias("ending"), "grams", "befores", "subword", "route").dropDuplicates(["ending"])
     counts = read.where("gram is not null").groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("ended", "went_on", "last")))
-    asked = ends.select("ending", F.posexplode("grams").alias("pos", "gram"))
-    answers = asked.join(counts, "gram").withColumn("elsewhere", F.greatest(F.col("last") - 1, F.lit(0))).withColumn("total", F.col("ended") + F.col("went_on") + F.col("elsewhere"))
+    at = lambda grams, before: F.transform(grams, lambda g, i: F.struct((i + int(before)).alias("pos"), F.lit(before).alias("before"), g.alias("gram")))
+    asked = ends.select("ending", F.inline(F.concat(at("grams", False), at("befores", True))))
+    both = asked.join(counts, "gram").groupBy("ending", "pos").agg(*(F.sum(F.when(~F.col("before"), F.col(c))).alias(c) for c in ("ended", "went_on", "last")), F.sum(F.when(F.col("before"), F.col("went_on"))).alias("followed"))
+    alike = F.when(F.col("last") >= usual * F.coalesce("followed", F.lit(0)), F.greatest(F.col("last") - 1, F.lit(0))).otherwise(0)
+    answers = both.withColumn("total", F.col("ended") + F.col("went_on") + alike)
     best = answers.where(F.col("total") >= seen).groupBy("ending").agg(F.max_by(F.struct((F.col("pos") + 1).alias("words"), (F.col("went_on") / F.col("total")).alias("share")), "pos").alias("b"))
     judged = (
         ends.join(best, "ending", "left")

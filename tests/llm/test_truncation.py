@@ -50,6 +50,18 @@ def test_cut_sentences(spark, corpus):
     assert t.cut_texts(df.limit(0)).count() == 0
 
 
+def test_texts_cut_at_the_same_place_do_not_speak_for_each_other(spark):
+    rng = random.Random(11)
+    whole = [f"{sentence(rng)} {sentence(rng)} Nobody waits until the next pass." for _ in range(900)] + [f"{sentence(rng)} Take p of them first, since p is {i}." for i in range(20)]
+    cut = [f"{sentence(rng)} {sentence(rng)} Number {i}. Nobody waits until the next p" for i in range(8)]
+    # Sign-offs end alike too, with a word that goes on in another one.
+    signed = [f"{sentence(rng)} Number {i}.\n\nReviewed: done" for i in range(12)] + [f"{sentence(rng)} It was done {i} days ago, and the dones are listed." for i in range(5)]
+    texts = whole + cut + signed
+    df = spark.createDataFrame([(i, x, None) for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    found = {texts[r.doc_id] for r in t.cut_texts(df).where("cut").collect()}
+    assert set(cut) <= found and not found & set(signed)
+
+
 def test_equal_texts_have_equal_answers(spark, corpus):
     rows, cut = corpus
     some = sorted(cut)[:5]
