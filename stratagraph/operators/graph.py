@@ -7,6 +7,11 @@ depth of the graph, by a given depth, or by its logarithm where labels jump.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,8 +176,72 @@ def terminality(pairs: DataFrame) -> DataFrame:
     return strong.join(far, "component").select("id", "component", "distance")
 
 
-def communities(pairs: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, community) by distributed local moving: modularity gain, one half of the nodes per round.
+def settled(starts: list[int], targets: array, weights: array) -> list[int]:
+    """The community (a node's number) of each node: nodes move in the order of their numbers, until none would gain by moving.
+
+    ``targets`` and ``weights`` from ``starts[u]`` to ``starts[u + 1]`` are the links of node u, in both directions;
+    none leads to u itself. Gains are whole numbers (times all weights). Ties go to the least number, so each
+    move makes the sum of gains greater or a number less, and moves end.
+    """
+    n = len(starts) - 1
+    degree = [sum(weights[starts[u] : starts[u + 1]]) for u in range(n)]
+    label, sigma, whole = list(range(n)), degree.copy(), sum(degree)
+    moved = True
+    while moved:
+        moved = False
+        for u in range(n):
+            mine, k, inside = label[u], degree[u], {}
+            for v, w in zip(targets[starts[u] : starts[u + 1]], weights[starts[u] : starts[u + 1]]):
+                c = label[v]
+                inside[c] = inside.get(c, 0) + w
+            sigma[mine] -= k
+            best, to = (inside[mine] * whole - sigma[mine] * k if mine in inside else 0), mine
+            for c, w in inside.items():
+                gain = w * whole - sigma[c] * k
+                if gain > best or (gain == best and c < to and best > 0):
+                    best, to = gain, c
+            label[u] = to
+            sigma[to] += k
+            moved = moved or to != mine
+    return label
+
+
+def _settled_in_one_task(links: DataFrame) -> DataFrame:
+    """(id, community) of links (source, target, w) in both directions, which one task reads as numbers (16 bytes a link)."""
+    kind = links.schema["source"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict = {}
+        parts = []
+        for batch in batches:
+            ends = []
+            for column in batch.columns[:2]:
+                coded = column.dictionary_encode()
+                codes = np.array([number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()], np.int32)
+                ends.append(codes[coded.indices.to_numpy()])
+            parts.append((*ends, batch.column(2).to_numpy()))
+        if not parts:
+            return
+        names = sorted(number)
+        place = np.empty(len(names), np.int32)
+        place[[number[x] for x in names]] = np.arange(len(names), dtype=np.int32)
+        source, target, w = (np.concatenate(x) for x in zip(*parts))
+        source, target = place[source], place[target]
+        order = np.lexsort((target, source))
+        starts = np.concatenate(([0], np.cumsum(np.bincount(source, minlength=len(names))))).tolist()
+        label = settled(starts, array("i", target[order].tobytes()), array("q", w[order].astype(np.int64).tobytes()))
+        for at in range(0, len(names), 100_000):
+            yield pa.RecordBatch.from_pydict({"id": names[at : at + 100_000], "community": [names[c] for c in label[at : at + 100_000]]})
+
+    return durable(links.select("source", "target", "w").coalesce(1).mapInArrow(run, f"id {kind}, community {kind}"))
+
+
+def communities(pairs: DataFrame, most: int = 1000, alone: int = 10_000_000) -> DataFrame:
+    """(id, community) by local moving: modularity gain until no node at all would gain by moving.
+
+    Up to ``alone`` links (pairs, each in both directions) one task moves node after node in the order of their
+    ids (see ``settled``), as parallel rounds, which move neighbours at once, are needed in great number for what
+    sweeps do. Larger graphs move in rounds, one half of the nodes per round.
 
     In each round half of the nodes (by a hash of id and round) may move to the neighbouring community of
     the greatest positive gain, ties to the least name. Degrees and community sums are aggregated, so a
@@ -181,6 +250,8 @@ def communities(pairs: DataFrame, most: int = 1000) -> DataFrame:
     every 32 rounds a smaller part may move, so that neighbours don't swap for ever. ``most`` rounds raise.
     """
     links = durable(pairs.union(turned(pairs)).groupBy("source", "target").agg(F.count("*").alias("w")))
+    if links.count() <= alone:
+        return _settled_in_one_task(links)
     degree = durable(links.groupBy(F.col("source").alias("id")).agg(F.sum("w").alias("k")))
     whole = degree.agg(F.sum("k")).first()[0]
     label = durable(degree.select("id", F.col("id").alias("community")))

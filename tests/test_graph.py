@@ -1,6 +1,7 @@
 """Graph loops against plain-Python models on random graphs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,34 @@ def test_communities_end_in_a_local_optimum(spark):
         assert max(gain(label[y]) for y in others) <= max(gain(label[x]), 0 if all(label[y] != label[x] for y in others) else -9) + 1e-8
 
 
+def test_communities_of_a_graph_with_hubs_end_soon(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = {(f"n{rng.randrange(3000):04d}", f"n{int(3000 * rng.random() ** 4):04d}") for _ in range(12000)}
+    edges = [(a, b) for a, b in sorted(edges) if a != b]
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df, real=graph.durable, **k: written.append(1) or real(df, **k))
+    label = {r.id: r.community for r in graph.communities(spark.createDataFrame(edges, SCHEMA)).collect()}
+    assert label == {r.id: r.community for r in graph.communities(spark.createDataFrame(edges[::-1], SCHEMA).repartition(7)).collect()}
+    assert len(written) <= 4
+    near, degree, sums = {}, Counter(), Counter()
+    for a, b in edges + [(b, a) for a, b in edges]:
+        near.setdefault(a, Counter())[label[b]] += 1
+        degree[a] += 1
+    assert set(label) == set(near)
+    for x, k in degree.items():
+        sums[label[x]] += k
+    for x, inside in near.items():
+        gain = lambda c: inside[c] - degree[x] * (sums[c] - (degree[x] if c == label[x] else 0)) / (2 * len(edges))  # noqa: B023, E731
+        assert max(map(gain, inside)) <= (gain(label[x]) if label[x] in inside else 0) + 1e-8
+
+
+def test_communities_of_large_graphs_move_in_rounds(spark):
+    two = [(f"{s}{a}", f"{s}{b}") for s in "xy" for a in range(5) for b in range(a)] + [("x0", "y0")]
+    df = spark.createDataFrame(two, SCHEMA)
+    parts = lambda got: {frozenset(r.id for r in got if r.community == c) for c in {r.community for r in got}}
+    assert parts(graph.communities(df, alone=0).collect()) == parts(graph.communities(df).collect()) == {frozenset(f"{s}{a}" for a in range(5)) for s in "xy"}
+
+
 def test_ancestors_of_any_depth(spark):
     chain = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(150)] + [("150", "149")], "id string, parent string")
     got = {(r.id, r.ancestor): r.distance for r in graph.ancestors(chain).collect()}
