@@ -203,7 +203,8 @@ def contained_copies(files: DataFrame, known: DataFrame, key: str = "diff_id", s
 
     Lines that stand in more than 1 / ``hot`` of all contents, of which there can be no more than ``hot`` times
     the mean number of lines of a content, are looked up by broadcast; other joins that many copies of
-    one library may meet in are salted.
+    one library may meet in are salted. A side that has each row once for every salt is shuffled, never
+    broadcast, so that nothing that grows with the files passes through the driver but what Spark's own limit allows.
     """
     repo = F.coalesce(F.col("workspace_id").cast("string"), F.lit("")) if "workspace_id" in files.columns else F.lit("")
     base = F.regexp_extract(F.regexp_replace(F.coalesce("path", F.lit("")), r"\\\\", "/"), r"([^/]*)$", 1)
@@ -229,18 +230,19 @@ def contained_copies(files: DataFrame, known: DataFrame, key: str = "diff_id", s
     place = F.row_number().over(W.partitionBy("text").orderBy("libraries", "line"))
     rarest = asked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1) & (F.col("libraries") > 0))
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
-    index = index.select("line", "library", "low", "high").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = salted(rarest.select("text", "line")).join(index.select("line", "salt", "library"), ["line", "salt"]).select("text", "library").distinct().join(rarity, "library")
+    # Spark's estimates leave out that a row for each salt is made, so what holds one is never to be broadcast.
+    each_salt = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    index = index.select("line", "library", "low", "high")
+    pairs = salted(rarest.select("text", "line")).join(each_salt(index.select("line", "library")), ["line", "salt"]).select("text", "library").distinct().join(rarity, "library")
     weight = F.least(F.lit(1.0), F.col("usual") / F.greatest("libraries", F.lit(1)))
-    both = salted(asked.join(pairs, "text")).join(index, ["line", "library", "salt"], "left").join(texts.select("text", "is_known", F.col("low").alias("own_low")), "text").withColumn("weight", weight)
+    both = salted(asked.join(pairs, "text")).join(each_salt(index), ["line", "library", "salt"], "left").join(texts.select("text", "is_known", F.col("low").alias("own_low")), "text").withColumn("weight", weight)
     elsewhere = F.col("low").isNotNull() & (~F.col("is_known") | (F.col("low") != F.col("own_low")) | (F.col("high") != F.col("own_low")))
     sides = both.groupBy("text", "library").agg(F.sum("weight").alias("whole"), F.sum(F.when(elsewhere, F.col("weight")).otherwise(0.0)).alias("held"), F.sum(F.when(elsewhere, F.col("weight") * F.col("chars")).otherwise(0.0)).alias("mass"))
     held = sides.where(F.col("held") >= least * F.col("whole"))
     held = held.select("text", "library", F.round(F.col("held") / F.col("whole"), 9).alias("containment"), "mass")
     library_base = F.regexp_extract(F.regexp_replace("library", r"#.*$", ""), r"([^/]*)$", 1)
     # A file whose copies are most rows meets its verdicts in salted portions.
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = places.select("key", "base", "text").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(held, ["text", "salt"])
+    found = places.select("key", "base", "text").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(each_salt(held), ["text", "salt"])
     found = found.where((F.col("mass") >= mass) | ((F.col("containment") == 1.0) & (F.col("base") == library_base)))
     best = found.groupBy("key").agg(F.max(F.struct("containment", "library")).alias("b"))
     return best.select(F.col("key").alias(key), "b.library", "b.containment")

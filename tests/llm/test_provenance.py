@@ -115,6 +115,34 @@ def test_containment_is_per_library_and_across_repositories(spark):
     assert 21 not in found and 22 not in found and 32 not in found
 
 
+def _broadcast(plan):
+    """The lines of a printed plan that stand below a broadcast."""
+    below, depth = [], None
+    for line in plan.split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            below.append(line)
+        else:
+            depth = at if "BroadcastExchange" in line else None
+    return below
+
+
+def test_rows_for_each_salt_are_never_broadcast(spark):
+    rng = random.Random(8)
+    line = lambda: f"value_{rng.randrange(10**9)} = compute({rng.randrange(10**6)})"
+    bodies = [[line() for _ in range(20)] for _ in range(30)]
+    rows = [(i, "a", f"node_modules/lib{i}/a.js", "\n".join(b)) for i, b in enumerate(bodies)]
+    rows += [(100 + i, "b", f"src/own{i}.js", "\n".join([*b, line()])) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "diff_id long, workspace_id string, path string, content string")
+    copies = p.contained_copies(df, df.where("diff_id < 100").select("diff_id", F.col("path").alias("library")))
+    # Copies of libraries by the thousand make the driver run out of memory long before Spark's limit on estimates is reached.
+    assert copies.count() == 30
+    plan = copies._jdf.queryExecution().executedPlan()
+    assert {r.diff_id for r in copies.collect()} == {100 + i for i in range(30)}
+    printed = plan.toString()
+    assert "explode" in printed.lower() and not [x for x in _broadcast(printed) if "explode" in x.lower()]
+
+
 def test_heads_are_read_whole():
     licence = "\n".join(f"// line {i} of a licence" for i in range(60))
     assert p.by_header(f"{licence}\n// Code generated by x v1.2. DO NOT EDIT.\n{CODE}") == "generated"
